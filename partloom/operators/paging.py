@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom import constants as K
@@ -105,22 +105,11 @@ def with_position(df: DataFrame, *order: Column | str) -> DataFrame:
         "_row", F.col("_row").bitwiseAND(in_partition)
     )
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    entries = F.array_sort(F.collect_list(F.struct("_part", "_n")))
-    before = sizes.groupBy().agg(entries.alias("e")).select(
-        F.explode(
-            F.transform(
-                "e",
-                lambda x: F.struct(
-                    x["_part"].alias("_part"),
-                    F.aggregate(
-                        F.filter("e", lambda y: y["_part"] < x["_part"]), F.lit(0).cast("long"), lambda a, y: a + y["_n"]
-                    ).alias("_before"),
-                ),
-            )
-        ).alias("s")
-    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the sorted frame: bounded by the partition count, whatever the data size.
-    offsets = F.broadcast(before.select("s.*"))
+    offsets = F.broadcast(
+        sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
     return (
         numbered.join(offsets, "_part")
         .withColumn("position", F.col("_before") + F.col("_row"))
