@@ -6,7 +6,7 @@ are reduced to distinct (group, year) pairs before any array is built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom import constants as K
@@ -68,23 +68,14 @@ def _same_vehicle(make: str, model: str, year: int | None) -> Column:
 def rank_cards(cards: DataFrame, make: str = "", model: str = "", year: int | None = None) -> DataFrame:
     """Cards of each part with their place: the searched vehicle first, then make, model and earliest year.
 
-    The rank is an index into the part's sorted card keys. Cards per part are bounded by the vehicles there are.
+    Cards are one row per part, make, model and year set, so a part's window is bounded by the vehicles there are.
     """
     searched = _same_vehicle(make, model, year) if make and model else F.lit(False)
-    keyed = cards.withColumn(
-        "_key",
-        F.struct(
-            (~searched).alias("other"), F.lower("make").alias("make_key"), F.lower("model").alias("model_key"),
-            F.try_element_at("years", F.lit(1)).alias("first_year"),
-            F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years_key"),
-            F.col("make").alias("make"), F.col("model").alias("model"),
-        ),
-    )
-    listed = keyed.groupBy("sku").agg(
-        F.array_sort(F.collect_list(F.struct("_key", F.struct(*cards.columns).alias("card")))).alias("_cards")
-    )
-    placed = listed.select(F.posexplode("_cards").alias("_pos", "_card"))
-    return placed.select("_card.card.*", (F.col("_pos") + 1).alias("rank"))
+    order = [
+        searched.desc(), F.lower("make"), F.lower("model"), F.try_element_at("years", F.lit(1)),
+        F.array_join(F.transform("years", lambda y: y.cast("string")), ","), F.col("make"), F.col("model"),
+    ]
+    return cards.withColumn("rank", F.row_number().over(Window.partitionBy("sku").orderBy(*order)))
 
 
 def match_badges(

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from partloom import constants as K
 from partloom.functions import values as vx
+from partloom.operators.paging import with_position
+from partloom.session import cut_lineage
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -78,6 +80,19 @@ def upsert_catalog(
     return joined.select(*columns, "status")
 
 
+def assign_ids(merged: DataFrame) -> DataFrame:
+    """Number the created rows after the highest id in use, in sku order, without gaps."""
+    fixed = cut_lineage(merged)
+    created = with_position(fixed.where(F.col("id").isNull()), "sku")
+    highest = fixed.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    # A one-row side, joined on a constant key.
+    numbered = created.withColumn("_one", F.lit(1)).join(highest.withColumn("_one", F.lit(1)), "_one")
+    columns = [
+        (F.col("_top") + F.col("position") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns
+    ]
+    return fixed.where(F.col("id").isNotNull()).unionByName(numbered.select(*columns))
+
+
 def update_manifest(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
     """Next image manifest with a ``change`` per file.
 
