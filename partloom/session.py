@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -29,6 +32,20 @@ def build_session(master: str = "local[*]", app: str = "partloom", shuffle_parti
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, which import the page readers by module name.
+
+    Not needed where the package is installed on every node; Spark distributes the archive from the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_partloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="partloom-zip-"), "partloom")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    context._partloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 

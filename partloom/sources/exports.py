@@ -18,10 +18,12 @@ from partloom.operators import dedup, joins, quality
 BROKEN = "_corrupt_record"
 
 
-def _documents(spark: SparkSession, path: str, schema: T.StructType, glob: str | None) -> DataFrame:
+def _documents(
+    spark: SparkSession, path: str, schema: T.StructType, glob: str | None, multi_line: bool = True
+) -> DataFrame:
     reader = (
         spark.read.schema(schema.add(BROKEN, "string"))
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BROKEN)
     )
@@ -43,9 +45,15 @@ def _items(documents: DataFrame, record: T.StructType, *containers: str) -> Data
     )
 
 
-def read_parts_export(spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True) -> DataFrame:
-    """Parts of exports in any envelope, in stored form. Records that fail the model and broken files are left out."""
-    rows = _items(_documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob), sc.EXPORT_PART, "parts", "data")
+def read_parts_export(
+    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = True
+) -> DataFrame:
+    """Parts of exports in any envelope, in stored form. Records that fail the model and broken files are left out.
+
+    ``multi_line=False`` reads one document per line, which lets Spark split large files.
+    """
+    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob, multi_line)
+    rows = _items(documents, sc.EXPORT_PART, "parts", "data")
     if not check:
         return rows
     judged = quality.check_parts(rows)
@@ -53,9 +61,12 @@ def read_parts_export(spark: SparkSession, path: str, *, glob: str | None = None
     return quality.normalize_parts(sound)
 
 
-def read_compat_export(spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True) -> DataFrame:
+def read_compat_export(
+    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = True
+) -> DataFrame:
     """Fitments of exports in any envelope, one row per vehicle."""
-    rows = _items(_documents(spark, path, _copy(sc.COMPAT_DOCUMENT), glob), sc.EXPORT_COMPAT, "compatibility", "data")
+    documents = _documents(spark, path, _copy(sc.COMPAT_DOCUMENT), glob, multi_line)
+    rows = _items(documents, sc.EXPORT_COMPAT, "compatibility", "data")
     rows = rows.withColumn("part_sku", F.coalesce("part_sku", "sku")).drop("sku")
     if check:
         judged = quality.check_compat(rows)
@@ -65,9 +76,9 @@ def read_compat_export(spark: SparkSession, path: str, *, glob: str | None = Non
     ).select("source_file", "sku", "notes", "vehicle_pos", "v.*")
 
 
-def read_hierarchical_export(spark: SparkSession, path: str) -> DataFrame:
+def read_hierarchical_export(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Leaf rows of a nested year/make/model export."""
-    documents = _documents(spark, path, _copy(sc.HIERARCHY_DOCUMENT), None)
+    documents = _documents(spark, path, _copy(sc.HIERARCHY_DOCUMENT), None, multi_line)
     years = documents.select("source_file", F.explode("data").alias("year", "makes"))
     makes = years.select("source_file", "year", F.explode("makes").alias("make", "models"))
     models = makes.select("source_file", "year", "make", F.explode("models").alias("model", "parts"))
@@ -76,9 +87,9 @@ def read_hierarchical_export(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_export_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_export_dir(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Parts of every JSON file in a directory, duplicates kept, with the file each came from."""
-    return read_parts_export(spark, path, glob="*.json", check=False)
+    return read_parts_export(spark, path, glob="*.json", check=False, multi_line=multi_line)
 
 
 def read_metadata(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
@@ -104,13 +115,13 @@ def latest_drop(spark: SparkSession, path: str, import_log: DataFrame | None = N
     return newest.join(last, "path", "left_anti")
 
 
-def export_audit(spark: SparkSession, path: str) -> DataFrame:
+def export_audit(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Size, metadata and validity of every export file in a directory."""
     sizes = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
         .select(F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"))
     )
-    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), "*.json")
+    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), "*.json", multi_line)
     meta = documents.groupBy(F.regexp_extract("source_file", "([^/]+)$", 1).alias("filename")).agg(
         F.max("metadata.export_date").alias("export_date"),
         F.max("metadata.total_parts").alias("total_parts"),
@@ -124,12 +135,12 @@ def export_audit(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def judge_directory(spark: SparkSession, path: str) -> DataFrame:
+def judge_directory(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Sniff the kind of every file and judge its items: one verdict row per file."""
     name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("filename")
     raw = (
         spark.read.schema("parts string, compatibility string, data string, _corrupt_record string")
-        .option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+        .option("multiLine", multi_line).option("pathGlobFilter", "*.json").json(path)
         .select("*", name)
     )
     kind = (
@@ -144,12 +155,13 @@ def judge_directory(spark: SparkSession, path: str) -> DataFrame:
     filename = F.regexp_extract("source_file", "([^/]+)$", 1).alias("filename")
     counts = [level(quality.ERROR).alias("errors"), level(quality.WARNING).alias("warnings")]
     parts = quality.check_parts(
-        _items(_documents(spark, path, _copy(sc.PARTS_DOCUMENT), "*.json"), sc.EXPORT_PART, "parts"), warnings=True
+        _items(_documents(spark, path, _copy(sc.PARTS_DOCUMENT), "*.json", multi_line), sc.EXPORT_PART, "parts"),
+        warnings=True,
     ).select(filename, F.lit("parts").alias("kind"), *counts)
     compat = quality.check_compat(
-        _items(_documents(spark, path, _copy(sc.COMPAT_DOCUMENT), "*.json"), sc.EXPORT_COMPAT, "compatibility")
+        _items(_documents(spark, path, _copy(sc.COMPAT_DOCUMENT), "*.json", multi_line), sc.EXPORT_COMPAT, "compatibility")
     ).select(filename, F.lit("compatibility").alias("kind"), *counts)
-    leaves = quality.check_parts(read_hierarchical_export(spark, f"{path}/*.json"), warnings=True).select(
+    leaves = quality.check_parts(read_hierarchical_export(spark, f"{path}/*.json", multi_line=multi_line), warnings=True).select(
         filename, F.lit("hierarchical").alias("kind"), *counts
     )
     items = parts.unionByName(compat).unionByName(leaves)
