@@ -75,3 +75,13 @@ def page_hash(html: Column, *, detail: bool = False) -> Column:
     if detail:
         stable = F.regexp_replace(stable, K.SIGNED_URL_QUERY, "")
     return F.md5(stable)
+
+
+def is_json(text: Column) -> Column:
+    """True where a text is one whole JSON value.
+
+    The parser stops after the first value and would accept trailing text, so the value is put inside an object whose
+    last field has to be reached.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')))
+    return F.coalesce(F.try_variant_get(wrapped, "$.end", "int") == 1, F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from partloom import constants as K
 from partloom.functions import text as tx
+from partloom.functions import values as vx
 
 
 def _count(df: DataFrame, *keys: str, name: str = "parts") -> DataFrame:
@@ -216,7 +217,7 @@ def integrity_check(stored: DataFrame, json_columns: tuple[str, ...] = ("specifi
     broken = F.lit(False)
     for name in json_columns:
         filled = F.coalesce(F.col(name), F.lit("")) != ""
-        broken = broken | (filled & F.try_parse_json(name).isNull())
+        broken = broken | (filled & ~vx.is_json(F.col(name)))
     per_sku = stored.select("sku", broken.alias("_broken")).groupBy("sku").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("_broken").alias("bad")
     )

@@ -126,7 +126,7 @@ def explode_fitment_json(parts: DataFrame, column: str = "compatibility") -> Dat
     """The same from stored JSON text; null, empty and broken text yield no rows."""
     usable = F.col(column).isNotNull() & ~F.trim(column).isin("", "[]")
     vehicles = F.from_json(column, F.lit(f"array<{sc.VEHICLE.simpleString()}>"))
-    parsed = parts.where(usable).withColumn(column, F.when(F.try_parse_json(column).isNotNull(), vehicles))
+    parsed = parts.where(usable).withColumn(column, F.when(vx.is_json(F.col(column)), vehicles))
     return explode_fitment(parsed, column)
 
 

@@ -1 +1,601 @@
-"""placeholder"""
+"""Joins, dedup, change detection and upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partloom import schemas as sc
+from partloom.functions import values as vx
+from partloom.operators import aggregates, dedup, joins, upsert
+from partloom.registry import query
+from partloom.registry.base import sql
+from partloom.session import work_path
+from partloom.sources import adapters as A
+
+ORDER = list(A.ORDER)
+NOW = "2030-01-01 00:00:00"
+
+
+def _fits(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.dedup_fitments(A.fitments(spark, sf), ORDER)
+
+
+def _double(df: DataFrame, name: str = "price") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("double"))
+
+
+# --- joins ----------------------------------------------------------------------------------------------------------
+
+_VEHICLES = """SELECT sku, count(*) AS n, md5(string_agg(make || '/' || model || '/' || year || '/' || coalesce(engine, '-'), ','
+  ORDER BY make, model, year, engine NULLS FIRST)) AS vehicles FROM fit1 GROUP BY sku"""
+
+
+def vehicles_digest(column: str):
+    """Length and digest of a vehicle array, so that nested results can be compared as scalars."""
+    text = F.transform(
+        column, lambda v: F.concat_ws("/", v.make, v.model, v.year.cast("string"), F.coalesce(v.engine, F.lit("-")))
+    )
+    return F.size(column).cast("long").alias("n"), F.when(F.size(column) > 0, F.md5(F.array_join(text, ","))).alias("vehicles")
+
+
+@query(
+    "J1_attach_fitment",
+    sql(f"SELECT c.sku, coalesce(v.n, 0) AS n, v.vehicles FROM cat c LEFT JOIN ({_VEHICLES}) v USING (sku)", "cat", "fit1"),
+)
+def j1(spark: SparkSession, sf: str) -> DataFrame:
+    grouped = joins.group_fitments(_fits(spark, sf))
+    return joins.attach_fitment(A.catalog(spark, sf).select("sku"), grouped).select("sku", *vehicles_digest("compatibility"))
+
+
+def _enriched(df: DataFrame) -> DataFrame:
+    entries = F.array_join(
+        F.transform(vx.sorted_entries(F.col("specifications")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
+    )
+    return df.select(
+        "sku", "description", "tech_notes",
+        F.md5(entries).alias("specs"),
+        F.array_join(F.transform("interchange_numbers", lambda r: F.concat(r.reference_number, F.lit("/"), r.reference_type)), ",").alias("refs"),
+        F.array_join(F.transform("images", lambda i: i.url), ",").alias("imgs"),
+    )
+
+
+_STORED_REFS = "(SELECT id, string_agg(reference_number || '/' || reference_type, ',' ORDER BY pos) AS refs FROM ref GROUP BY id)"
+_STORED_IMGS = "(SELECT id, string_agg(url, ',' ORDER BY pos) AS imgs FROM img GROUP BY id)"
+
+
+def _specs_sql(merge: str) -> str:
+    """Digest of the specifications: ``merge`` for the union with the detail winning, ``detail`` for the detail's alone."""
+    detail = """SELECT sku, 'Size' AS key, size AS value, 1 AS rank FROM det UNION ALL SELECT sku, 'Rows', rows_, 1 FROM det"""
+    stored = "" if merge == "detail" else " UNION ALL SELECT sku, key, value, 0 FROM spec"
+    return f"""(SELECT sku, md5(string_agg(key || '=' || value, ';' ORDER BY encode(key))) AS specs FROM (
+      SELECT sku, key, arg_max(value, rank) AS value FROM ({detail}{stored}) GROUP BY sku, key) GROUP BY sku)"""
+
+
+def _enrich_sql(description: str, notes: str, refs: str, imgs: str, specs: str, kind: str = "merge") -> str:
+    return sql(
+        f"""SELECT c.sku, {description} AS description, {notes} AS tech_notes, {refs} AS refs, {imgs} AS imgs, {specs} AS specs
+        FROM cat c LEFT JOIN det d USING (sku) LEFT JOIN {_STORED_REFS} r USING (id) LEFT JOIN {_STORED_IMGS} i USING (id)
+        LEFT JOIN {_specs_sql(kind)} s USING (sku)""",
+        "cat", "det", "ref", "img", "spec",
+    )
+
+
+_KEEP_REFS = "CASE WHEN coalesce(d.refs, '') <> '' THEN d.refs ELSE coalesce(r.refs, '') END"
+_KEEP_IMGS = "CASE WHEN coalesce(d.imgs, '') <> '' THEN d.imgs ELSE coalesce(i.imgs, '') END"
+
+
+@query(
+    "J2_enrich_fill",
+    _enrich_sql("coalesce(d.full_description, c.description)", "coalesce(d.tech_notes, c.tech_notes)", _KEEP_REFS, _KEEP_IMGS, "s.specs"),
+)
+def j2a(spark: SparkSession, sf: str) -> DataFrame:
+    return _enriched(joins.enrich_parts(A.catalog(spark, sf), A.details(spark, sf), "fill"))
+
+
+@query(
+    "J2_enrich_overwrite",
+    _enrich_sql(
+        "CASE WHEN d.sku IS NOT NULL THEN coalesce(d.full_description, '') END", "d.tech_notes", "coalesce(d.refs, '')",
+        "coalesce(d.imgs, '')", "coalesce(s.specs, md5(''))", "detail",
+    ),
+)
+def j2b(spark: SparkSession, sf: str) -> DataFrame:
+    return _enriched(joins.enrich_parts(A.catalog(spark, sf), A.details(spark, sf), "overwrite"))
+
+
+@query(
+    "J2_enrich_refresh",
+    _enrich_sql(
+        "CASE WHEN d.sku IS NOT NULL THEN d.full_description ELSE c.description END",
+        "CASE WHEN d.sku IS NOT NULL THEN d.tech_notes ELSE c.tech_notes END",
+        "CASE WHEN d.sku IS NOT NULL THEN d.refs ELSE coalesce(r.refs, '') END", _KEEP_IMGS, "s.specs",
+    ),
+)
+def j2c(spark: SparkSession, sf: str) -> DataFrame:
+    return _enriched(joins.enrich_parts(A.catalog(spark, sf), A.details(spark, sf), "refresh"))
+
+
+@query(
+    "J2_enrich_stored",
+    _enrich_sql("coalesce(d.full_description, c.description)", "coalesce(d.tech_notes, c.tech_notes)", _KEEP_REFS, _KEEP_IMGS, "s.specs"),
+)
+def j2d(spark: SparkSession, sf: str) -> DataFrame:
+    return _enriched(joins.enrich_parts(A.catalog(spark, sf), A.details(spark, sf), "stored"))
+
+
+@query(
+    "J3_fitment_to_parts",
+    sql("SELECT f.sku, f.make, f.model, f.year, f.engine, c.name FROM fit1 f JOIN cur c USING (sku)", "fit1", "cur"),
+)
+def j3(spark: SparkSession, sf: str) -> DataFrame:
+    joined = joins.fitment_to_parts(_fits(spark, sf), A.snapshot(spark, sf, "current").select("sku", "name"))
+    return joined.select("sku", "make", "model", "year", "engine", "name")
+
+
+@query("J3_orphan_fitments", sql("SELECT DISTINCT sku FROM fit WHERE sku NOT IN (SELECT sku FROM cur)", "fit", "cur"))
+def j3o(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.orphan_fitments(A.fitments(spark, sf), A.snapshot(spark, sf, "current").select("sku"))
+
+
+@query("J4_explode_fitment", sql("SELECT sku, make, model, year, engine FROM fit1 WHERE o3 % 7 <> 0 AND o3 % 11 <> 0", "fit1"))
+def j4(spark: SparkSession, sf: str) -> DataFrame:
+    """Through stored JSON text, a seventh of it broken and an eleventh of it empty."""
+    grouped = joins.group_fitments(_fits(spark, sf))
+    key = F.regexp_replace("sku", "^CSF-", "").cast("long")
+    text = F.to_json("vehicles")
+    broken = F.when(key % 7 == 0, F.substr(text, F.lit(2))).when(key % 11 == 0, F.lit("")).otherwise(text)
+    stored = grouped.select("sku", broken.alias("compatibility"))
+    return joins.explode_fitment_json(stored).select("sku", "make", "model", "year", "engine")
+
+
+@query(
+    "J5_missing_images",
+    sql(
+        "SELECT sku FROM cat WHERE sku NOT IN (SELECT regexp_replace(filename, '_[^_]*$', '') FROM man WHERE synced <> 'failed')",
+        "cat", "man",
+    ),
+)
+def j5(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.missing_images(A.catalog(spark, sf), A.manifest(spark, sf))
+
+
+@query(
+    "J6_resume_filter",
+    "SELECT o_orderkey AS application_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)",
+)
+def j6(spark: SparkSession, sf: str) -> DataFrame:
+    applications = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("application_id"))
+    done = A.table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1).select(F.col("l_orderkey").alias("application_id"))
+    return joins.resume_filter(applications, done)
+
+
+_JUDGED = """SELECT p.page_id, p.url, CASE WHEN p.h IS NULL THEN 'check_failed' WHEN s.hash IS NULL THEN 'first_seen'
+  WHEN p.h <> s.hash THEN 'changed' WHEN p.page_id % 3 = 0 THEN 'unprocessed' ELSE 'unchanged' END AS reason
+  FROM (SELECT *, CASE WHEN page_id % 17 <> 0 THEN hash END AS h FROM ph) p LEFT JOIN pstate s USING (url)"""
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    current = A.table(spark, sf, "pages").select("page_id", "url", vx.page_hash(F.col("html")).alias("hash"))
+    state = A.page_state(spark, sf, current)
+    checked = current.withColumn("hash", F.when(F.col("page_id") % 17 != 0, F.col("hash")))
+    processed = A.table(spark, sf, "pages").where(F.col("page_id") % 3 != 0).select("url")
+    return checked, state, joins.changed_pages(checked, state, processed)
+
+
+@query("J7_changed_pages", sql(f"SELECT page_id, url, reason FROM ({_JUDGED}) WHERE reason <> 'unchanged'", "ph", "pstate"))
+def j7(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.pages_to_read(_judged(spark, sf)[2]).select("page_id", "url", "reason")
+
+
+@query(
+    "J7_next_page_state",
+    sql("SELECT p.url, CASE WHEN page_id % 17 <> 0 THEN p.hash ELSE s.hash END AS hash FROM ph p LEFT JOIN pstate s USING (url) WHERE page_id % 17 <> 0 OR s.hash IS NOT NULL", "ph", "pstate"),
+)
+def j7s(spark: SparkSession, sf: str) -> DataFrame:
+    checked, state, _ = _judged(spark, sf)
+    return joins.next_page_state(checked, state)
+
+
+@query("M6_skip_unchanged_pages", sql(f"SELECT reason, count(*) AS pages FROM ({_JUDGED}) GROUP BY reason", "ph", "pstate"))
+def m6(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.page_change_counts(_judged(spark, sf)[2])
+
+
+@query(
+    "M7_skip_unchanged_details",
+    sql(
+        """SELECT p.page_id, coalesce(p.hash = s.hash, false) AS unchanged, false AS unchanged_forced
+        FROM ph p LEFT JOIN pstate s USING (url)""",
+        "ph", "pstate",
+    ),
+)
+def m7(spark: SparkSession, sf: str) -> DataFrame:
+    details = A.table(spark, sf, "pages").select("page_id", "url", vx.page_hash(F.col("html"), detail=True).alias("hash"))
+    state = A.page_state(spark, sf, details)
+    split = joins.split_details(details, state)
+    forced = joins.split_details(details, state, force=True).select("page_id", F.col("unchanged").alias("unchanged_forced"))
+    return split.select("page_id", "unchanged").join(forced, "page_id")
+
+
+_DIFF = """SELECT coalesce(p.sku, c.sku) AS sku, CASE WHEN c.sku IS NULL THEN 'missing' ELSE 'new' END AS change
+  FROM prev p FULL JOIN cur c ON p.sku = c.sku WHERE p.sku IS NULL OR c.sku IS NULL"""
+
+
+@query("J8_snapshot_diff", sql(_DIFF, "prev", "cur"))
+def j8(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.snapshot_diff(A.snapshot(spark, sf, "previous"), A.snapshot(spark, sf, "current"))
+
+
+@query(
+    "J8_completeness_counts",
+    sql(
+        f"""SELECT change AS item, count(*) AS n FROM ({_DIFF}) GROUP BY 1
+        UNION ALL SELECT 'failed:' || phase, count(DISTINCT identifier) FROM fail GROUP BY phase""",
+        "prev", "cur", "fail",
+    ),
+)
+def j8c(spark: SparkSession, sf: str) -> DataFrame:
+    diff = joins.snapshot_diff(A.snapshot(spark, sf, "previous"), A.snapshot(spark, sf, "current"))
+    return joins.completeness_counts(diff, A.failures(spark, sf))
+
+
+_CHANGES = """SELECT o.sku, CASE WHEN any_value(p.sku) IS NULL THEN 'new' ELSE 'changed' END AS change FROM (
+  SELECT 'CSF-' || l_partkey AS sku, CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0 THEN price + 1 ELSE price END AS price
+  FROM lineitem JOIN cat ON id = l_partkey) o LEFT JOIN prev p USING (sku) GROUP BY o.sku
+  HAVING any_value(p.sku) IS NULL OR bool_or(o.price <> p.price)"""
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.detect_changes(A.occurrences(spark, sf), A.snapshot(spark, sf, "previous"))
+
+
+@query("M4_detect_changes", sql(_CHANGES, "cat", "prev"))
+def m4(spark: SparkSession, sf: str) -> DataFrame:
+    return _changes(spark, sf)
+
+
+@query("J9_delta_rows", sql(f"SELECT sku, name, CAST(price AS DOUBLE) AS price FROM cur WHERE sku IN (SELECT sku FROM ({_CHANGES}))", "cur", "cat", "prev"))
+def j9(spark: SparkSession, sf: str) -> DataFrame:
+    parts = A.snapshot(spark, sf, "current").select("sku", "name", "price")
+    return _double(joins.delta_rows(parts, _changes(spark, sf)))
+
+
+@query(
+    "J10_reuse_hierarchy",
+    sql(
+        """SELECT a.make_id, a.year, a.application_id, CASE WHEN h.hit THEN a.model ELSE a.model || ' (new)' END AS model,
+        CASE WHEN h.hit THEN 'cache' ELSE 'fresh' END AS origin FROM app a JOIN (
+          SELECT n_nationkey AS make_id, n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 4 <> 0 AS hit FROM nation) h
+        USING (make_id)""",
+        "app",
+    ),
+)
+def j10(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    makes = A.table(spark, sf, "nation")
+    url = F.concat(F.lit("https://example.com/years/"), key.cast("string")).alias("url")
+    responses = makes.select(key.alias("make_id"), url, F.md5("n_name").alias("hash"))
+    state = makes.where(key % 3 != 0).select(
+        url, F.when(key % 5 == 0, F.reverse(F.md5("n_name"))).otherwise(F.md5("n_name")).alias("hash")
+    )
+    applications = A.applications(spark, sf)
+    cached = applications.where((F.col("make_id") % 4 != 0) | (F.col("make_id") % 3 == 0))
+    cached = cached.where(F.col("make_id") % 4 != 0)
+    fresh = applications.withColumn("model", F.concat("model", F.lit(" (new)")))
+    found = joins.reuse_hierarchy(responses, state, cached, fresh)
+    return found.select("make_id", "year", "application_id", "model", "origin")
+
+
+@query(
+    "J11_parts_for_vehicle",
+    sql(
+        """SELECT sku, category, name FROM cat WHERE sku IN (SELECT sku FROM fit WHERE make = 'NATION_15' AND model = 'Model 0'
+        AND year = 1997)""",
+        "cat", "fit",
+    ),
+)
+def j11(spark: SparkSession, sf: str) -> DataFrame:
+    found = joins.parts_for_vehicle(A.catalog(spark, sf), A.fitments(spark, sf), "NATION_15", "Model 0", 1997)
+    return found.select("sku", "category", "name")
+
+
+@query(
+    "J12_is_compatible",
+    sql(
+        """SELECT r.o1, r.o2, r.o3, r.o4, r.sku, EXISTS (SELECT 1 FROM fit f WHERE f.sku = r.sku AND f.make = r.make
+        AND f.model = r.model AND f.year = r.year AND f.engine IS NOT DISTINCT FROM r.engine
+        AND f.aspiration IS NOT DISTINCT FROM r.aspiration AND f.qualifiers = r.qualifiers) AS compatible
+        FROM (SELECT * REPLACE (CASE WHEN o2 % 2 = 0 THEN 'A-F' ELSE engine END AS engine) FROM fit) r""",
+        "fit",
+    ),
+)
+def j12(spark: SparkSession, sf: str) -> DataFrame:
+    known = A.fitments(spark, sf)
+    asked = known.withColumn("engine", F.when(F.col("o2") % 2 == 0, "A-F").otherwise(F.col("engine")))
+    fields = ("make", "model", "year", "engine", "aspiration", "qualifiers")
+    return joins.is_compatible(known, asked, fields).select("o1", "o2", "o3", "o4", "sku", "compatible")
+
+
+# --- ordered dedup --------------------------------------------------------------------------------------------------
+
+
+@query(
+    "W1_dedup_parts",
+    sql(
+        """SELECT 'CSF-' || l_partkey AS sku, name, CAST(price AS DOUBLE) AS price, l_orderkey AS o1, l_linenumber AS o2, l_suppkey AS o4
+        FROM (SELECT *, CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0 THEN cat.price + 1 ELSE cat.price END AS price,
+          row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_shipdate DESC) AS rn
+          FROM (SELECT * FROM lineitem) JOIN (SELECT id, name, price AS p0 FROM cat) c0 ON id = l_partkey
+          JOIN cat USING (id, name)) WHERE rn = 1""".replace(
+            "FROM (SELECT *, CASE", "FROM (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, name, CASE"
+        ),
+        "cat",
+    ),
+)
+def w1(spark: SparkSession, sf: str) -> DataFrame:
+    seen = A.occurrences(spark, sf).select("sku", "name", "price", "category", "manufacturer", "in_stock", *ORDER)
+    return _double(dedup.dedup_parts(seen, ["o1", "o2", "o4", "o5"])).select("sku", "name", "price", "o1", "o2", "o4")
+
+
+@query("W2_dedup_fitments", sql("SELECT sku, make, model, year, engine, aspiration, qualifiers, o1, o2, o4 FROM fit1", "fit1"))
+def w2(spark: SparkSession, sf: str) -> DataFrame:
+    found = _fits(spark, sf)
+    return found.select("sku", "make", "model", "year", "engine", "aspiration", F.array_join("qualifiers", "|").alias("qualifiers"), "o1", "o2", "o4")
+
+
+@query(
+    "W8_qualifier_groups",
+    sql(
+        """SELECT o1 AS page_id, coalesce(engine, '') || '::' || coalesce(aspiration, '') || '::' || qualifiers AS qualifier_key,
+        min(o3 * 1000 + o2) AS group_pos, count(*) AS parts FROM fit GROUP BY 1, 2""",
+        "fit",
+    ),
+)
+def w8(spark: SparkSession, sf: str) -> DataFrame:
+    listing = A.fitments(spark, sf).withColumn("page_pos", F.col("o3") * 1000 + F.col("o2"))
+    return dedup.qualifier_groups(listing, page="o1").withColumnRenamed("o1", "page_id")
+
+
+# --- sets -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "U1_sku_sets",
+    sql(
+        f"""SELECT sku, 'missing' AS fate FROM prev WHERE sku NOT IN (SELECT sku FROM cur)
+        UNION ALL SELECT sku, 'new' FROM cur WHERE sku NOT IN (SELECT sku FROM prev)
+        UNION ALL SELECT sku, 'preserved' FROM prev WHERE sku NOT IN (SELECT sku FROM ({_CHANGES}))""",
+        "prev", "cur", "cat",
+    ),
+)
+def u1(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.sku_sets(A.snapshot(spark, sf, "previous"), A.snapshot(spark, sf, "current"), _changes(spark, sf))
+
+
+@query("U2_delta_set", sql(f"SELECT DISTINCT sku FROM ({_CHANGES})", "cat", "prev"))
+def u2(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.delta_set(_changes(spark, sf))
+
+
+@query(
+    "U3_concat_exports",
+    sql(
+        """SELECT sku, name, description FROM prev UNION ALL SELECT sku, name, NULL FROM cur
+        UNION ALL SELECT sku, NULL, full_description FROM det""",
+        "prev", "cur", "det",
+    ),
+)
+def u3(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.concat_exports(
+        A.snapshot(spark, sf, "previous").select("sku", "name", "description"),
+        A.snapshot(spark, sf, "current").select("sku", "name"),
+        A.details(spark, sf).select("sku", F.col("full_description").alias("description")),
+    )
+
+
+@query("U5_sync_success", sql("SELECT filename FROM man WHERE synced <> 'failed'", "man"))
+def u5(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = A.manifest(spark, sf)
+    return dedup.sync_success(manifest, manifest.where(F.col("synced") == "failed"))
+
+
+# --- upserts --------------------------------------------------------------------------------------------------------
+
+_STATUS = """CASE WHEN c.sku IS NULL THEN 'kept' WHEN p.sku IS NULL THEN 'created' WHEN {0} THEN 'unchanged' ELSE 'updated' END"""
+_MERGED = """SELECT coalesce(p.sku, c.sku) AS sku, CAST(coalesce(c.price, p.price) AS DOUBLE) AS price, c.sku IS NOT NULL AS synced,
+  {0} AS status FROM prev p FULL JOIN cur c ON p.sku = c.sku"""
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.evolve_schema(A.snapshot(spark, sf, "previous"), sc.CATALOG)
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")
+    return upsert.upsert_catalog(_stored(spark, sf), A.snapshot(spark, sf, "current").drop("id"), now=now)
+
+
+@query("M1_upsert_catalog", sql(_MERGED.format(_STATUS.format("p.price = c.price")), "prev", "cur"))
+def m1(spark: SparkSession, sf: str) -> DataFrame:
+    return _double(_merged(spark, sf)).select("sku", "price", F.col("last_synced").isNotNull().alias("synced"), "status")
+
+
+@query(
+    "M1_upsert_with_scraped_at",
+    sql(f"SELECT coalesce(p.sku, c.sku) AS sku, {_STATUS.format('p.price = c.price AND c.id % 2 = 0')} AS status FROM prev p FULL JOIN cur c ON p.sku = c.sku", "prev", "cur"),
+)
+def m1s(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl time is one of the compared fields here, so a newer crawl alone makes a row updated."""
+    stored = _stored(spark, sf).withColumn("scraped_at", F.lit("2025-01-01"))
+    stamp = F.when(F.col("id") % 2 == 0, "2025-01-01").otherwise("2025-02-01")
+    batch = A.snapshot(spark, sf, "current").withColumn("scraped_at", stamp).drop("id")
+    fields = ["name", "category", "price", "description", "specifications", "images", "scraped_at"]
+    return upsert.upsert_catalog(stored, batch, compare=fields).select("sku", "status")
+
+
+@query(
+    "A17_import_outcome",
+    sql(
+        f"""SELECT k.status, coalesce(m.n, 0) AS parts FROM (SELECT unnest(['created', 'updated', 'unchanged', 'skipped']) AS status) k
+        LEFT JOIN (SELECT status, count(*) AS n FROM (SELECT {_STATUS.format("p.price = c.price")} AS status
+          FROM prev p FULL JOIN cur c ON p.sku = c.sku
+          UNION ALL SELECT 'skipped' FROM raw WHERE sku = '') GROUP BY 1) m USING (status)""",
+        "prev", "cur", "raw",
+    ),
+)
+def a17(spark: SparkSession, sf: str) -> DataFrame:
+    skipped = A.raw_parts(spark, sf).where(F.col("sku") == "").select(F.lit("skipped").alias("status"))
+    return aggregates.import_outcome(_merged(spark, sf).select("status").unionByName(skipped))
+
+
+@query(
+    "M1_assign_ids",
+    sql(
+        """SELECT sku, id FROM prev UNION ALL SELECT sku, (SELECT max(id) FROM prev) + row_number() OVER (ORDER BY sku) FROM cur
+        WHERE sku NOT IN (SELECT sku FROM prev)""",
+        "prev", "cur",
+    ),
+)
+def m1i(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.assign_ids(_merged(spark, sf)).select("sku", "id")
+
+
+@query(
+    "M2_content_hash",
+    sql("SELECT p.sku, p.price = c.price AS same FROM prev p JOIN cur c USING (sku)", "prev", "cur"),
+)
+def m2(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal digests exactly where the listed content is equal; notes and descriptions play no part."""
+    before = A.snapshot(spark, sf, "previous").select("sku", vx.part_hash().alias("a"))
+    later = A.snapshot(spark, sf, "current").withColumn("description", F.lit("other text")).withColumn("tech_notes", F.lit("other"))
+    after = later.select("sku", vx.part_hash().alias("b"))
+    return before.join(after, "sku").select("sku", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query(
+    "M3_page_hash",
+    """SELECT page_id, md5(regexp_replace(regexp_replace(h, 'content="[A-Za-z0-9+/=]+"', 'content=""', 'g'),
+      'value="[A-Za-z0-9+/=]+"', 'value=""', 'g')) AS hash,
+    md5(regexp_replace(regexp_replace(regexp_replace(h, 'content="[A-Za-z0-9+/=]+"', 'content=""', 'g'),
+      'value="[A-Za-z0-9+/=]+"', 'value=""', 'g'), '\\?X-Amz-[^"'']+', '', 'g')) AS detail_hash
+    FROM (SELECT page_id, html || '<meta content="' || md5(url) || '"><input value="' || page_id || '=="><img src="/a.jpg?X-Amz-Date='
+      || page_id || '">' AS h FROM pages)""",
+)
+def m3(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    html = F.concat(
+        F.col("html"), F.lit('<meta content="'), F.md5("url"), F.lit('"><input value="'), number,
+        F.lit('=="><img src="/a.jpg?X-Amz-Date='), number, F.lit('">'),
+    )
+    return A.table(spark, sf, "pages").select(
+        "page_id", vx.page_hash(html).alias("hash"), vx.page_hash(html, detail=True).alias("detail_hash")
+    )
+
+
+@query(
+    "M5_load_baseline",
+    sql("SELECT sku, CAST(price AS DOUBLE) AS price FROM cur UNION ALL SELECT sku, CAST(price AS DOUBLE) FROM prev WHERE sku NOT IN (SELECT sku FROM cur)", "prev", "cur"),
+)
+def m5(spark: SparkSession, sf: str) -> DataFrame:
+    return _double(dedup.load_baseline(A.snapshot(spark, sf, "previous"), A.snapshot(spark, sf, "current"))).select("sku", "price")
+
+
+_FETCHED = """SELECT sku || '_' || CASE WHEN id % 9 = 0 THEN pos + 10 ELSE pos END || '.avif' AS filename,
+  CASE WHEN id % 13 <> 0 THEN CASE WHEN id % 4 = 0 THEN reverse(md5(url)) ELSE md5(url) END END AS source_hash,
+  CASE WHEN id % 13 <> 0 THEN 'new-etag' END AS etag, CASE WHEN id % 13 = 0 THEN 'gone' END AS error FROM img WHERE id % 7 <> 0"""
+
+
+@query(
+    "M8_update_manifest",
+    sql(
+        f"""SELECT filename, change, CASE change WHEN 'kept' THEN m_hash WHEN 'failed' THEN NULL ELSE f_hash END AS source_hash,
+        CASE change WHEN 'kept' THEN m_etag WHEN 'failed' THEN NULL ELSE f_etag END AS etag,
+        CASE change WHEN 'kept' THEN m_synced WHEN 'failed' THEN 'failed' ELSE 'false' END AS synced,
+        CASE change WHEN 'kept' THEN m_error ELSE f_error END AS error FROM (
+          SELECT coalesce(m.filename, f.filename) AS filename, m.source_hash AS m_hash, f.source_hash AS f_hash, m.etag AS m_etag,
+          f.etag AS f_etag, m.synced AS m_synced, m.error AS m_error, f.error AS f_error,
+          CASE WHEN f.filename IS NULL THEN 'kept' WHEN f.error IS NOT NULL THEN 'failed' WHEN m.filename IS NULL THEN 'new'
+            WHEN m.source_hash IS NOT DISTINCT FROM f.source_hash THEN 'unchanged' ELSE 'changed' END AS change
+          FROM man m FULL JOIN ({_FETCHED}) f ON m.filename = f.filename)""",
+        "man", "img",
+    ),
+)
+def m8(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.update_manifest(A.manifest(spark, sf), A.fetched_images(spark, sf))
+
+
+@query(
+    "M8_legacy_manifest",
+    sql(
+        """SELECT filename, source_hash, CASE WHEN id % 2 = 0 THEN NULL ELSE etag END AS etag,
+        CASE WHEN id % 2 = 0 THEN 'false' ELSE synced END AS synced, CASE WHEN id % 2 = 0 THEN NULL ELSE error END AS error
+        FROM man WHERE source_hash IS NOT NULL""",
+        "man",
+    ),
+)
+def m8l(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.manifest(spark, sf).where(F.col("source_hash").isNotNull())
+    key = F.regexp_extract("filename", r"^CSF-(\d+)_", 1).cast("long")
+    bare = F.concat(F.lit('"'), "source_hash", F.lit('"'))
+    wrapped = F.to_json(F.struct("source_hash", "etag", "synced", "error"))
+    return upsert.read_legacy_manifest(rows.select("filename", F.when(key % 2 == 0, bare).otherwise(wrapped).alias("value")))
+
+
+@query(
+    "M8_sync_flags",
+    sql(
+        """SELECT filename, CASE WHEN pos = 0 THEN 'true' ELSE synced END AS synced, 'false' AS synced_after_reset FROM man""",
+        "man",
+    ),
+)
+def m8f(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = A.manifest(spark, sf)
+    uploaded = manifest.where(F.endswith("filename", F.lit("_0.avif"))).select("filename")
+    marked = upsert.mark_synced(manifest, uploaded).select("filename", "synced")
+    reset = upsert.reset_synced(manifest).select("filename", F.col("synced").alias("synced_after_reset"))
+    return marked.join(reset, "filename")
+
+
+@query(
+    "M9_checkpoint_tables",
+    sql(
+        """SELECT 'processed' AS name, count(*) AS n FROM orders UNION ALL SELECT 'parts', count(*) FROM cat
+        UNION ALL SELECT 'fitments', count(*) FROM fit1 UNION ALL SELECT 'failures', count(*) FROM fail""",
+        "cat", "fit1", "fail",
+    ),
+)
+def m9(spark: SparkSession, sf: str) -> DataFrame:
+    root = work_path(spark, "runs")
+    upsert.save_checkpoint(
+        root, "r1",
+        {
+            "processed": A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("application_id")),
+            "parts": A.catalog(spark, sf),
+            "fitments": _fits(spark, sf),
+            "failures": A.failures(spark, sf),
+        },
+    )
+    restored = upsert.restore_checkpoint(spark, root, "r1")
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in restored.items()]
+    return dedup.concat_exports(*counts)
+
+
+@query(
+    "M10_evolve_schema",
+    sql("SELECT sku, name, CAST(price AS DOUBLE) AS price, true AS no_references, true AS never_synced FROM cat", "cat"),
+)
+def m10(spark: SparkSession, sf: str) -> DataFrame:
+    root = work_path(spark, "catalog")
+    upsert.write_version(A.catalog(spark, sf).drop("interchange_numbers"), root)
+    current = upsert.read_version(spark, root, sc.CATALOG)
+    return _double(current).select(
+        "sku", "name", "price", F.col("interchange_numbers").isNull().alias("no_references"),
+        F.col("last_synced").isNull().alias("never_synced"),
+    )
+
+
+@query("M11_delete_parts", sql("SELECT id, sku FROM cat WHERE id NOT IN (SELECT s_suppkey * 3 FROM supplier)", "cat"))
+def m11(spark: SparkSession, sf: str) -> DataFrame:
+    doomed = A.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
+    return upsert.delete_parts(A.catalog(spark, sf), doomed).select("id", "sku")

@@ -296,3 +296,32 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("application_id"),
         F.col("s_name").alias("model"),
     )
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part listings, one per ``lineitem`` row, with ordering columns; some sightings show a raised price."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey",
+        ((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 10 == 0)).alias("raised"),
+        F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_suppkey").alias("o4"),
+        F.col("l_shipdate").alias("o5"),
+    )
+    parts = catalog(spark, sf_dir)
+    joined = lines.join(parts, lines.l_partkey == parts.id)
+    price = F.when(F.col("raised"), F.col("price") + 1).otherwise(F.col("price")).cast("decimal(10,2)")
+    return joined.withColumn("price", price).withColumnRenamed("l_partkey", "o3").drop("id", "raised")
+
+
+def fetched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of an image run: equal and other hashes, files never seen before, and failures."""
+    rows = catalog(spark, sf_dir).select("id", "sku", F.posexplode("images").alias("pos", "image"))
+    key = F.col("id")
+    number = F.when(key % 9 == 0, F.col("pos") + 10).otherwise(F.col("pos"))
+    digest = F.when(key % 4 == 0, F.reverse(F.md5("image.url"))).otherwise(F.md5("image.url"))
+    failed = key % 13 == 0
+    return rows.where(key % 7 != 0).select(
+        F.concat("sku", F.lit("_"), _text(number), F.lit(".avif")).alias("filename"),
+        F.when(~failed, digest).alias("source_hash"),
+        F.when(~failed, F.lit("new-etag")).alias("etag"),
+        F.when(failed, F.lit("gone")).alias("error"),
+    )

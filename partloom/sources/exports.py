@@ -208,32 +208,17 @@ def hierarchical_rows(fitments: DataFrame, parts: DataFrame) -> DataFrame:
     return joins.fitment_to_parts(fitments.select("sku", "year", "make", "model"), export_rows(parts))
 
 
-def write_hierarchical(fitments: DataFrame, parts: DataFrame, path: str, *, salts: int = 8) -> None:
-    """Year, make and model become the folder tree, part rows the leaves.
+def write_hierarchical(fitments: DataFrame, parts: DataFrame, path: str) -> None:
+    """Rows in year, make, model order, one folder per year.
 
-    Nesting them into one document would gather whole branches in one task. Here rows are spread by vehicle and a salt,
-    so a vehicle that holds much of the catalog is written by several tasks.
+    Nesting them into one document would gather whole branches in one task. The rows are range-partitioned instead, with
+    the sku as last key, so a vehicle that holds much of the catalog is cut over several tasks and files stay sorted.
     """
+    keys = ("year", "make", "model", "sku")
     rows = hierarchical_rows(fitments, parts)
-    salt = F.pmod(F.xxhash64("sku"), F.lit(salts))
-    spread = rows.repartition("year", "make", "model", salt)
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     years = rows.select("year").distinct()
-    _write(spread, path, _metadata(years, "total_years", structure=K.HIERARCHY_STRUCTURE), ("year", "make", "model"))
-
-
-def nested_hierarchy(rows: DataFrame, *fields: str) -> DataFrame:
-    """The nested form of one level up: per year a map of makes, each a map of models with their parts.
-
-    For reports over a selection. A year's branch has to fit one row, so whole catalogs are published as a folder tree.
-    """
-    part = F.struct(*fields)
-    models = rows.groupBy("year", "make", "model").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    makes = models.groupBy("year", "make").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "parts")))).alias("models")
-    )
-    return makes.groupBy("year").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("make", "models")))).alias("makes")
-    )
+    _write(ordered, path, _metadata(years, "total_years", structure=K.HIERARCHY_STRUCTURE), ("year",))
 
 
 def complete_rows(parts: DataFrame, fitments: DataFrame, order: list[str] | None = None) -> DataFrame:

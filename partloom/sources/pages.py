@@ -17,12 +17,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from partloom import constants as K
 from partloom.functions import text as tx
 from partloom.functions.engine import with_vehicle_qualifiers
-from partloom.sources.markup import Element, Selector, parse
+from partloom.sources.markup import Element, parse
+from partloom.sources.structure import detail_reader, listing_reader, match_reader
 
-BLOCK = T.StructType.fromDDL("sku string, name string, category string, block_text string, cells array<string>")
-TABLE = T.StructType.fromDDL("headers array<string>, rows array<struct<cells array<string>, tds array<string>>>")
-ABOUT = T.StructType.fromDDL("title string, subtitle string, chunks array<string>, items array<string>")
-PICTURE = T.StructType.fromDDL("src string, alt string")
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+BLOCK = _struct(sku=_TEXT, name=_TEXT, category=_TEXT, block_text=_TEXT, cells=_TEXTS)
+TABLE = _struct(headers=_TEXTS, rows=T.ArrayType(_struct(cells=_TEXTS, tds=_TEXTS)))
+ABOUT = _struct(title=_TEXT, subtitle=_TEXT, chunks=_TEXTS, items=_TEXTS)
+PICTURE = _struct(src=_TEXT, alt=_TEXT)
+MATCH = _struct(text=_TEXT, value=_TEXT)
 
 
 def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict]) -> DataFrame:
@@ -44,31 +53,12 @@ def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callab
 # --- listing pages --------------------------------------------------------------------------------------------------
 
 
-def _listing_reader(glue: str) -> Callable[[Element], dict]:
-    blocks, link, head = Selector(".row.app"), Selector("h4 a"), Selector("h4")
-    title, cell = Selector(".panel-header h4"), Selector("table.table-borderless tbody tr td")
-
-    def one(block: Element) -> dict:
-        anchor, heading, panel = link.first(block), head.first(block), block.ancestor("div", "panel")
-        category = title.first(panel) if panel else None
-        return {
-            "sku": anchor.text() if anchor else None,
-            "name": heading.text(glue) if heading else "",
-            "category": category.text() if category else None,
-            "block_text": block.lines(),
-            "cells": [c.text(glue) for c in cell.all(block)],
-        }
-
-    return lambda root: {"blocks": [one(b) for b in blocks.all(root)]}
-
-
 def read_listings(pages: DataFrame, keys: list[str], *, join_with_space: bool = False) -> DataFrame:
     """Raw part blocks of listing pages, one row each, with ``page_pos`` counting from 0.
 
     Text nodes are joined without a space, as the feed's own names are; ``join_with_space`` puts one in.
     """
-    found = T.StructType([T.StructField("blocks", T.ArrayType(BLOCK))])
-    read = _read(pages, keys, found, _listing_reader(" " if join_with_space else ""))
+    read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(" " if join_with_space else ""))
     return read.select(*keys, F.posexplode("blocks").alias("page_pos", "b")).select(*keys, "page_pos", "b.*")
 
 
@@ -130,40 +120,10 @@ def listing_specs(cells: Column) -> Column:
 # --- detail pages ---------------------------------------------------------------------------------------------------
 
 
-def _table(table: Element) -> dict:
-    rows = [
-        {"cells": [c.text() for c in row.find("td", "th")], "tds": [c.text() for c in row.find("td")]}
-        for row in table.find("tr")
-    ]
-    return {"headers": [h.text() for h in table.find("th")], "rows": rows}
-
-
-def _detail_reader(root: Element) -> dict:
-    box = Selector("div.col-6").first(root)
-    about = None
-    if box is not None:
-        first = lambda tag: next(iter(box.find(tag)), None)
-        title, subtitle, items = first("h5"), first("p"), first("ul")
-        about = {
-            "title": title.text() if title else None,
-            "subtitle": subtitle.text() if subtitle else None,
-            "chunks": [c.strip() for c in box.children if isinstance(c, str)],
-            "items": [li.text() for li in items.find("li")] if items else [],
-        }
-    pictures = [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", "")} for i in root.find("img")]
-    return {"tables": [_table(t) for t in root.find("table")], "about": about, "pictures": pictures}
-
-
 def read_details(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Tables, description box and pictures of detail pages."""
-    found = T.StructType(
-        [
-            T.StructField("tables", T.ArrayType(TABLE)),
-            T.StructField("about", ABOUT),
-            T.StructField("pictures", T.ArrayType(PICTURE)),
-        ]
-    )
-    return _read(pages, keys, found, _detail_reader)
+    found = _struct(tables=T.ArrayType(TABLE), about=ABOUT, pictures=T.ArrayType(PICTURE))
+    return _read(pages, keys, found, detail_reader)
 
 
 def _pair(key: Column, value: Column) -> Column:
@@ -276,14 +236,8 @@ def tech_notes(specs: Column) -> Column:
 
 
 def _matches(pages: DataFrame, css: str, keys: list[str], attribute: str | None, *, first: bool) -> DataFrame:
-    selector = Selector(css)
-
-    def reader(root: Element) -> dict:
-        elements = [e for e in [selector.first(root)] if e is not None] if first else selector.all(root)
-        return {"m": [{"text": e.text(), "value": e.attrs.get(attribute) if attribute else None} for e in elements]}
-
-    found = T.StructType.fromDDL("m array<struct<text string, value string>>")
-    return _read(pages, keys, found, reader)
+    found = _struct(m=T.ArrayType(MATCH))
+    return _read(pages, keys, found, match_reader(css, attribute, first=first))
 
 
 def select_text(pages: DataFrame, css: str, keys: list[str]) -> DataFrame:
