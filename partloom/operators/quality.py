@@ -43,11 +43,18 @@ def _has_errors() -> Column:
     return F.exists("issues", lambda i: i["severity"] == ERROR)
 
 
+def sound(rules: list[Rule]) -> Column:
+    """No error rule fires. Plain predicates, so that splitting good from bad rows builds no arrays."""
+    out = F.lit(True)
+    for condition, severity, _, _ in rules:
+        if severity == ERROR:
+            out = out & ~_yes(condition)
+    return out
+
+
 def issue_rows(judged: DataFrame, key: str) -> DataFrame:
     """One row per issue."""
-    return judged.where(F.size("issues") > 0).select(F.col(key).alias("key"), F.explode("issues").alias("i")).select(
-        "key", "i.severity", "i.field", "i.message"
-    )
+    return judged.select(F.col(key).alias("key"), F.inline("issues"))
 
 
 def summary(judged: DataFrame, *, strict: bool = False, extra: DataFrame | None = None) -> DataFrame:
@@ -223,17 +230,21 @@ def preprocess_parts(parts: DataFrame) -> DataFrame:
     )
 
 
+def batch_rules() -> list[Rule]:
+    """Rules for preprocessed records. A price that cannot be read rejects its row, not the batch."""
+    return [*part_rules(), (F.col("price_bad"), ERROR, "price", "cannot be read")]
+
+
 def judge_batch(raw: DataFrame) -> DataFrame:
-    """Preprocess and judge raw records. A price that cannot be read rejects its row, not the batch."""
-    unreadable: Rule = (F.col("price_bad"), ERROR, "price", "cannot be read")
-    return check_parts(preprocess_parts(raw), more=[unreadable])
+    """Preprocess and judge raw records."""
+    return preprocess_parts(raw).withColumn("issues", issues(batch_rules()))
 
 
 def validate_batch(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows in stored form, and rejected rows with their issues."""
-    judged = judge_batch(raw)
-    valid = normalize_parts(judged.where(~_has_errors())).drop("issues", "price_bad")
-    return valid, judged.where(_has_errors())
+    ready, rules = preprocess_parts(raw), batch_rules()
+    valid = normalize_parts(ready.where(sound(rules))).drop("price_bad")
+    return valid, ready.where(~sound(rules)).withColumn("issues", issues(rules))
 
 
 def drop_invalid_pages(judged: DataFrame, page: str = "page_id", *, on_invalid: str = "fail_page") -> DataFrame:

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.functions import text as tx
 from partloom.operators import aggregates, filters, paging, projections
 from partloom.registry import query
 from partloom.registry.base import capitalized, fractions, slug, sql, title, words
 from partloom.sources import adapters as A
 
 
-def _line(*columns: str) -> list:
-    return [F.col(c) for c in columns]
-
-
 def _price(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.col("price").cast("double"))
 
@@ -757,5 +752,3 @@ def u4d(spark: SparkSession, sf: str) -> DataFrame:
     both = counted.unionByName(listed)
     return both.agg(*[F.max(F.when(F.col("item") == i, F.col("n"))).alias(i) for i in ("listed", "counted")])
 
-
-_ = tx, _line

@@ -1 +1,123 @@
-"""placeholder"""
+"""Streaming jobs, each run over everything that has arrived and then read as a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partloom import schemas as sc
+from partloom.operators import upsert
+from partloom.registry import query
+from partloom.registry.base import sql
+from partloom.registry.changes import _CHANGES
+from partloom.session import work_path
+from partloom.sources import adapters as A
+from partloom.sources import exports
+from partloom.streaming import jobs
+
+ORDER = list(A.ORDER)
+PART_COLUMNS = ["sku", "name", "price", "category", "specifications", "images", "manufacturer", "in_stock", "features", "position"]
+
+
+@query(
+    "ST1_page_change_stream",
+    sql(
+        """SELECT page_id, url, hash FROM ph UNION ALL SELECT page_id + 1000000, url, md5(regexp_replace(regexp_replace(html || ' new',
+        'content="[A-Za-z0-9+/=]+"', 'content=""', 'g'), 'value="[A-Za-z0-9+/=]+"', 'value=""', 'g')) FROM ph WHERE page_id % 3 = 0""",
+        "ph",
+    ),
+)
+def st1(spark: SparkSession, sf: str) -> DataFrame:
+    """Two crawls arrive one after the other; a third of the pages differ the second time."""
+    root = work_path(spark, "page-stream")
+    first = A.table(spark, sf, "pages")
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(" new"))).otherwise(F.col("html"))
+    second = first.select((F.col("page_id") + 1000000).alias("page_id"), "url", html.alias("html"))
+    for crawl in (first, second):
+        crawl.write.mode("append").parquet(f"{root}/in")
+        stream = jobs.read_files(spark, f"{root}/in", first.schema, per_batch=1)
+        jobs.run_available(stream, jobs.page_changes(root, compact_every=1), f"{root}/checkpoint")
+    return jobs.read_page_changes(spark, root).select("page_id", "url", "hash")
+
+
+@query(
+    "ST2_import_stream",
+    sql("SELECT sku, CAST(price AS DOUBLE) AS price FROM cur UNION ALL SELECT sku, CAST(price AS DOUBLE) FROM prev WHERE sku NOT IN (SELECT sku FROM cur)", "prev", "cur"),
+)
+def st2(spark: SparkSession, sf: str) -> DataFrame:
+    """Two drops, the second one later; the catalog ends as the first drop updated by the second."""
+    root = work_path(spark, "import-stream")
+    for which in ("previous", "current"):
+        rows = exports.export_rows(A.snapshot(spark, sf, which)).select("sku", "name", "category", "description", "manufacturer", "price")
+        rows.select(F.array(F.struct(*rows.columns)).alias("parts")).write.mode("append").json(f"{root}/drops")
+        jobs.run_available(jobs.read_drops(spark, f"{root}/drops", per_batch=100), jobs.import_drops(root), f"{root}/checkpoint")
+    final = upsert.read_version(spark, f"{root}/catalog", sc.CATALOG)
+    return final.select("sku", F.col("price").cast("double").alias("price"))
+
+
+def _listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Listing rows with the part, the vehicle and the order of each sighting."""
+    parts = A.occurrences(spark, sf).select(*PART_COLUMNS, *ORDER)
+    fits = A.fitments(spark, sf).select("make", "model", "year", "engine", "aspiration", "qualifiers", *ORDER)
+    return parts.join(fits, ORDER)
+
+
+def _arrive(spark: SparkSession, rows: DataFrame, root: str, handler: jobs.Handler) -> None:
+    """Rows arrive in three parts, by order number."""
+    for part in range(3):
+        rows.where(F.col("o1") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        stream = jobs.read_files(spark, f"{root}/in", rows.schema, per_batch=100)
+        jobs.run_available(stream, handler, f"{root}/checkpoint")
+
+
+@query(
+    "ST3_dedup_stream",
+    sql(
+        """SELECT 'fitments' AS item, count(*) AS n, CAST(0 AS DOUBLE) AS total FROM fit1 UNION ALL
+        SELECT 'parts', count(*), CAST(sum(price) AS DOUBLE) FROM (SELECT l_partkey, CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0
+          THEN price + 1 ELSE price END AS price, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey % 3 DESC, l_orderkey DESC,
+          l_linenumber DESC, l_suppkey DESC, l_shipdate DESC) AS rn FROM lineitem JOIN cat ON id = l_partkey) WHERE rn = 1""",
+        "fit1", "cat",
+    ),
+)
+def st3(spark: SparkSession, sf: str) -> DataFrame:
+    root = work_path(spark, "dedup-stream")
+    rows = _listings(spark, sf)
+    _arrive(spark, rows, root, jobs.dedup_listings(root, ORDER))
+    parts = upsert.read_version(spark, f"{root}/parts", rows.select(*PART_COLUMNS).schema)
+    key = ["sku", "make", "model", "year", "engine"]
+    fits = upsert.read_version(spark, f"{root}/fitments", rows.select(*key).schema)
+    count = F.count(F.lit(1)).alias("n")
+    return parts.agg(count, F.sum(F.col("price")).cast("double").alias("total")).select(F.lit("parts").alias("item"), "n", "total").unionByName(
+        fits.agg(count).select(F.lit("fitments").alias("item"), "n", F.lit(0.0).alias("total"))
+    )
+
+
+@query(
+    "ST4_failure_stream",
+    sql(
+        """SELECT phase, count(*) AS failures, CAST(count_if(is_retryable) AS BIGINT) AS retryable,
+        CAST(count_if(NOT is_retryable) AS BIGINT) AS permanent FROM fail GROUP BY phase""",
+        "fail",
+    ),
+)
+def st4(spark: SparkSession, sf: str) -> DataFrame:
+    root = work_path(spark, "failure-stream")
+    events = A.table(spark, sf, "events")
+    stream = jobs.read_files(spark, sf, events.schema, pathGlobFilter="events.parquet")
+    failures = stream.select(F.col("event_type").alias("phase"), (F.col("value") < 50).alias("is_retryable"))
+    counted = jobs.failure_counts(failures)
+    jobs.run_available(counted, jobs.keep_latest(f"{root}/counts"), f"{root}/checkpoint", mode="complete")
+    return upsert.read_version(spark, f"{root}/counts", counted.schema)
+
+
+@query("ST5_delta_publish", sql(f"SELECT DISTINCT sku FROM ({_CHANGES})", "cat", "prev"))
+def st5(spark: SparkSession, sf: str) -> DataFrame:
+    """Each batch publishes what is new or changed since the baseline and the batches before it."""
+    root = work_path(spark, "delta-stream")
+    rows = A.occurrences(spark, sf).select(*PART_COLUMNS, *ORDER)
+    baseline = lambda s: A.snapshot(s, sf, "previous").select(*PART_COLUMNS)
+    _arrive(spark, rows, root, jobs.publish_deltas(root, baseline, ORDER))
+    schema = rows.select("sku").schema
+    return spark.read.schema(schema).json(f"{root}/delta/*/rows").distinct()
+
