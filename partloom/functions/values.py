@@ -47,7 +47,7 @@ def merge_maps(left: Column, right: Column) -> Column:
 
 def sorted_entries(col: Column) -> Column:
     """A map as an ordered array, so that equal maps compare and hash alike."""
-    return F.array_sort(F.map_entries(col))
+    return F.sort_array(F.map_entries(col))
 
 
 def first_filled(specs: Column, names: tuple[str, ...]) -> Column:

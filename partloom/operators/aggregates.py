@@ -298,7 +298,7 @@ def part_makes(fitments: DataFrame, order: list[str]) -> DataFrame:
     Reduced to one row per part and make first; what remains per part is bounded by the number of makes.
     """
     first = fitments.groupBy("sku", "make").agg(F.min(F.struct(*order)).alias("_first"))
-    listed = F.array_sort(F.collect_list(F.struct("_first", "make")))
+    listed = F.sort_array(F.collect_list(F.struct("_first", "make")))
     return first.groupBy("sku").agg(F.transform(listed, lambda e: e["make"]).alias("makes"))
 
 
@@ -308,7 +308,7 @@ def engine_variants(fitments: DataFrame, year: int | None, make: str, model: str
     if year is not None:
         same = same & (F.col("year") == year)
     engines = fitments.where(same & (F.col("engine") != "")).select("sku", "engine").distinct()
-    return engines.groupBy("sku").agg(F.array_sort(F.collect_list("engine")).alias("engines"))
+    return engines.groupBy("sku").agg(F.sort_array(F.collect_list("engine")).alias("engines"))
 
 
 def recent_log(log: DataFrame, limit: int = K.LOG_ENTRIES, tie_break: str = "event_id") -> DataFrame:

@@ -33,7 +33,7 @@ def format_spans(years: Column) -> Column:
 def year_spans(fitments: DataFrame) -> DataFrame:
     """Runs of consecutive years per part, make and model, one row per run."""
     keys = ("sku", "make", "model")
-    years = fitments.select(*keys, "year").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("year")).alias("y"))
+    years = fitments.select(*keys, "year").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("year")).alias("y"))
     runs = years.select(*keys, F.explode(spans(F.col("y"))).alias("s"))
     label = format_spans(F.sequence("s.first", "s.last"))
     return runs.select(*keys, F.col("s.first").alias("first_year"), F.col("s.last").alias("last_year"), label.alias("label"))
@@ -53,10 +53,10 @@ def fitment_cards(fitments: DataFrame) -> DataFrame:
         F.array_join(F.coalesce("qualifiers", F.array().cast("array<string>")), "|").alias("qualifiers"),
     ).distinct()
     per_variant = variant.groupBy("sku", "make", "model", "engine", "aspiration", "qualifiers").agg(
-        F.array_sort(F.collect_list("year")).alias("years")
+        F.sort_array(F.collect_list("year")).alias("years")
     )
     return per_variant.groupBy("sku", "make", "model", "years").agg(
-        F.array_sort(F.collect_list(F.struct("engine", "aspiration", "qualifiers"))).alias("variants")
+        F.sort_array(F.collect_list(F.struct("engine", "aspiration", "qualifiers"))).alias("variants")
     )
 
 
@@ -144,4 +144,4 @@ def sort_interchange(parts: DataFrame) -> DataFrame:
     keyed = F.transform("interchange_numbers", lambda r: F.struct(
         F.coalesce(r.reference_type, F.lit("")).alias("t"), F.coalesce(r.reference_number, F.lit("")).alias("n"), r.alias("r")
     ))
-    return parts.withColumn("interchange_numbers", F.transform(F.array_sort(keyed), lambda e: e["r"]))
+    return parts.withColumn("interchange_numbers", F.transform(F.sort_array(keyed), lambda e: e["r"]))

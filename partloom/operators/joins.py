@@ -29,7 +29,7 @@ def group_fitments(fitments: DataFrame, order: list[str] | None = None) -> DataF
     fields = [f for f in VEHICLE_FIELDS if f in fitments.columns]
     sort = order or [f for f in ("make", "model", "year", "engine") if f in fields]
     entry = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(sort)], F.struct(*fields).alias("v"))
-    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"])
+    listed = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
     return fitments.groupBy("sku").agg(listed.alias("vehicles"))
 
 

@@ -23,16 +23,43 @@ def _yes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def issues(rules: list[Rule]) -> Column:
-    """The rules that fire, as an array of structs."""
-    fired = [
-        F.when(
-            _yes(condition),
-            F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("field"), F.lit(message).alias("message")),
-        )
-        for condition, severity, name, message in rules
-    ]
-    return F.filter(F.array(*fired), lambda i: i.isNotNull())
+def mask(rules: list[Rule]) -> Column:
+    """The rules that fire, as bits of one number. This is where the conditions are evaluated, in compiled code."""
+    total = F.lit(0).cast("long")
+    for bit, (condition, *_) in enumerate(rules):
+        total = total + F.when(_yes(condition), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
+    return total
+
+
+def unmask(bits: Column, rules: list[Rule]) -> Column:
+    """The fired rules as an array of (severity, field, message), looked up in a constant table."""
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(severity).alias("severity"), F.lit(name).alias("field"), F.lit(message).alias("message"),
+                F.lit(1 << bit).cast("long").alias("bit"),
+            )
+            for bit, (_, severity, name, message) in enumerate(rules)
+        ]
+    )
+    # The bits go in as an argument: inside a lambda they would be evaluated again for every rule.
+    fired = F.zip_with(
+        known,
+        F.array_repeat(bits, len(rules)),
+        lambda r, b: F.when(
+            b.bitwiseAND(r["bit"]) != 0,
+            F.struct(r["severity"].alias("severity"), r["field"].alias("field"), r["message"].alias("message")),
+        ),
+    )
+    return F.filter(fired, lambda i: i.isNotNull())
+
+
+def error_bits(rules: list[Rule]) -> int:
+    return sum(1 << bit for bit, rule in enumerate(rules) if rule[1] == ERROR)
+
+
+def with_issues(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    return df.withColumn("_bits", mask(rules)).withColumn("issues", unmask(F.col("_bits"), rules)).drop("_bits")
 
 
 def _empty(col: Column) -> Column:
@@ -43,18 +70,10 @@ def _has_errors() -> Column:
     return F.exists("issues", lambda i: i["severity"] == ERROR)
 
 
-def sound(rules: list[Rule]) -> Column:
-    """No error rule fires. Plain predicates, so that splitting good from bad rows builds no arrays."""
-    out = F.lit(True)
-    for condition, severity, _, _ in rules:
-        if severity == ERROR:
-            out = out & ~_yes(condition)
-    return out
-
-
 def issue_rows(judged: DataFrame, key: str) -> DataFrame:
     """One row per issue."""
-    return judged.select(F.col(key).alias("key"), F.inline("issues"))
+    rows = judged.select(F.col(key).alias("key"), F.inline_outer("issues"))
+    return rows.where(F.col("severity").isNotNull())
 
 
 def summary(judged: DataFrame, *, strict: bool = False, extra: DataFrame | None = None) -> DataFrame:
@@ -83,26 +102,37 @@ def summary(judged: DataFrame, *, strict: bool = False, extra: DataFrame | None
 
 def _sku_rules(col: Column, name: str, *, limit: int | None) -> list[Rule]:
     sku = tx.normalize_sku(col)
+    blank = F.coalesce(sku, F.lit("")) == ""
     rules = [
-        (_empty(col), ERROR, name, "is required"),
-        (~_empty(col) & ~F.startswith(sku, F.lit(K.SKU_PREFIX)), ERROR, name, f"must start with '{K.SKU_PREFIX}'"),
+        (blank, ERROR, name, "is required"),
+        (~blank & ~F.startswith(sku, F.lit(K.SKU_PREFIX)), ERROR, name, f"must start with '{K.SKU_PREFIX}'"),
     ]
     if limit:
-        rules.append((F.char_length(tx.strip(col)) > limit, ERROR, name, f"is longer than {limit}"))
+        rules.append((F.char_length(sku) > limit, ERROR, name, f"is longer than {limit}"))
     return rules
 
 
+def _too_precise(price: Column) -> Column:
+    """More than two decimal places; trailing zeros do not count. Only exponent notation needs exact arithmetic."""
+    exact = vx.exact_number(price)
+    return F.when(F.contains(F.lower(price), F.lit("e")), exact != F.round(exact, K.PRICE_DECIMALS)).otherwise(
+        price.rlike(r"\.\d\d\d*[1-9]")
+    )
+
+
 def _price_rules(price: Column) -> list[Rule]:
-    """Price text: a number, above zero, within the ceiling, at most two places. Trailing zeros do not count."""
-    given = price.isNotNull() & (price != "None")
-    number = vx.is_number(price)
-    exact, rough = vx.exact_number(price), price.try_cast("double")
-    return [
-        (given & ~number, ERROR, "price", "is not a number"),
-        (given & number & (rough > K.PRICE_MAX), ERROR, "price", "is unreasonably high"),
-        (given & number & (rough <= 0), ERROR, "price", "must be greater than 0"),
-        (given & number & (exact != F.round(exact, K.PRICE_DECIMALS)), ERROR, "price", "has more than 2 decimal places"),
-    ]
+    """Price text: a number within the ceiling, at most two places, above zero. The first fault found is the one told."""
+    value = price.try_cast("double")
+    faults = ["is not a number", "is unreasonably high", "has more than 2 decimal places", "must be greater than 0"]
+    code = (
+        F.when(price.isNull() | (price == "None"), 0)
+        .when(~vx.is_number(price), 1)
+        .when(value > K.PRICE_MAX, 2)
+        .when(_too_precise(price), 3)
+        .when(value <= 0, 4)
+        .otherwise(0)
+    )
+    return [(code == n, ERROR, "price", fault) for n, fault in enumerate(faults, 1)]
 
 
 def part_rules() -> list[Rule]:
@@ -137,24 +167,36 @@ def completeness_rules() -> list[Rule]:
 
 def check_parts(parts: DataFrame, *, warnings: bool = False, more: list[Rule] = ()) -> DataFrame:
     """Judge part records. Prices are text here. Completeness warnings are given only for rows without errors."""
-    judged = parts.withColumn("issues", issues([*part_rules(), *more]))
+    rules = [*part_rules(), *more]
     if warnings:
-        judged = judged.withColumn("issues", F.when(_has_errors(), F.col("issues")).otherwise(issues(completeness_rules())))
-    return judged
+        rules = [*rules, *completeness_rules()]
+    errors = F.lit(error_bits(rules)).cast("long")
+    kept = F.when(F.col("_bits").bitwiseAND(errors) != 0, F.col("_bits").bitwiseAND(errors)).otherwise(F.col("_bits"))
+    staged = parts.withColumn("_bits", mask(rules)).withColumn("_bits", kept)
+    return staged.withColumn("issues", unmask(F.col("_bits"), rules)).drop("_bits")
 
 
-def normalize_parts(parts: DataFrame) -> DataFrame:
+def sound_parts(parts: DataFrame) -> DataFrame:
+    """Part records without errors."""
+    rules = part_rules()
+    good = mask(rules).bitwiseAND(F.lit(error_bits(rules)).cast("long")) == 0
+    return _fence(parts.withColumn("_good", good), "_good").where("_good").drop("_good")
+
+
+def stored_form(parts: DataFrame) -> dict[str, Column]:
     """Stored form of sound records: upper-case sku, title-cased category, stripped texts, typed price."""
-    stripped_images = F.transform("images", lambda i: i.withField("url", tx.strip(i.url)).withField("alt_text", tx.strip(i.alt_text)))
-    return parts.withColumns(
-        {
-            "sku": tx.normalize_sku(F.col("sku")),
-            "name": tx.strip(F.col("name")),
-            "category": tx.normalize_label(F.col("category")),
-            "price": F.when(F.col("price") != "None", vx.price_of(F.col("price"))),
-            "images": F.coalesce(stripped_images, F.array().cast(parts.schema["images"].dataType)),
-        }
-    )
+    stripped = F.transform("images", lambda i: i.withField("url", tx.strip(i.url)).withField("alt_text", tx.strip(i.alt_text)))
+    return {
+        "sku": tx.normalize_sku(F.col("sku")),
+        "name": tx.strip(F.col("name")),
+        "category": tx.normalize_label(F.col("category")),
+        "price": F.when(F.col("price") != "None", vx.price_of(F.col("price"))),
+        "images": F.coalesce(stripped, F.array().cast(parts.schema["images"].dataType)),
+    }
+
+
+def normalize_parts(parts: DataFrame) -> DataFrame:
+    return parts.withColumns(stored_form(parts))
 
 
 def vehicle_rules(current_year: int) -> list[Rule]:
@@ -186,7 +228,7 @@ def check_vehicles(vehicles: DataFrame, *, current_year: int) -> DataFrame:
     have = set(vehicles.columns)
     lacking = [f for f in sc.VEHICLE.fields if f.name not in have]
     full = vehicles.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lacking])
-    return full.withColumn("issues", issues(vehicle_rules(current_year))).select(*vehicles.columns, "issues")
+    return with_issues(full, vehicle_rules(current_year)).select(*vehicles.columns, "issues")
 
 
 def normalize_vehicles(vehicles: DataFrame) -> DataFrame:
@@ -199,7 +241,7 @@ def check_compat(entries: DataFrame) -> DataFrame:
         *_sku_rules(F.col("part_sku"), "part_sku", limit=None),
         (F.coalesce(F.size("vehicles"), F.lit(0)) <= 0, ERROR, "vehicles", "needs at least one vehicle"),
     ]
-    return entries.withColumn("issues", issues(rules))
+    return with_issues(entries, rules)
 
 
 def check_compat_long(fitments: DataFrame, key: str = "part_sku", vehicle_year: str = "year") -> DataFrame:
@@ -209,7 +251,7 @@ def check_compat_long(fitments: DataFrame, key: str = "part_sku", vehicle_year:
         *_sku_rules(F.col(key), key, limit=None),
         (F.col("vehicle_count") == 0, ERROR, "vehicles", "needs at least one vehicle"),
     ]
-    return counted.withColumn("issues", issues(rules))
+    return with_issues(counted, rules)
 
 
 def preprocess_parts(parts: DataFrame) -> DataFrame:
@@ -237,14 +279,36 @@ def batch_rules() -> list[Rule]:
 
 def judge_batch(raw: DataFrame) -> DataFrame:
     """Preprocess and judge raw records."""
-    return preprocess_parts(raw).withColumn("issues", issues(batch_rules()))
+    return with_issues(preprocess_parts(raw), batch_rules())
+
+
+def _fence(df: DataFrame, name: str) -> DataFrame:
+    """Keep filters on a costly column above the projection that computes it.
+
+    A filter moves below a projection by repeating its expressions, and filters do not share common parts. It does not
+    move below a one-element ``explode``.
+    """
+    return df.withColumn(name, F.explode(F.array(name)))
+
+
+def validate_rows(raw: DataFrame) -> DataFrame:
+    """Preprocess and judge every record in one pass: ``valid``, ``issues``, and stored form where valid.
+
+    Rejected rows keep their texts as they came and have no price. ``price_text`` is every row's price as it was read.
+    """
+    rules = batch_rules()
+    ready = preprocess_parts(raw).withColumn("_bits", mask(rules))
+    ready = ready.withColumn("valid", F.col("_bits").bitwiseAND(F.lit(error_bits(rules)).cast("long")) == 0)
+    stored = stored_form(ready)
+    price = F.when(F.col("valid"), stored.pop("price"))
+    kept = {name: F.when(F.col("valid"), new).otherwise(F.col(name)) for name, new in stored.items()}
+    return _fence(ready, "valid").withColumns({**kept, "price": price, "price_text": F.col("price"), "issues": unmask(F.col("_bits"), rules)}).drop("_bits")
 
 
 def validate_batch(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows in stored form, and rejected rows with their issues."""
-    ready, rules = preprocess_parts(raw), batch_rules()
-    valid = normalize_parts(ready.where(sound(rules))).drop("price_bad")
-    return valid, ready.where(~sound(rules)).withColumn("issues", issues(rules))
+    rows = validate_rows(raw)
+    return rows.where("valid").drop("issues", "price_bad", "valid", "price_text"), rows.where(~F.col("valid")).drop("valid")
 
 
 def drop_invalid_pages(judged: DataFrame, page: str = "page_id", *, on_invalid: str = "fail_page") -> DataFrame:
@@ -383,7 +447,7 @@ def import_sample_rules() -> list[Rule]:
 
 def check_import_sample(parts: DataFrame, vehicles: DataFrame | None = None) -> DataFrame:
     """The stricter check for sample files, as issue rows; vehicles are long rows with the part's sku."""
-    rows = issue_rows(parts.withColumn("issues", issues(import_sample_rules())), "sku")
+    rows = issue_rows(with_issues(parts, import_sample_rules()), "sku")
     if vehicles is None:
         return rows
     year = F.col("year")
@@ -391,7 +455,7 @@ def check_import_sample(parts: DataFrame, vehicles: DataFrame | None = None) ->
         *[(F.col(c).isNull(), ERROR, f"vehicles.{c}", f"Missing required field '{c}'") for c in ("make", "model", "year")],
         ((year < K.IMPORT_YEAR_MIN) | (year > K.IMPORT_YEAR_MAX), ERROR, "vehicles.year", "is not a valid year"),
     ]
-    return rows.unionByName(issue_rows(vehicles.withColumn("issues", issues(rules)), "sku"))
+    return rows.unionByName(issue_rows(with_issues(vehicles, rules), "sku"))
 
 
 def health_thresholds(

@@ -56,9 +56,7 @@ def read_parts_export(
     rows = _items(documents, sc.EXPORT_PART, "parts", "data")
     if not check:
         return rows
-    judged = quality.check_parts(rows)
-    sound = judged.where(~F.exists("issues", lambda i: i["severity"] == quality.ERROR)).drop("issues")
-    return quality.normalize_parts(sound)
+    return quality.normalize_parts(quality.sound_parts(rows))
 
 
 def read_compat_export(
