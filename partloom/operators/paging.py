@@ -92,8 +92,8 @@ def admin_matches(parts: DataFrame, *, category: str = "", search: str = "") ->
     return out
 
 
-def with_position(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Add a gap-free global ``position`` from 0 without pulling the rows into one task.
+def with_position(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """Add a gap-free global position from 0 as column ``name``, without pulling the rows into one task.
 
     The rows are range-sorted over all partitions and written once to reliable storage, so the partitioning is fixed.
     Then one small row per partition says how many rows came before it. Only those rows (as many as there are
@@ -112,7 +112,7 @@ def with_position(df: DataFrame, *order: Column | str) -> DataFrame:
     )
     return (
         numbered.join(offsets, "_part")
-        .withColumn("position", F.col("_before") + F.col("_row"))
+        .withColumn(name, F.col("_before") + F.col("_row"))
         .drop("_part", "_row", "_before")
     )
 

@@ -381,11 +381,11 @@ def check_compat_export(entries: DataFrame, metadata: DataFrame, *, strict: bool
 
 
 def check_hierarchical(leaves: DataFrame, metadata: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Judge a year/make/model export given as leaf rows (year text, make, model, position, part columns).
+    """Judge a year/make/model export given as leaf rows (year text, make, model, leaf_pos, part columns).
 
-    Each issue's key is the leaf's place, ``year.make.model[position]``.
+    Each issue's key is the leaf's place, ``year.make.model[leaf_pos]``.
     """
-    place = F.concat("year", F.lit("."), "make", F.lit("."), "model", F.lit("["), F.col("position").cast("string"), F.lit("]"))
+    place = F.concat("year", F.lit("."), "make", F.lit("."), "model", F.lit("["), F.col("leaf_pos").cast("string"), F.lit("]"))
     judged = check_parts(leaves.withColumn("location", place), warnings=True)
     years = leaves.select("year").distinct()
     odd = years.where(~F.col("year").rlike(r"^\d+$")).select(

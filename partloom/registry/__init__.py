@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from partloom.registry import catalog, changes, files, fitting, pages, quality, streams  # noqa: F401
+    from partloom.registry import catalog, changes, files, fitting, pages, quality, runs, streams  # noqa: F401
 
     return QUERIES, ORACLES

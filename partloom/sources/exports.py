@@ -80,8 +80,8 @@ def read_hierarchical_export(spark: SparkSession, path: str, *, multi_line: bool
     years = documents.select("source_file", F.explode("data").alias("year", "makes"))
     makes = years.select("source_file", "year", F.explode("makes").alias("make", "models"))
     models = makes.select("source_file", "year", "make", F.explode("models").alias("model", "parts"))
-    return models.select("source_file", "year", "make", "model", F.posexplode("parts").alias("position", "p")).select(
-        "source_file", "year", "make", "model", "position", "p.*"
+    return models.select("source_file", "year", "make", "model", F.posexplode("parts").alias("leaf_pos", "p")).select(
+        "source_file", "year", "make", "model", "leaf_pos", "p.*"
     )
 
 
