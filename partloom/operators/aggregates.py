@@ -193,10 +193,8 @@ def breakdowns(stats: DataFrame, file_bytes: Column | None = None) -> DataFrame:
     shares = []
     for metric, share in (("parts_by_category", "category_share"), ("vehicles_by_make", "make_share")):
         rows = stats.where(F.col("metric") == metric)
-        total = rows.agg(F.sum("value").alias("_total"))
-        # A one-row side, joined on a constant key.
-        joined = rows.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
-        shares.append(joined.select(*_metric(share, F.col("value") / F.col("_total") * 100, F.col("key"))))
+        total = rows.agg(F.sum("value")).scalar()
+        shares.append(rows.select(*_metric(share, F.col("value") / total * 100, F.col("key"))))
     pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
     figures = stats.agg(
         pick("total_parts").alias("total"),

@@ -339,17 +339,17 @@ def metadata_issues(metadata: DataFrame, required: tuple[str, ...], count_field:
 
     ``metadata`` has one row (or none when the file lacks it).
     """
-    one = metadata.withColumn("_one", F.lit(1))
-    both = counted.withColumn("_one", F.lit(1)).join(one.withColumn("_present", F.lit(True)), "_one", "left")
-    present = F.coalesce("_present", F.lit(False))
+    known = metadata.select(F.struct(*{*required, count_field}).alias("m")).limit(1)
+    both = counted.select("n", known.scalar().alias("m"))
+    present = F.col("m").isNotNull()
     checks = [_file_issue(~present, ERROR, "structure", F.lit("Missing required key: 'metadata'"))]
     for name in required:
         checks.append(
             _file_issue(
-                present & F.col(name).isNull(), ERROR, f"metadata.{name}", F.lit(f"Missing required metadata field: '{name}'")
+                present & F.col(f"m.{name}").isNull(), ERROR, f"metadata.{name}", F.lit(f"Missing required metadata field: '{name}'")
             )
         )
-    declared = F.coalesce(count_field, F.lit(0))
+    declared = F.coalesce(f"m.{count_field}", F.lit(0))
     checks.append(
         _file_issue(
             present & (declared != F.col("n")), WARNING, f"metadata.{count_field}",

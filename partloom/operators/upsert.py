@@ -84,13 +84,9 @@ def assign_ids(merged: DataFrame) -> DataFrame:
     """Number the created rows after the highest id in use, in sku order, without gaps."""
     fixed = cut_lineage(merged)
     created = with_position(fixed.where(F.col("id").isNull()), "sku", name="_number")
-    highest = fixed.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # A one-row side, joined on a constant key.
-    numbered = created.withColumn("_one", F.lit(1)).join(highest.withColumn("_one", F.lit(1)), "_one")
-    columns = [
-        (F.col("_top") + F.col("_number") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns
-    ]
-    return fixed.where(F.col("id").isNotNull()).unionByName(numbered.select(*columns))
+    highest = fixed.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    columns = [(highest + F.col("_number") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns]
+    return fixed.where(F.col("id").isNotNull()).unionByName(created.select(*columns))
 
 
 def update_manifest(manifest: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_metadata(spark: SparkSession, path: str, rows: DataFrame, field: str) -> DataFrame:
-    meta = spark.read.schema(sc.METADATA).json(f"{path}/metadata").select(F.lit(1).alias("_one"), field)
-    return rows.withColumn("_one", F.lit(1)).join(meta, "_one").drop("_one")
+    meta = spark.read.schema(sc.METADATA).json(f"{path}/metadata").select(field)
+    return rows.withColumn(field, meta.scalar())
 
 
 @query("S7_write_compat", sql(f"SELECT sku AS part_sku, n, vehicles, (SELECT count(DISTINCT sku) FROM fit1) AS total_mappings FROM ({_VEHICLES})", "fit1"))

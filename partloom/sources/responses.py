@@ -56,9 +56,7 @@ def discovered_makes(homepage: DataFrame) -> DataFrame:
         _plain(F.col("a")).alias("make"),
     ).where(F.col("make_id").isNotNull() & (F.col("make") != ""))
     found = found.groupBy("make_id").agg(F.max("make").alias("make"))
-    fixed = fixed_makes(spark).withColumn("_one", F.lit(1))
-    any_found = found.limit(1).select(F.lit(1).alias("_one"))
-    return found.unionByName(fixed.join(any_found, "_one", "left_anti").drop("_one"))
+    return found.unionByName(fixed_makes(spark).where(~found.exists()))
 
 
 def fixed_makes(spark: SparkSession) -> DataFrame:
