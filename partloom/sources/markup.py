@@ -109,9 +109,13 @@ class _Builder(HTMLParser):
         self.here.children.append(data)
 
 
+# A named reference only counts with its semicolon; a bare ampersand is text.
+_BARE_AMPERSAND = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*;|#[0-9]|#[xX][0-9A-Fa-f]))")
+
+
 def parse(html: str) -> Element:
     builder = _Builder()
-    builder.feed(html)
+    builder.feed(_BARE_AMPERSAND.sub("&amp;", html))
     builder.close()
     return builder.root
 

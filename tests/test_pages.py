@@ -84,6 +84,12 @@ def test_entities_comments_and_cells():
     assert [[c.text() for c in r.find("td")] for r in root.find("tr")] == [["a & b", "c"], ["d"]]
 
 
+def test_references_need_their_semicolon():
+    root = parse('<p>a &amp b &lt; c &#38; d&copy</p><a href="?x=1&copy=2&amp;y=3">l</a>')
+    assert root.find("p")[0].text() == "a &amp b < c & d&copy"
+    assert root.find("a")[0].attrs["href"] == "?x=1&copy=2&y=3"
+
+
 def test_dropdown_options(spark):
     js = '$("#x").text("y")\n$("#btnYear").next().html("<ul><li><a data-remote=\\"true\\" href=\\"remote:/get_model_by_make_year/192\\">2025</a></li>'
     js += '<li><a href=\\"/get_model_by_make_year\\/all\\">all</a></li><li><a href=\\"/other/5\\">no</a></li></ul>")'
