@@ -13,7 +13,11 @@ from partloom.session import spread
 from partloom.sources import adapters as A
 from partloom.sources import pages, responses
 
-KEY = F.col("p_partkey")
+
+def _key() -> Column:
+    """Built on use: columns cannot be made before there is a session."""
+    return F.col("p_partkey")
+
 
 ENGINE_TEXTS = (
     "2.0L L4 1993CC 122CI",
@@ -34,7 +38,7 @@ ASPIRATION_TEXTS = ("Turbocharged", "EcoBoost w/ Twin Turbo", "N/A", "Naturally
 
 def _pick(values: tuple[str, ...]) -> Column:
     """One of the given texts, by part key."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (KEY % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (_key() % len(values) + 1).cast("int"))
 
 
 def _pick_sql(values: tuple[str, ...]) -> str:
@@ -56,18 +60,18 @@ def _listing_pages(spark: SparkSession, sf: str) -> DataFrame:
         '<!DOCTYPE html><html><body><div class="panel" id="panel-top"><div class="panel-header">Fitment For</div></div>'
         '<div class="applications"><div class="panel result"><div class="panel-header"><div class="row"><div class="col">'
         '<h4 class="font-weight-bold"> ', F.col("p_type"), ' </h4></div></div></div><div class="panel-body">'
-        '<div class="row app" id="a', KEY, '"><div class="col-8 p-0"><h4>\n  <a href="/items/', KEY, '">', KEY, "</a> - ",
+        '<div class="row app" id="a', _key(), '"><div class="col-8 p-0"><h4>\n  <a href="/items/', _key(), '">', _key(), "</a> - ",
         F.col("p_name"), "\n</h4>Position: <b>Not Applicable</b><br><table class='table table-borderless table-ssm'><tbody><tr>"
         '<td width="50%">Eng. Base: <b>', _pick(ENGINE_TEXTS), "</b></td><td>Aspiration: <b>", _pick(ASPIRATION_TEXTS),
         "</b></td></tr><tr><td>Transmission Control Type: <b>Automatic</b><td>Size: ", F.col("p_size"), "</td><td>Size: ",
         F.col("p_size") + 1, "</td></tr><tr><td>Brand: ", F.col("p_brand"), " &amp; Co: Ltd</td></tr></tbody></table>"
         '<ul class="no-padding"><li>Upgraded core<li>Fits well</ul></div></div>',
-        F.when(KEY % 5 == 0, '<div class="row app"><h4>No link here</h4></div>').otherwise(""),
+        F.when(_key() % 5 == 0, '<div class="row app"><h4>No link here</h4></div>').otherwise(""),
         "</div></div></div>",
-        F.when(KEY % 2 == 0, _html('<div class="app row"><h4><a>CSF-', KEY, "</a> - ", F.col("p_name"), " - extra</h4></div>")).otherwise(""),
+        F.when(_key() % 2 == 0, _html('<div class="app row"><h4><a>CSF-', _key(), "</a> - ", F.col("p_name"), " - extra</h4></div>")).otherwise(""),
         "</body></html>",
     )
-    return _parts(spark, sf).select(KEY.alias("page_id"), blocks.alias("html"))
+    return _parts(spark, sf).select(_key().alias("page_id"), blocks.alias("html"))
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,23 +176,23 @@ def _detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One detail page per part with every table form, a description box and pictures."""
     size = F.col("p_size")
     host = "https://illumaware-digital-assets.s3.example.com/"
-    image = lambda folder, kind, tail: _html('<img alt="', F.col("p_name"), f'" src="{host}{folder}/{kind}/', KEY, f'{tail}.jpg">')
+    image = lambda folder, kind, tail: _html('<img alt="', F.col("p_name"), f'" src="{host}{folder}/{kind}/', _key(), f'{tail}.jpg">')
     html = _html(
         "<html><body><h5></h5><div class='col-6'><h5>", F.col("p_size"), " Row Core</h5><p>", F.col("p_type"),
         "</p>Built to last; made by ", F.col("p_brand"), "; fits!<br>short<ul><li> Strong tank </li><li></li><li>Light</li></ul></div>",
-        F.when(KEY % 4 != 0, image("catalog196", "small", "")).otherwise(""),
+        F.when(_key() % 4 != 0, image("catalog196", "small", "")).otherwise(""),
         image("catalog196", "large", "_1"), image("other", "large", "_2"),
-        F.when(KEY % 3 == 0, image("catalog196", "large", "_3")).otherwise(""),
+        F.when(_key() % 3 == 0, image("catalog196", "large", "_3")).otherwise(""),
         "<table><tr><td>Core Thickness (in):</td><th class='text-left'>", size, "/8 (in)</th></tr>"
         "<tr><td>Box Length (in):", size, " 1/4</td></tr><tr><td>Bottom:x</td><td>Bottom:</td><th>13/16 Left</th>"
         "<td>again</td><td>Core Thickness (in):</td><th>ignored</th></tr><tr><td>a:b</td><td></td></tr>",
-        F.when(KEY % 2 == 0, _html("<tr><td>Tech Note:</td><td>Style ", F.col("p_brand"), "</td></tr>")).otherwise(""),
+        F.when(_key() % 2 == 0, _html("<tr><td>Tech Note:</td><td>Style ", F.col("p_brand"), "</td></tr>")).otherwise(""),
         "</table><table><tr><th>Make</th><th>Model</th></tr><tr><td>Honda</td><td>Civic</td></tr></table>"
-        "<table><tr><th>Reference Number</th><th>Reference Name</th></tr><tr><td>R", KEY, "</td><td>OEM</td></tr><tr><td></td><td>DPI</td></tr>",
-        F.when(KEY % 3 == 0, _html("<tr><td> P", KEY, " </td><td>Partslink</td></tr>")).otherwise(""),
+        "<table><tr><th>Reference Number</th><th>Reference Name</th></tr><tr><td>R", _key(), "</td><td>OEM</td></tr><tr><td></td><td>DPI</td></tr>",
+        F.when(_key() % 3 == 0, _html("<tr><td> P", _key(), " </td><td>Partslink</td></tr>")).otherwise(""),
         "</table></body></html>",
     )
-    return _parts(spark, sf).select(_html("CSF-", KEY).alias("sku"), html.alias("html"))
+    return _parts(spark, sf).select(_html("CSF-", _key()).alias("sku"), html.alias("html"))
 
 
 def _details(spark: SparkSession, sf: str, **options: bool) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 from conftest import ROOT
@@ -47,6 +49,12 @@ def test_entry_gives_rows(spark, sf):
     assert entry.entry(spark).columns == ["id", "sku", "name", "category", "price"]
 
 
+def test_registry_loads_without_a_session():
+    """The driver may list the queries before it starts Spark."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and len(e.oracle_sql()) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_every_sql_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
