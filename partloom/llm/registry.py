@@ -51,3 +51,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), out)
     return read_token_files(spark, out)
+
+
+@query("op1_nearest_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("op2_repetition_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.repetition import repetition_rules
+
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.weak_labels import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The rules of the query, and the words that mark a listed host of the corpus.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+LISTED_HOST = "(^|[.-])(pills|casino|spam|adult|ads|bets)([.-]|$)"
+
+_RULE_ROWS = ", ".join(f"('{v}', '{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}')" for v, t in URL_RULES)
+_URLS_SQL = f"""
+    WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    rules(says, rule, name, begins) AS (VALUES {_RULE_ROWS}),
+    fits AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says
+      FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+        ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, begins) GROUP BY host, path)
+    SELECT page_id, host, path, rule,
+      coalesce(says, CASE WHEN regexp_matches(host, '{LISTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parts LEFT JOIN fits USING (host, path)"""
+
+
+@query("op9_url_filters", _URLS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.urls import build_cascade, judge_urls, url_host
+
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(url_host(pages["url"]).alias("key"))
+    return judge_urls(pages, URL_RULES, build_cascade(spark, hosts, hosts.filter(hosts["key"].rlike(LISTED_HOST))))
