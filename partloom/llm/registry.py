@@ -100,3 +100,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     hosts = pages.select(url_host(pages["url"]).alias("key"))
     return judge_urls(pages, URL_RULES, build_cascade(spark, hosts, hosts.filter(hosts["key"].rlike(LISTED_HOST))))
+
+
+_REPEATS_SQL = r"""
+    WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    flat AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+    windows AS (SELECT doc_id, i, string_agg(w, ' ') OVER span AS k, count(*) OVER span AS n FROM flat
+      WINDOW span AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows WHERE n = 20) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+    kept AS (SELECT flat.doc_id, string_agg(w, ' ' ORDER BY flat.i) AS text, count(*) AS n FROM flat ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+    SELECT words.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op3_substring_dedup", _REPEATS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
