@@ -119,3 +119,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from partloom.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.packing import pack_texts
+
+    return pack_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.ngram_join import Rule, jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
