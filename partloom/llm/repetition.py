@@ -25,8 +25,8 @@ MAX_REPEAT = 100
 LEAST_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 
-COLUMNS = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, "
+MEASURES = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, "
     "longest_repeat long, base_failed boolean, kept boolean"
 )
 
@@ -135,19 +135,26 @@ def _distinct_per_owner(codes: np.ndarray, counts: np.ndarray, distinct: int) ->
     return np.bincount(pairs // (distinct + 1), minlength=len(counts)).astype(np.int64)
 
 
-def _rules(batches: Iterable[pa.RecordBatch], max_covered: float, max_repeat: int) -> Iterator[pa.RecordBatch]:
+def _rules(batches: Iterable[pa.RecordBatch], names: list[str], max_covered: float, max_repeat: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         m = measure(raw_texts(batch.column("text")))
         failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed), "kept": pa.array(kept)})
+        own = {c: batch.column(c) for c in names}
+        yield pa.RecordBatch.from_pydict(own | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed), "kept": pa.array(kept)})
 
 
-def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, keep_columns: bool = False) -> DataFrame:
     """Measures of every whole text, whether the base rules fail, and whether the document is kept.
 
     A document is kept if the base rules hold, repeats of at least ``MIN_WORDS`` words cover at most ``max_covered`` of its words, and the longest
-    has at most ``max_repeat``. A null or empty text has no words and fails. Repeated rows give repeated rows, an empty table an empty one;
-    other columns are ignored. A text is judged in one piece; a task holds a few megabytes of text, or one text.
+    has at most ``max_repeat``. A null or empty text has no words and fails. Repeated rows give repeated rows, an empty table an empty one.
+    With ``keep_columns`` all columns of ``docs`` come first, but for those named like a measure, which are replaced; else only doc_id.
+    A text is judged in one piece; a task holds a few megabytes of text, or one text.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _rules(b, max_covered, max_repeat), COLUMNS)
+    measures = [c.split()[0] for c in MEASURES.split(", ")]
+    names = [c for c in docs.columns if c not in measures] if keep_columns else ["doc_id", "text"]
+    chosen = docs.select(*names)
+    out = names if keep_columns else ["doc_id"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in out] + [MEASURES])
+    return chosen.mapInArrow(lambda b: _rules(b, out, max_covered, max_repeat), schema)
