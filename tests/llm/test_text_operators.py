@@ -227,7 +227,6 @@ def test_components_equal_brute_force(docs, empty, rule):
 
 def test_frequent_tokens_and_small_blocks(spark, monkeypatch):
     """Combinations of tokens, and lots that are cut into many blocks."""
-    monkeypatch.setattr(ngram_join, "RARE", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
