@@ -64,7 +64,6 @@ MAKES = {
 # --- page markers ---------------------------------------------------------------------------------------------------
 PART_MARKERS = (".row.app", "row app")
 SELLING_MARKER = "selling-part"
-GALLERY_HOST = "illumaware-digital-assets.s3"
 GALLERY_CATALOG = "catalog196"
 GALLERY_SIZE = "/large/"
 YEAR_LINK = "get_model_by_make_year"
@@ -208,3 +207,8 @@ IN_STOCK_URL = "https://schema.org/InStock"
 OUT_OF_STOCK_URL = "https://schema.org/OutOfStock"
 CONFIRMED_BADGE = "Your Vehicle"
 POSSIBLE_BADGE = "Possible Match"
+
+# --- import faults ---------------------------------------------------------------------------------------------------
+IMPORT_NO_PARTS = 'Missing or invalid "parts" array.'
+IMPORT_EMPTY = "No parts found in JSON file."
+IMPORT_BROKEN = "The document cannot be read."

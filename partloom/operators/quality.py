@@ -335,12 +335,18 @@ def _file_issue(condition: Column, severity: str, name: str, message: Column) ->
 
 
 def metadata_issues(metadata: DataFrame, required: tuple[str, ...], count_field: str, counted: DataFrame) -> DataFrame:
-    """Issues about a file's metadata row, compared with a one-row frame holding the actual count ``n``.
+    """Issues about metadata, one verdict per metadata row, compared with the actual counts.
 
-    ``metadata`` has one row (or none when the file lacks it).
+    Without a column ``source_file`` on both sides, every metadata row is compared with the one-row frame ``counted`` (column ``n``); with
+    it, each file's metadata is compared with its own count, and a file without metadata is an issue of its own.
     """
-    known = metadata.select(F.struct(*{*required, count_field}).alias("m")).limit(1)
-    both = counted.select("n", known.scalar().alias("m"))
+    per_file = "source_file" in metadata.columns and "source_file" in counted.columns
+    known = metadata.select(*(["source_file"] if per_file else []), F.struct(*dict.fromkeys([*required, count_field])).alias("m"))
+    if per_file:
+        both = counted.join(known, "source_file", "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), "m")
+    else:
+        # The count is one row, so this join keeps the metadata rows, and one empty row if there are none.
+        both = counted.select("n", F.lit(1).alias("_one")).join(known.withColumn("_one", F.lit(1)), "_one", "left").select("n", "m")
     present = F.col("m").isNotNull()
     checks = [_file_issue(~present, ERROR, "structure", F.lit("Missing required key: 'metadata'"))]
     for name in required:
@@ -360,14 +366,16 @@ def metadata_issues(metadata: DataFrame, required: tuple[str, ...], count_field:
     return both.select(F.inline(fired))
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"))
+def _counted(df: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """The number of rows, per source file where both frames tell it."""
+    keys = ["source_file"] if metadata is not None and "source_file" in metadata.columns and "source_file" in df.columns else []
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def check_parts_export(parts: DataFrame, metadata: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Judge an export of parts: (issue rows, summary)."""
     judged = check_parts(parts, warnings=True)
-    about_file = metadata_issues(metadata, ("export_date", "total_parts"), "total_parts", _counted(parts))
+    about_file = metadata_issues(metadata, ("export_date", "total_parts"), "total_parts", _counted(parts, metadata))
     rows = issue_rows(judged, "sku").unionByName(about_file)
     return rows, summary(judged, strict=strict, extra=about_file)
 
@@ -375,7 +383,7 @@ def check_parts_export(parts: DataFrame, metadata: DataFrame, *, strict: bool =
 def check_compat_export(entries: DataFrame, metadata: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Judge an export of fitments: (issue rows, summary). ``entries`` is nested or, without ``vehicles``, long."""
     judged = check_compat(entries) if "vehicles" in entries.columns else check_compat_long(entries)
-    about_file = metadata_issues(metadata, ("export_date", "total_mappings"), "total_mappings", _counted(judged))
+    about_file = metadata_issues(metadata, ("export_date", "total_mappings"), "total_mappings", _counted(judged, metadata))
     rows = issue_rows(judged, "part_sku").unionByName(about_file)
     return rows, summary(judged, strict=strict, extra=about_file)
 
@@ -401,33 +409,33 @@ def check_hierarchical(leaves: DataFrame, metadata: DataFrame, *, strict: bool =
 def check_files(documents: DataFrame) -> DataFrame:
     """One verdict per JSON file of a directory.
 
-    ``documents`` has filename, kind (parts, compatibility, hierarchical, unknown, unreadable) and, per item, the issue
-    counts; see ``sources.exports.judge_directory``. A file of unknown kind is an error of its own.
+    ``documents`` has filename, kind (parts, compatibility, hierarchical, unknown, unreadable) and the file's counts: total, valid, errors and
+    warnings, null without items; see ``sources.exports.judge_directory``. A file of unknown kind is an error of its own.
     """
-    bad = F.col("kind").isin("unknown", "unreadable")
-    return documents.groupBy("filename", "kind").agg(
-        F.count("errors").alias("total"),
-        F.count_if(F.col("errors") == 0).alias("valid"),
-        (F.coalesce(F.sum("errors"), F.lit(0)) + F.max(bad.cast("int"))).alias("errors"),
-        F.coalesce(F.sum("warnings"), F.lit(0)).alias("warnings"),
+    bad = F.col("kind").isin("unknown", "unreadable").cast("int")
+    none = F.lit(0).cast("long")
+    return documents.select(
+        "filename", "kind", F.coalesce("total", none).alias("total"), F.coalesce("valid", none).alias("valid"),
+        (F.coalesce("errors", none) + bad).alias("errors"), F.coalesce("warnings", none).alias("warnings"),
     ).withColumn("is_valid", F.col("errors") == 0)
 
 
 # --- imports --------------------------------------------------------------------------------------------------------
 
 
-def check_import(parts: DataFrame, *, parts_present: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Structure errors of an import (rows of ``error``) and the parts that can be imported (sku given)."""
-    counted = _counted(parts)
-    errors = F.filter(
-        F.array(
-            F.when(F.lit(not parts_present), F.lit('Missing or invalid "parts" array.')),
-            F.when(F.col("n") == 0, F.lit("No parts found in JSON file.")),
-        ),
-        lambda e: e.isNotNull(),
-    )
+def check_import(parts: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Structure errors of an import (rows of source_file, error and how many documents have it) and the parts, marked ``importable`` if a sku is given.
+
+    ``documents`` tells per document its source_file and container, see ``sources.exports.read_structure``: a document without parts and one that
+    cannot be read, metadata that is no object included, are errors.
+    """
+    empty = _counted(parts).where("n = 0").select(F.lit(None).cast("string").alias("source_file"), F.lit(K.IMPORT_EMPTY).alias("error"), F.lit(1).cast("long").alias("documents"))
     usable = parts.withColumn("importable", F.coalesce("sku", F.lit("")) != "")
-    return counted.select(F.explode(errors).alias("error")), usable
+    if documents is None:
+        return empty, usable
+    error = F.when(F.col("container").isin("metadata", "none"), K.IMPORT_NO_PARTS).when(F.col("container") == "broken", K.IMPORT_BROKEN)
+    faults = documents.withColumn("error", error).where("error IS NOT NULL").groupBy("source_file", "error").agg(F.count(F.lit(1)).alias("documents"))
+    return faults.unionByName(empty), usable
 
 
 def import_sample_rules() -> list[Rule]:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from partloom import constants as K
 from partloom.functions import values as vx
 from partloom.operators.paging import with_position
-from partloom.session import cut_lineage
+from partloom.session import work_path
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -81,12 +81,18 @@ def upsert_catalog(
 
 
 def assign_ids(merged: DataFrame) -> DataFrame:
-    """Number the created rows after the highest id in use, in sku order, without gaps."""
-    fixed = cut_lineage(merged)
-    created = with_position(fixed.where(F.col("id").isNull()), "sku", name="_number")
+    """Number the created rows after the highest id in use, in sku order, without gaps.
+
+    The merged rows are staged once; only the skus of created rows are sorted, and their numbers are joined back.
+    """
+    staged = work_path(merged.sparkSession, "merged")
+    merged.write.parquet(staged)
+    fixed = merged.sparkSession.read.parquet(staged)
+    created = fixed.where(F.col("id").isNull())
+    numbers = with_position(created.select("sku"), "sku", name="_number")
     highest = fixed.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     columns = [(highest + F.col("_number") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns]
-    return fixed.where(F.col("id").isNotNull()).unionByName(created.select(*columns))
+    return fixed.where(F.col("id").isNotNull()).unionByName(created.join(numbers, "sku").select(*columns))
 
 
 def update_manifest(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
+def versions(spark: SparkSession, root: str, marker: str = "_SUCCESS") -> list[int]:
     """Complete versions of a table: those whose writer got as far as its success marker."""
     fs, path = _fs(spark, root)
     if not fs.exists(path):
@@ -184,7 +190,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     found = []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+        if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), marker)):
             found.append(int(name.split("=", 1)[1]))
     return sorted(found)
 
@@ -198,6 +204,13 @@ def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
     return version
 
 
+def retire_versions(spark: SparkSession, root: str, keep: int = 3, marker: str = "_SUCCESS") -> None:
+    """Remove all complete versions but the newest ``keep``. A batch that is replayed reads the version before its own."""
+    fs, _ = _fs(spark, root)
+    for version in versions(spark, root, marker)[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}"), True)
+
+
 def read_version(
     spark: SparkSession, root: str, schema: T.StructType, *, before: int | None = None
 ) -> DataFrame | None:
@@ -214,19 +227,28 @@ CHECKPOINT_TABLES = ("processed", "parts", "fitments", "failures")
 
 
 def save_checkpoint(root: str, run_id: str, tables: dict[str, DataFrame]) -> None:
-    """Write the state of a run, one folder per table. ``processed`` goes last and marks the checkpoint complete."""
+    """Write the state of a run as a new version, one folder per table. ``processed`` goes last and marks the version complete.
+
+    A save that dies half way leaves the one before it as it was. The newest two stay.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    base, done = f"{root}/run_id={run_id}", "processed/_SUCCESS"
+    version = (versions(spark, base, done) or [0])[-1] + 1
+    fs, target = _fs(spark, f"{base}/version={version}")
+    fs.delete(target, True)
     for name in sorted(tables, key=lambda n: n == "processed"):
-        tables[name].write.mode("overwrite").parquet(f"{root}/run_id={run_id}/{name}")
+        tables[name].write.mode("overwrite").parquet(f"{base}/version={version}/{name}")
+    retire_versions(spark, base, keep=2, marker=done)
 
 
 def restore_checkpoint(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
-    """Read a run's state. Without the processed ids there is nothing to resume from; other tables are optional."""
-    base = f"{root}/run_id={run_id}"
-    out = {}
+    """Read a run's newest complete state. Without processed ids there is nothing to resume from; other tables are optional."""
+    found = versions(spark, f"{root}/run_id={run_id}", "processed/_SUCCESS")
+    if not found:
+        raise ValueError(f"checkpoint {run_id} has no processed ids")
+    base, out = f"{root}/run_id={run_id}/version={found[-1]}", {}
     for name in CHECKPOINT_TABLES:
         fs, path = _fs(spark, f"{base}/{name}/_SUCCESS")
         if fs.exists(path):
             out[name] = spark.read.parquet(f"{base}/{name}")
-    if "processed" not in out:
-        raise ValueError(f"checkpoint {run_id} has no processed ids")
     return out

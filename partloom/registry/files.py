@@ -64,24 +64,25 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "parts-export")
     raw = A.raw_parts(spark, sf)
     _envelopes(raw, F.regexp_extract("row_key", r"^(\d+)", 1).cast("long"), path)
-    read = exports.read_parts_export(spark, path, multi_line=False)
+    read = exports.read_parts_export(spark, path)
     return read.groupBy("sku", "name", F.col("price").cast("double").alias("price"), "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S2_read_compat_export", sql("SELECT sku, make, model, year, engine FROM fit1", "fit1"))
 def s2(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by turns as compatibility envelope, data envelope and bare record."""
+    """Documents by turns as compatibility envelope, data envelope, bare record and map from the sku to its vehicles."""
     path = work_path(spark, "compat-export")
     rows = exports.compat_rows(_fits(spark, sf))
     entry = F.struct("part_sku", "vehicles")
     key = F.regexp_replace("part_sku", "^CSF-", "").cast("long")
     document = (
-        F.when(key % 3 == 0, F.to_json(F.struct(F.array(entry).alias("compatibility"))))
-        .when(key % 3 == 1, F.to_json(F.struct(F.array(entry).alias("data"))))
+        F.when(key % 4 == 0, F.to_json(F.struct(F.array(entry).alias("compatibility"))))
+        .when(key % 4 == 1, F.to_json(F.struct(F.array(entry).alias("data"))))
+        .when(key % 4 == 2, F.to_json(F.create_map("part_sku", "vehicles")))
         .otherwise(F.to_json(entry))
     )
     rows.select(document.alias("value")).write.mode("overwrite").text(path)
-    return exports.read_compat_export(spark, path, multi_line=False).select("sku", "make", "model", "year", "engine")
+    return exports.read_compat_export(spark, path).select("sku", "make", "model", "year", "engine")
 
 
 @query("S3_read_export_dir", sql("SELECT sku, count(*) AS n FROM (SELECT sku FROM prev UNION ALL SELECT sku FROM cur) GROUP BY sku", "prev", "cur"))
@@ -90,7 +91,7 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "export-dir")
     for which in ("previous", "current"):
         A.snapshot(spark, sf, which).select("sku", "name", "category").write.mode("append").json(path)
-    return exports.read_export_dir(spark, path, multi_line=False).groupBy("sku").agg(F.count(F.lit(1)).alias("n"))
+    return exports.read_export_dir(spark, path).groupBy("sku").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S4_latest_drop", "SELECT CAST(1 AS BIGINT) AS first_run, CAST(0 AS BIGINT) AS second_run FROM part HAVING count(*) > 0")
@@ -106,6 +107,15 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     return runs.agg(*[F.count_if(F.col("run") == r).alias(r) for r in ("first_run", "second_run")])
 
 
+@query("S1_read_back", sql("SELECT sku, name, category, count(*) OVER () AS n FROM cat", "cat"))
+def s1b(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``write_parts`` wrote, read with the defaults: every row comes back."""
+    path = work_path(spark, "read-back")
+    exports.write_parts(A.catalog(spark, sf), path)
+    read = exports.read_parts_export(spark, f"{path}/rows", check=False)
+    return read.select("sku", "name", "category").withColumn("n", read.agg(F.count(F.lit(1))).scalar())
+
+
 @query("S6_write_parts", sql("SELECT sku, name, CAST(price AS VARCHAR) AS price, (SELECT count(*) FROM cat) AS total_parts FROM cat", "cat"))
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "parts")
@@ -170,7 +180,7 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "append")
     exports.write_parts(A.snapshot(spark, sf, "previous"), path)
-    exports.append_export(exports.export_rows(A.snapshot(spark, sf, "current")), path, WRITTEN_PART)
+    path = exports.append_export(exports.export_rows(A.snapshot(spark, sf, "current")), path, WRITTEN_PART)
     rows = spark.read.schema(WRITTEN_PART).json(f"{path}/rows").select("sku", "price")
     return _with_metadata(spark, path, rows, "total_parts")
 
@@ -178,7 +188,8 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "S11_append_compat",
     sql(
-        """SELECT sku AS part_sku, count(*) AS n FROM fit1 WHERE CASE WHEN o3 % 2 = 0 THEN year >= 1998 ELSE true END GROUP BY sku""",
+        """SELECT sku AS part_sku, CASE WHEN any_value(o3) % 2 = 0 AND count_if(year >= 1998) > 0 THEN CAST(count_if(year >= 1998) AS BIGINT)
+        ELSE count(*) END AS n FROM fit1 GROUP BY sku""",
         "fit1",
     ),
 )
@@ -188,18 +199,34 @@ def s11c(spark: SparkSession, sf: str) -> DataFrame:
     fits = _fits(spark, sf)
     exports.write_compat(fits, path)
     batch = exports.compat_rows(fits.where((F.col("o3") % 2 == 0) & (F.col("year") >= 1998)))
-    exports.append_export(batch, path, sc.EXPORT_COMPAT, key="part_sku")
-    rows = spark.read.schema(sc.EXPORT_COMPAT).json(f"{path}/rows")
-    kept = rows.where((F.regexp_replace("part_sku", "^CSF-", "").cast("long") % 2 != 0) | F.exists("vehicles", lambda v: v.year >= 1998))
-    late = F.filter("vehicles", lambda v: (v.year >= 1998) | (F.regexp_replace("part_sku", "^CSF-", "").cast("long") % 2 != 0))
-    return kept.select("part_sku", F.size(late).cast("long").alias("n"))
+    merged = exports.append_export(batch, path, sc.EXPORT_COMPAT, key="part_sku")
+    return spark.read.schema(sc.EXPORT_COMPAT).json(f"{merged}/rows").select("part_sku", F.size("vehicles").cast("long").alias("n"))
 
 
-@query("S12_export_audit")
+@query(
+    "S12_export_audit",
+    """SELECT true AS valid_json, '2025-10-28' AS export_date, '1.0' AS version, max(p_partkey) AS largest, true AS sized FROM part
+    UNION ALL SELECT false, NULL, NULL, 0, true""",
+)
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes and validity of written files; the file names are Spark's own, so there is no SQL twin."""
+    """Sound and broken files together; the names are Spark's own, so files are taken together by validity and metadata."""
     path = work_path(spark, "audit")
     parts = A.catalog(spark, sf).select("id", "sku", "name", "category")
-    meta = F.struct(F.lit("2025-10-28").alias("export_date"), F.lit(1).cast("long").alias("total_parts"), F.lit("1.0").alias("version"))
+    meta = F.struct(F.lit("2025-10-28").alias("export_date"), F.col("id").alias("total_parts"), F.lit("1.0").alias("version"))
     parts.select(meta.alias("metadata"), F.array(F.struct("sku", "name", "category")).alias("parts")).write.json(path)
-    return exports.export_audit(spark, path, multi_line=False)
+    broken = work_path(spark, "audit-broken")
+    parts.select(F.concat(F.lit('{"parts": [{"sku": "'), F.col("sku")).alias("value")).write.text(broken)
+    _as_json(spark, broken, path)
+    audit = exports.export_audit(spark, path)
+    return audit.groupBy("valid_json", "export_date", "version").agg(F.max("total_parts").alias("largest"), (F.min("size_bytes") > 0).alias("sized"))
+
+
+def _as_json(spark: SparkSession, texts: str, path: str) -> None:
+    """Move text files into a directory of json files."""
+    from partloom.operators.upsert import _fs
+
+    fs, folder = _fs(spark, texts)
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    for k, status in enumerate(fs.listStatus(folder)):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), made(f"{path}/broken-{k}.json"))

@@ -77,7 +77,7 @@ def r2(spark: SparkSession, sf: str) -> DataFrame:
     for run, which in ((1, "previous"), (2, "current")):
         rows = exports.export_rows(A.snapshot(spark, sf, which)).select("sku", "name", "category", "description", "price", "images", "specifications")
         rows.write.json(f"{root}/drop-{run}")
-        outcome = imports.import_exports(spark, f"{root}/drop-{run}", f"{root}/catalog", multi_line=False)
+        outcome = imports.import_exports(spark, f"{root}/drop-{run}", f"{root}/catalog")
         outcomes.append(outcome.select(F.lit(run).alias("run"), "status", "parts"))
     return dedup.concat_exports(*outcomes)
 

@@ -1,12 +1,14 @@
 """JSON exports: readers that accept every envelope, and partitioned writers.
 
-Files are read with an explicit schema. A JSON array at top level is split by Spark itself, so a file may be a list, an
-envelope or a single record. Writers produce JSON lines in parallel next to a one-row metadata file.
+Files are read with an explicit schema, one document per line, as the writers here make them; Spark then splits large files. A JSON array
+is split by Spark itself, so a document may be a list, an envelope or a single record. A file that is one document over many
+lines is read with ``multi_line=True``; Spark would read the first of several documents there, so such a file is refused.
+``read_structure`` tells what each document holds, broken lines included. Writers produce JSON lines in parallel next to a one-row metadata file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +16,16 @@ from partloom import constants as K
 from partloom import schemas as sc
 from partloom.functions import values as vx
 from partloom.operators import dedup, joins, quality
+from partloom.session import work_path
 
 BROKEN = "_corrupt_record"
 
 
 def _documents(
-    spark: SparkSession, path: str, schema: T.StructType, glob: str | None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, glob: str | None, multi_line: bool = False
 ) -> DataFrame:
+    if multi_line:
+        _refuse_several(spark, path, glob)
     reader = (
         spark.read.schema(schema.add(BROKEN, "string"))
         .option("multiLine", multi_line)
@@ -32,25 +37,64 @@ def _documents(
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def _refuse_several(spark: SparkSession, path: str, glob: str | None) -> None:
+    """A file with two whole documents on lines of their own is no multi-line file: all but the first would be lost."""
+    lines = spark.read.option("pathGlobFilter", glob or "*").text(path).select(F.col("_metadata.file_path").alias("source_file"), F.trim("value").alias("v"))
+    whole = lines.where(F.col("v").rlike(r"^\{.*\}$")).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Lines of a document that is spread over many lines may be objects too, but then a line opens something that others close.
+    opened = lines.where(F.col("v").rlike(r"[\[{,:]$")).select("source_file").distinct()
+    several = whole.join(opened, "source_file", "left_anti").head(1)
+    if several:
+        raise ValueError(f"{several[0].source_file} holds {several[0].n} documents, one per line: read it with multi_line=False")
+
+
 def _copy(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields))
 
 
 def _items(documents: DataFrame, record: T.StructType, *containers: str) -> DataFrame:
     """One row per record from whichever container is filled; a bare record is its own container."""
-    bare = F.array(F.struct(*[F.col(f.name) for f in record.fields]))
+    bare = F.when(_any_field(record), F.array(F.struct(*[F.col(f.name) for f in record.fields])))
     held = F.coalesce(*[F.col(c) for c in containers], bare)
     return documents.where(F.col(BROKEN).isNull()).select("source_file", F.posexplode(held).alias("pos", "r")).select(
         "source_file", "pos", "r.*"
     )
 
 
+def _any_field(record: T.StructType) -> Column:
+    found = F.lit(False)
+    for f in record.fields:
+        found = found | F.col(f.name).isNotNull()
+    return found
+
+
+def read_structure(spark: SparkSession, path: str, *, glob: str | None = None, multi_line: bool = False) -> DataFrame:
+    """One row per document: source_file and container, one of parts, data, record, metadata (nothing else), none and broken."""
+    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob, multi_line)
+    container = (
+        F.when(F.col(BROKEN).isNotNull(), "broken").when(F.col("parts").isNotNull(), "parts").when(F.col("data").isNotNull(), "data")
+        .when(_any_field(sc.EXPORT_PART), "record").when(F.col("metadata").isNotNull(), "metadata").otherwise("none")
+    )
+    return documents.select("source_file", container.alias("container"))
+
+
+def read_summaries(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
+    """Documents that hold only a run's summary, as (source_file, total_parts, unique_skus, deduplication_rate)."""
+    summary = "summary struct<total_parts_found:bigint,unique_skus:bigint,deduplication_rate:double>"
+    reader = spark.read.schema(summary)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).json(path).where("summary IS NOT NULL")
+    return found.select(
+        F.col("_metadata.file_path").alias("source_file"), F.coalesce("summary.total_parts_found", F.lit(0)).alias("total_parts"),
+        F.coalesce("summary.unique_skus", F.lit(0)).alias("unique_skus"), F.coalesce("summary.deduplication_rate", F.lit(0.0)).alias("deduplication_rate"),
+    )
+
+
 def read_parts_export(
-    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = False
 ) -> DataFrame:
-    """Parts of exports in any envelope, in stored form. Records that fail the model and broken files are left out.
+    """Parts of exports in any envelope, in stored form. Records that fail the model and broken documents are left out.
 
-    ``multi_line=False`` reads one document per line, which lets Spark split large files.
+    Documents without any part give no row; ``read_structure`` lists them and the broken ones.
     """
     documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob, multi_line)
     rows = _items(documents, sc.EXPORT_PART, "parts", "data")
@@ -59,13 +103,25 @@ def read_parts_export(
     return quality.normalize_parts(quality.sound_parts(rows))
 
 
+def _sku_maps(spark: SparkSession, path: str, glob: str | None, multi_line: bool) -> DataFrame:
+    """Entries of documents that map a sku to its vehicles; the keys of every other document are no skus."""
+    reader = spark.read.option("wholetext", multi_line)
+    texts = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    kind = T.MapType(T.StringType(), T.ArrayType(sc.VEHICLE))
+    found = texts.where(F.col("value").rlike(rf'^\s*\{{\s*"(?i:{K.SKU_PREFIX})')).select(
+        F.col("_metadata.file_path").alias("source_file"), F.explode(F.from_json("value", kind)).alias("part_sku", "vehicles")
+    )
+    return found.where(F.startswith(F.upper("part_sku"), F.lit(K.SKU_PREFIX)))
+
+
 def read_compat_export(
-    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, *, glob: str | None = None, check: bool = True, multi_line: bool = False
 ) -> DataFrame:
-    """Fitments of exports in any envelope, one row per vehicle."""
+    """Fitments of exports in any envelope, or of documents that map a sku to its vehicles, one row per vehicle."""
     documents = _documents(spark, path, _copy(sc.COMPAT_DOCUMENT), glob, multi_line)
     rows = _items(documents, sc.EXPORT_COMPAT, "compatibility", "data")
     rows = rows.withColumn("part_sku", F.coalesce("part_sku", "sku")).drop("sku")
+    rows = rows.unionByName(_sku_maps(spark, path, glob, multi_line), allowMissingColumns=True)
     if check:
         judged = quality.check_compat(rows)
         rows = judged.where(F.size("issues") == 0).drop("issues")
@@ -74,7 +130,7 @@ def read_compat_export(
     ).select("source_file", "sku", "notes", "vehicle_pos", "v.*")
 
 
-def read_hierarchical_export(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def read_hierarchical_export(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Leaf rows of a nested year/make/model export."""
     documents = _documents(spark, path, _copy(sc.HIERARCHY_DOCUMENT), None, multi_line)
     years = documents.select("source_file", F.explode("data").alias("year", "makes"))
@@ -85,14 +141,14 @@ def read_hierarchical_export(spark: SparkSession, path: str, *, multi_line: bool
     )
 
 
-def read_export_dir(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def read_export_dir(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Parts of every JSON file in a directory, duplicates kept, with the file each came from."""
     return read_parts_export(spark, path, glob="*.json", check=False, multi_line=multi_line)
 
 
-def read_metadata(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
-    """Metadata row of each file that has one."""
-    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob)
+def read_metadata(spark: SparkSession, path: str, *, glob: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Metadata row of each document that has one."""
+    documents = _documents(spark, path, _copy(sc.PARTS_DOCUMENT), glob, multi_line)
     return documents.where(F.col("metadata").isNotNull()).select("source_file", "metadata.*")
 
 
@@ -113,7 +169,7 @@ def latest_drop(spark: SparkSession, path: str, import_log: DataFrame | None = N
     return newest.join(last, "path", "left_anti")
 
 
-def export_audit(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def export_audit(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Size, metadata and validity of every export file in a directory."""
     sizes = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
@@ -133,7 +189,7 @@ def export_audit(spark: SparkSession, path: str, *, multi_line: bool = True) ->
     )
 
 
-def judge_directory(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def judge_directory(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Sniff the kind of every file and judge its items: one verdict row per file."""
     name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("filename")
     raw = (
@@ -162,7 +218,10 @@ def judge_directory(spark: SparkSession, path: str, *, multi_line: bool = True)
     leaves = quality.check_parts(read_hierarchical_export(spark, f"{path}/*.json", multi_line=multi_line), warnings=True).select(
         filename, F.lit("hierarchical").alias("kind"), *counts
     )
-    items = parts.unionByName(compat).unionByName(leaves)
+    # Counted per file before the join: a large file is many rows of one key only up to the partial counts.
+    items = parts.unionByName(compat).unionByName(leaves).groupBy("filename", "kind").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("errors") == 0).alias("valid"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings")
+    )
     return quality.check_files(kinds.join(items, ["filename", "kind"], "left"))
 
 
@@ -174,21 +233,26 @@ def export_rows(parts: DataFrame) -> DataFrame:
     return parts.withColumn("price", vx.price_text(F.col("price")))
 
 
-def _write(rows: DataFrame, path: str, metadata: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-    rows.write.mode("overwrite").partitionBy(*partition_by).json(f"{path}/rows")
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+def _stamp() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def _metadata(rows: DataFrame, count_field: str, **extra: str) -> DataFrame:
-    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    return rows.agg(F.count(F.lit(1)).alias(count_field)).select(
-        stamp.alias("export_date"), count_field, F.lit(K.EXPORT_VERSION).alias("version"),
+def _write(rows: DataFrame, path: str, count_field: str, count: Column | None = None, partition_by: tuple[str, ...] = (), **extra: str) -> int:
+    """Write rows, counting them on the way, then the metadata. The input is evaluated once."""
+    seen = Observation()
+    counted = rows.observe(seen, (count if count is not None else F.count(F.lit(1))).alias("n"))
+    counted.write.mode("overwrite").partitionBy(*partition_by).json(f"{path}/rows")
+    n = int(seen.get["n"] or 0)
+    metadata = rows.sparkSession.range(1).select(
+        _stamp().alias("export_date"), F.lit(n).cast("long").alias(count_field), F.lit(K.EXPORT_VERSION).alias("version"),
         *[F.lit(v).alias(k) for k, v in extra.items()],
     )
+    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    return n
 
 
 def write_parts(parts: DataFrame, path: str) -> None:
-    _write(export_rows(parts), path, _metadata(parts, "total_parts"))
+    _write(export_rows(parts), path, "total_parts")
 
 
 def compat_rows(fitments: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -197,8 +261,7 @@ def compat_rows(fitments: DataFrame, order: list[str] | None = None) -> DataFram
 
 
 def write_compat(fitments: DataFrame, path: str, order: list[str] | None = None) -> None:
-    skus = fitments.select("sku").distinct()
-    _write(compat_rows(fitments, order), path, _metadata(skus, "total_mappings"))
+    _write(compat_rows(fitments, order), path, "total_mappings")
 
 
 def hierarchical_rows(fitments: DataFrame, parts: DataFrame) -> DataFrame:
@@ -215,8 +278,8 @@ def write_hierarchical(fitments: DataFrame, parts: DataFrame, path: str) -> None
     keys = ("year", "make", "model", "sku")
     rows = hierarchical_rows(fitments, parts)
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    years = rows.select("year").distinct()
-    _write(ordered, path, _metadata(years, "total_years", structure=K.HIERARCHY_STRUCTURE), ("year",))
+    # The distinct years are as many as there are model years.
+    _write(ordered, path, "total_years", F.size(F.collect_set("year")), ("year",), structure=K.HIERARCHY_STRUCTURE)
 
 
 def complete_rows(parts: DataFrame, fitments: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -225,12 +288,14 @@ def complete_rows(parts: DataFrame, fitments: DataFrame, order: list[str] | None
 
 
 def write_complete(parts: DataFrame, fitments: DataFrame, path: str, order: list[str] | None = None) -> None:
-    _write(complete_rows(parts, fitments, order), path, _metadata(parts, "total_parts"))
+    _write(complete_rows(parts, fitments, order), path, "total_parts")
 
 
 def write_delta(parts: DataFrame, changes: DataFrame, path: str) -> bool:
     """Write the new and changed parts; nothing is written, and false returned, when there are none."""
-    rows = joins.delta_rows(parts, changes)
+    staged = work_path(parts.sparkSession, "delta-rows")
+    joins.delta_rows(parts, changes).write.parquet(staged)
+    rows = parts.sparkSession.read.parquet(staged)
     if rows.isEmpty():
         return False
     write_parts(rows, path)
@@ -245,25 +310,32 @@ def appended(existing: DataFrame, batch: DataFrame, key: str = "sku", order: lis
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def append_export(batch: DataFrame, path: str, schema: T.StructType, key: str = "sku", order: list[str] | None = None) -> None:
-    """Merge a batch into a written export. The target has to exist.
+def current_export(spark: SparkSession, path: str) -> str:
+    """The folder with the newest complete rows and metadata of an export: its last appended version, else the export itself."""
+    from partloom.operators.upsert import versions
+
+    found = versions(spark, path, marker="metadata/_SUCCESS")
+    return f"{path}/version={found[-1]}" if found else path
+
+
+def append_export(batch: DataFrame, path: str, schema: T.StructType, key: str = "sku", order: list[str] | None = None) -> str:
+    """Merge a batch into a written export, which has to exist, and return the folder of the result.
 
-    The merged rows are written beside the old ones and swapped in by rename, so a reader never sees half an export.
+    The merged export is a new version beside the others, rows first and metadata last; it counts once the marker of its metadata is
+    there. So a reader never sees half an export, and an append that died is simply done again over the version before it. The
+    version that was read and the new one stay, older ones are removed.
     """
-    from partloom.operators.upsert import _fs
+    from partloom.operators.upsert import _fs, retire_versions, versions
 
     spark = batch.sparkSession
-    fs, rows = _fs(spark, f"{path}/rows")
+    source = current_export(spark, path)
+    fs, rows = _fs(spark, f"{source}/rows/_SUCCESS")
     if not fs.exists(rows):
         raise ValueError(f"cannot append to missing export: {path}")
-    existing = spark.read.schema(schema).json(f"{path}/rows")
-    merged = appended(existing, batch, key, order)
-    count_field = "total_parts" if key == "sku" else "total_mappings"
-    merged.write.mode("overwrite").json(f"{path}/rows.next")
-    written = spark.read.schema(schema).json(f"{path}/rows.next")
-    _metadata(written, count_field).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-    path_of = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs.delete(path_of("rows.old"), True)
-    fs.rename(rows, path_of("rows.old"))
-    fs.rename(path_of("rows.next"), rows)
-    fs.delete(path_of("rows.old"), True)
+    version = (versions(spark, path, marker="metadata/_SUCCESS") or [0])[-1] + 1
+    target = f"{path}/version={version}"
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(target), True)
+    existing = spark.read.schema(schema).json(f"{source}/rows")
+    _write(appended(existing, batch, key, order), target, "total_parts" if key == "sku" else "total_mappings")
+    retire_versions(spark, path, keep=2, marker="metadata/_SUCCESS")
+    return target

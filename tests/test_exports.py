@@ -22,25 +22,63 @@ def _put(tmp_path, name, value):
 @pytest.mark.parametrize("wrap", [lambda p: {"metadata": META, "parts": [p]}, lambda p: {"data": [p]}, lambda p: [p], lambda p: p])
 def test_every_envelope(spark, tmp_path, wrap):
     path = _put(tmp_path, "parts.json", wrap(PART))
-    assert rows(exports.read_parts_export(spark, path), "sku", "name", "category") == [("CSF-1", "n", "Oil Coolers")]
+    assert rows(exports.read_parts_export(spark, path, multi_line=True), "sku", "name", "category") == [("CSF-1", "n", "Oil Coolers")]
+    line = _put(tmp_path, "line.json", json.dumps(wrap(PART)) + "\n" + json.dumps(wrap({**PART, "sku": "CSF-2"})))
+    assert rows(exports.read_parts_export(spark, line), "sku") == [("CSF-1",), ("CSF-2",)]
+
+
+def test_defaults_read_every_row_that_was_written(spark, tmp_path):
+    exports.write_parts(_parts(spark, *[(f"CSF-{i}", "n", "1") for i in range(10)]), f"file:{tmp_path}/e")
+    assert exports.read_parts_export(spark, f"file:{tmp_path}/e/rows", check=False).count() == 10
+    assert exports.read_export_dir(spark, f"file:{tmp_path}/e/rows").count() == 10
+    exports.write_parts(_parts(spark, *[(f"CSF-{i}", "n", "1") for i in range(10)]).coalesce(1), f"file:{tmp_path}/one")
+    with pytest.raises(ValueError, match="10 documents"):
+        exports.read_parts_export(spark, f"file:{tmp_path}/one/rows", check=False, multi_line=True)
+
+
+def test_structure_tells_what_was_found(spark, tmp_path):
+    lines = [{"parts": [PART]}, {"data": [PART]}, PART, {"summary": {"unique_skus": 3, "total_parts_found": 5}}, {"metadata": META}]
+    path = _put(tmp_path, "s.json", "\n".join(map(json.dumps, lines)) + '\n{"parts": [\n{"metadata": "x", "parts": []}')
+    got = rows(exports.read_structure(spark, path).groupBy("container").count())
+    assert got == [("broken", 2), ("data", 1), ("metadata", 1), ("none", 1), ("parts", 1), ("record", 1)]
+    assert exports.read_parts_export(spark, path).count() == 3
+    assert rows(exports.read_summaries(spark, path), "total_parts", "unique_skus", "deduplication_rate") == [(5, 3, 0.0)]
+
+
+def test_import_stops_before_a_version_is_written(spark, tmp_path):
+    from partloom.plans.imports import import_exports
+
+    path = _put(tmp_path, "i.json", json.dumps({"parts": [PART]}) + "\n" + json.dumps({"metadata": META, "summary": {}}))
+    with pytest.raises(ValueError, match="parts"):
+        import_exports(spark, path, f"file:{tmp_path}/table")
+    assert not (tmp_path / "table").exists()
+    good = _put(tmp_path, "g.json", json.dumps({"parts": [PART, {**PART, "sku": ""}]}))
+    assert rows(import_exports(spark, good, f"file:{tmp_path}/table").where("parts > 0"), "status", "parts") == [("created", 1), ("skipped", 1)]
+
+
+def test_maps_from_sku_to_vehicles(spark, tmp_path):
+    text = json.dumps({"CSF-1": [{"make": "a", "year": 2000}], "csf-2": [{"make": "b", "year": 2001}, {"make": "c", "year": 2002}]})
+    path = _put(tmp_path, "m.json", text + "\n" + json.dumps({"part_sku": "CSF-3", "vehicles": [{"make": "d", "year": 2003}]}))
+    got = rows(exports.read_compat_export(spark, path, check=False), "sku", "make")
+    assert got == [("CSF-1", "a"), ("CSF-2", "b"), ("CSF-2", "c"), ("CSF-3", "d")]
 
 
 def test_bad_records_and_files_are_left_out(spark, tmp_path):
     _put(tmp_path, "a.json", {"parts": [PART, {**PART, "sku": "bad"}]})
     _put(tmp_path, "b.json", '{"parts": [{"sku"')
-    assert rows(exports.read_parts_export(spark, f"file:{tmp_path}", glob="*.json"), "sku") == [("CSF-1",)]
+    assert rows(exports.read_parts_export(spark, f"file:{tmp_path}", glob="*.json", multi_line=True), "sku") == [("CSF-1",)]
 
 
 @pytest.mark.parametrize("wrap", [lambda c: {"metadata": META, "compatibility": [c]}, lambda c: {"data": [c]}, lambda c: [c], lambda c: c])
 def test_compat_envelopes(spark, tmp_path, wrap):
     entry = {"part_sku": "CSF-1", "vehicles": [{"make": "a", "model": "b", "year": 2000}, {"make": "a", "model": "b", "year": 2001}]}
     path = _put(tmp_path, "compatibility.json", wrap(entry))
-    assert rows(exports.read_compat_export(spark, path), "sku", "vehicle_pos", "year") == [("CSF-1", 0, 2000), ("CSF-1", 1, 2001)]
+    assert rows(exports.read_compat_export(spark, path, multi_line=True), "sku", "vehicle_pos", "year") == [("CSF-1", 0, 2000), ("CSF-1", 1, 2001)]
 
 
 def test_hierarchical_document(spark, tmp_path):
     path = _put(tmp_path, "h.json", {"metadata": {}, "data": {"2020": {"Honda": {"Civic": [PART, PART]}}}})
-    assert rows(exports.read_hierarchical_export(spark, path), "year", "make", "model", "leaf_pos", "sku") == [
+    assert rows(exports.read_hierarchical_export(spark, path, multi_line=True), "year", "make", "model", "leaf_pos", "sku") == [
         ("2020", "Honda", "Civic", 0, "csf-1"), ("2020", "Honda", "Civic", 1, "csf-1")
     ]
 
@@ -51,7 +89,7 @@ def test_directory_verdicts(spark, tmp_path):
     _put(tmp_path, "h.json", {"data": {"2020": {"Honda": {"Civic": [PART]}}}})
     _put(tmp_path, "u.json", {"else": 1})
     _put(tmp_path, "x.json", "{broken")
-    got = rows(exports.judge_directory(spark, f"file:{tmp_path}"), "filename", "kind", "total", "valid", "errors", "is_valid")
+    got = rows(exports.judge_directory(spark, f"file:{tmp_path}", multi_line=True), "filename", "kind", "total", "valid", "errors", "is_valid")
     assert got == [
         ("c.json", "compatibility", 1, 1, 0, True), ("h.json", "hierarchical", 1, 1, 0, True), ("p.json", "parts", 2, 1, 1, False),
         ("u.json", "unknown", 0, 0, 1, False), ("x.json", "unreadable", 0, 0, 1, False),
@@ -61,7 +99,7 @@ def test_directory_verdicts(spark, tmp_path):
 def test_audit(spark, tmp_path):
     _put(tmp_path, "p.json", {"metadata": META, "parts": []})
     _put(tmp_path, "x.json", "{broken")
-    got = rows(exports.export_audit(spark, f"file:{tmp_path}"), "filename", "total_parts", "version", "valid_json")
+    got = rows(exports.export_audit(spark, f"file:{tmp_path}", multi_line=True), "filename", "total_parts", "version", "valid_json")
     assert got == [("p.json", 1, "1.0", True), ("x.json", 0, None, False)]
 
 
@@ -85,11 +123,37 @@ def test_append_replaces_adds_and_counts(spark, tmp_path):
     with pytest.raises(ValueError, match="missing export"):
         exports.append_export(_parts(spark, ("a", "n", "1")), path, sc.EXPORT_PART)
     exports.write_parts(_parts(spark, ("a", "1", "1"), ("b", "1", "2")), path)
-    exports.append_export(_parts(spark, ("b", "2", "3"), ("c", "2", "4")), path, sc.EXPORT_PART)
-    written = spark.read.schema(sc.EXPORT_PART).json(f"{path}/rows")
+    merged = exports.append_export(_parts(spark, ("b", "2", "3"), ("c", "2", "4")), path, sc.EXPORT_PART)
+    assert merged == exports.current_export(spark, path)
+    written = spark.read.schema(sc.EXPORT_PART).json(f"{merged}/rows")
     assert rows(written, "sku", "name", "price") == [("a", "1", "1"), ("b", "2", "3"), ("c", "2", "4")]
-    assert spark.read.schema(sc.METADATA).json(f"{path}/metadata").first().total_parts == 3
-    assert sorted(os.listdir(tmp_path / "e")) == ["metadata", "rows"]
+    assert spark.read.schema(sc.METADATA).json(f"{merged}/metadata").first().total_parts == 3
+
+
+@pytest.mark.parametrize("left", [[], ["rows/part-0.json"], ["rows/_SUCCESS"], ["rows/_SUCCESS", "metadata/part-0.json"]])
+def test_append_after_one_that_died(spark, tmp_path, left):
+    """An unfinished version is not read, and the next append takes its place."""
+    path, folder = f"file:{tmp_path}/e", tmp_path / "e"
+    exports.write_parts(_parts(spark, ("a", "1", "1")), path)
+    exports.append_export(_parts(spark, ("b", "1", "1")), path, sc.EXPORT_PART)
+    for name in left:
+        (folder / "version=2" / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / "version=2" / name).write_text('{"sku": "wrong"}')
+    assert exports.current_export(spark, path).endswith("version=1")
+    merged = exports.append_export(_parts(spark, ("c", "1", "1")), path, sc.EXPORT_PART)
+    assert rows(spark.read.schema(sc.EXPORT_PART).json(f"{merged}/rows"), "sku") == [("a",), ("b",), ("c",)]
+    assert merged.endswith("version=2")
+
+
+def test_writers_count_what_they_write(spark, tmp_path):
+    none = _parts(spark, ("a", "1", "1")).where("false")
+    exports.write_parts(none, f"file:{tmp_path}/none")
+    assert spark.read.schema(sc.METADATA).json(f"file:{tmp_path}/none/metadata").first().total_parts == 0
+    fits = spark.createDataFrame([("a", "m", "o", 2000), ("a", "m", "o", 2001), ("b", "m", "o", 2001)], "sku string, make string, model string, year int")
+    exports.write_hierarchical(fits, _parts(spark, ("a", "1", "1"), ("b", "1", "1")), f"file:{tmp_path}/h")
+    assert json.loads(next((tmp_path / "h" / "metadata").glob("part-*.json")).read_text())["total_years"] == 2
+    exports.write_compat(fits, f"file:{tmp_path}/c")
+    assert json.loads(next((tmp_path / "c" / "metadata").glob("part-*.json")).read_text())["total_mappings"] == 2
 
 
 def test_delta_is_written_only_when_needed(spark, tmp_path):

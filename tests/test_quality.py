@@ -101,6 +101,16 @@ def test_import_structure(spark):
     errors, usable = quality.check_import(_parts(spark, ("", "n", None, "c"), ("1", None, None, None)))
     assert errors.count() == 0 and usable.where("importable").count() == 1
     assert quality.check_import(_parts(spark, ("a", "", "", "")).limit(0))[0].count() == 1
+    found = spark.createDataFrame([("f", "parts"), ("f", "none"), ("g", "broken"), ("g", "broken")], "source_file string, container string")
+    assert rows(quality.check_import(_parts(spark, ("a", "n", None, "c")), found)[0], "source_file", "documents") == [("f", 1), ("g", 2)]
+
+
+def test_every_metadata_row_is_judged(spark):
+    parts = _parts(spark, *[("CSF-1", "n", "1", "c")] * 4).withColumn("source_file", F.when(F.rand(1) >= 0, "f"))
+    meta = spark.createDataFrame([("2025", 4), ("2025", 9)], "export_date string, total_parts long")
+    assert [m for m in rows(quality.check_parts_export(parts.drop("source_file"), meta)[0], "message") if "declares" in m[0]] == [("Metadata declares 9 but found 4",)]
+    files = meta.withColumn("source_file", F.when(F.col("total_parts") == 4, "f").otherwise("g"))
+    assert [m for m in rows(quality.check_parts_export(parts, files)[0], "message") if "declares" in m[0]] == [("Metadata declares 9 but found 0",)]
 
 
 def test_import_sample_vehicle_years(spark):

@@ -75,6 +75,16 @@ def test_checkpoint_needs_processed_ids(spark, tmp_path):
         upsert.restore_checkpoint(spark, root, "q")
 
 
+def test_a_save_that_dies_leaves_the_one_before(spark, tmp_path):
+    root, first, second = f"file:{tmp_path}/c", spark.range(3), spark.range(5)
+    upsert.save_checkpoint(root, "r", {"processed": first, "parts": first, "failures": first})
+    upsert.save_checkpoint(root, "r", {"parts": second})
+    state = upsert.restore_checkpoint(spark, root, "r")
+    assert {k: v.count() for k, v in state.items()} == {"processed": 3, "parts": 3, "failures": 3}
+    upsert.save_checkpoint(root, "r", {"processed": second, "parts": second})
+    assert {k: v.count() for k, v in upsert.restore_checkpoint(spark, root, "r").items()} == {"processed": 5, "parts": 5}
+
+
 def test_delete_and_clear(spark):
     stored = _catalog(spark, (1, "a", "n", "1"), (2, "b", "n", "1"))
     assert rows(upsert.delete_parts(stored, spark.createDataFrame([(1,), (9,)], "id long")), "sku") == [("b",)]
