@@ -9,7 +9,6 @@ from partloom import constants as K
 from partloom.functions import engine
 from partloom.registry import query
 from partloom.registry.base import sql
-from partloom.session import spread
 from partloom.sources import adapters as A
 from partloom.sources import pages, responses
 
@@ -20,18 +19,18 @@ def _key() -> Column:
 
 
 ENGINE_TEXTS = (
-    "2.0L L4 1993CC 122CI",
-    "1.6L L4 1588cc 98ci DENSO/TOYO",
-    "3.2L V6 3210ccBody Type: Coupe, 16 psi",
-    "TRANSMISSION CONTROL TYPE: Manual",
-    "Eng. Base: 5.7L V8 345CI w/ Max Duty Towing Package",
-    "3343ccMax Duty w/o Tow Package",
-    "2.5L L5 2480cc Eng. Version: EcoBoost Turbocharged",
-    "6.0L V8 5967cc, BEHR w/ SUB COOL Design w/o Towing",
-    "4.0L V6 3956cc Primary Radiator Fuel Type: Gas w/ Air Conditioning",
-    "2.4L L4 2354cc Pkg 7% Thicker High-Efficiency",
-    "ENGINE: 1.8L L4  1798cc w/ 2 Plate cooler w/",
-    "Multi-fit Model Std Duty OE 26mm core Includes cap",
+    "2.4L L4 2351CC 143CI",
+    "1.7L L4 1679cc 102ci DENSO/TOYO",
+    "3.8L V6 3792ccBody Type: Sedan, 21 psi",
+    "TRANSMISSION CONTROL TYPE: Automatic CVT",
+    "Eng. Base: 6.2L V8 376CI w/ Max Duty Towing Package",
+    "2998ccMax Duty w/o Tow Package",
+    "2.7L L5 2694cc Eng. Version: EcoBoost Turbocharged",
+    "7.3L V8 7292cc, BEHR w/ SUB COOL Design w/o Towing",
+    "4.3L V6 4293cc Primary Radiator Fuel Type: Gas w/ Air Conditioning",
+    "2.2L L4 2189cc Pkg 5% Thicker High-Efficiency",
+    "ENGINE: 1.4L L4  1398cc w/ 3 Plate cooler w/",
+    "Multi-fit Model Std Duty OE 42mm core Includes cap",
 )
 ASPIRATION_TEXTS = ("Turbocharged", "EcoBoost w/ Twin Turbo", "N/A", "Naturally Aspirated Intercooled")
 
@@ -50,7 +49,7 @@ def _html(*pieces: str | Column) -> Column:
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(A.table(spark, sf, "part"))
+    return A.dealt_table(spark, sf, "part", "p_partkey")
 
 
 def _listing_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,20 +161,24 @@ def _found_sql(expr: str) -> str:
         CASE WHEN asp <> '' AND lower(asp) NOT IN ('not applicable', 'n/a') AND length(asp) <= 50 THEN asp END AS aspiration,
         unnest(all_q) AS q, unnest(range(len(all_q))) AS pos FROM (SELECT *, CASE WHEN contains(lower(ac), 'ecoboost')
           THEN ['EcoBoost'] ELSE [] END || [tc] || {_found_sql("txt")} || {_found_sql("e")} AS all_q FROM ({_SPECS})))
-      GROUP BY ALL) GROUP BY ALL""",
+      GROUP BY ALL) GROUP BY ALL""".replace("SELECT page_id, engine, aspiration, string_agg", "SELECT page_id, 0 AS page_pos, engine, aspiration, string_agg", 1)
+    + " UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END, NULL, NULL, '' FROM part WHERE p_partkey % 2 = 0",
 )
 def x4(spark: SparkSession, sf: str) -> DataFrame:
-    first = _listing(spark, sf).where(F.col("page_pos") == 0)
-    return first.select("page_id", "engine", "aspiration", F.array_join("qualifiers", "|").alias("qualifiers"))
+    """All blocks: those outside a panel name no vehicle fields and have no qualifiers."""
+    return _listing(spark, sf).select("page_id", "page_pos", "engine", "aspiration", F.array_join("qualifiers", "|").alias("qualifiers"))
 
 
 # --- detail pages ---------------------------------------------------------------------------------------------------
 
 
+IMAGE_HOST = "images.example.com"
+
+
 def _detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One detail page per part with every table form, a description box and pictures."""
     size = F.col("p_size")
-    host = "https://illumaware-digital-assets.s3.example.com/"
+    host = f"https://{IMAGE_HOST}/"
     image = lambda folder, kind, tail: _html('<img alt="', F.col("p_name"), f'" src="{host}{folder}/{kind}/', _key(), f'{tail}.jpg">')
     html = _html(
         "<html><body><h5></h5><div class='col-6'><h5>", F.col("p_size"), " Row Core</h5><p>", F.col("p_type"),
@@ -196,7 +199,7 @@ def _detail_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
-    return pages.extract_details(_detail_pages(spark, sf), ["sku"], **options)
+    return pages.extract_details(_detail_pages(spark, sf), ["sku"], host=IMAGE_HOST, **options)
 
 
 @query(
@@ -234,7 +237,7 @@ def x8(spark: SparkSession, sf: str) -> DataFrame:
     return _details(spark, sf).select("sku", "full_description")
 
 
-_GALLERY = """SELECT 'CSF-' || p_partkey AS sku, 'https://illumaware-digital-assets.s3.example.com/' || f || '/large/' || p_partkey || t || '.jpg'
+_GALLERY = """SELECT 'CSF-' || p_partkey AS sku, 'https://images.example.com/' || f || '/large/' || p_partkey || t || '.jpg'
   AS url, p_name AS alt_text, n = 1 AS is_primary FROM part, (VALUES ('catalog196', '_1', 1), ('other', '_2', 2), ('catalog196', '_3', 3))
   v(f, t, n) WHERE (n < 3 OR p_partkey % 3 = 0)"""
 
@@ -300,7 +303,7 @@ def x10m(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(A.table(spark, sf, "pages"))
+    return A.dealt_table(spark, sf, "pages", "page_id")
 
 
 _UNESCAPE = "replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')"
@@ -316,6 +319,19 @@ def x11a(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select_attr(_pages(spark, sf), "a[href]", "href", ["page_id"])
 
 
+@query(
+    "X11_select_contained",
+    f"""SELECT page_id, page_id % 5 = 0 AS failed, CASE WHEN page_id % 5 <> 0 THEN
+    trim({_UNESCAPE.format("regexp_extract(html, '<h1[^>]*>([^<]*)', 1)")}) END AS text FROM pages""",
+)
+def x11c(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the pages is nested too deep to be read, another fifth merely deep: the first are listed, all others read."""
+    deep = F.repeat(F.lit("<b>"), F.when(F.col("page_id") % 5 == 0, 6000).when(F.col("page_id") % 5 == 1, 1500).otherwise(0))
+    nested = _pages(spark, sf).withColumn("html", F.concat(deep, "html"))
+    found = pages.select_text(nested, "h1", ["page_id"]).join(pages.page_failures(nested, ["page_id"]).select("page_id", F.lit(True).alias("failed")), "page_id", "left")
+    return found.select("page_id", F.coalesce("failed", F.lit(False)).alias("failed"), "text")
+
+
 @query(
     "X11_select_all",
     f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, trim({_UNESCAPE.format("label")}) AS text, value FROM (SELECT page_id,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,7 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -55,9 +57,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = f"file:{tempfile.mkdtemp(prefix='partloom-')}"
+        folder = tempfile.mkdtemp(prefix="partloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        configured = f"file:{folder}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
@@ -73,11 +77,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a narrow input at least one partition per core before work that is expensive per row.
-
-    Large inputs already have more splits than cores and are left alone, so nothing is shuffled at scale.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

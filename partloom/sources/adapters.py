@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom import constants as K
-from partloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same for the long table: a file that is one row group is read by one task, so a small input is spread out."""
-    return spread(table(spark, sf_dir, name))
+def dealt_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The same, dealt by a key over the session's shuffle partitions: a file that is one row group is read by one task, whatever
+    the work that follows. The plan is the same at every size."""
+    return table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _sku(key: Column) -> Column:
@@ -129,7 +129,7 @@ ORDER = ("o1", "o2", "o3", "o4", "o5")
 
 def fitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sighting of a part under a vehicle, with the five columns that order the sightings."""
-    lines = split_table(spark, sf_dir, "lineitem")
+    lines = dealt_table(spark, sf_dir, "lineitem", "l_orderkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     rows = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).join(
@@ -166,7 +166,7 @@ def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.struct(
         F.when(s % 19 == 0, F.lit("")).otherwise(_text(k)).alias("reference_number"), F.lit("OEM").alias("reference_type")
     )
-    return split_table(spark, sf_dir, "lineitem").select(
+    return dealt_table(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
         ).alias("row_key"),
@@ -306,7 +306,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part listings, one per ``lineitem`` row, with ordering columns; some sightings show a raised price."""
-    lines = split_table(spark, sf_dir, "lineitem").select(
+    lines = dealt_table(spark, sf_dir, "lineitem", "l_orderkey").select(
         "l_partkey",
         ((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 10 == 0)).alias("raised"),
         F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_suppkey").alias("o4"),

@@ -29,6 +29,14 @@ ENDS_PARAGRAPH = frozenset(
 )
 
 
+#: Pages nested deeper than this are refused; every look at the ancestors of an element is then bounded.
+MAX_DEPTH = 2000
+
+
+class PageError(ValueError):
+    """A page that is not read."""
+
+
 class Element:
     __slots__ = ("tag", "attrs", "parent", "children")
 
@@ -40,18 +48,28 @@ class Element:
         return self.attrs.get("class", "").split()
 
     def walk(self) -> Iterator[Element]:
-        """Descendants in document order."""
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+        """Descendants in document order, by a stack: pages nest as deep as they like."""
+        stack = [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, Element):
+                    yield child
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
 
     def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in SILENT:
-                yield from child.strings()
+        stack = [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, str):
+                    yield child
+                elif child.tag not in SILENT:
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
 
     def text(self, glue: str = "") -> str:
         """Stripped text nodes, joined; blank ones are skipped."""
@@ -75,6 +93,12 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.here = Element("#root", {}, None)
+        self.depth = 0
+
+    def _move(self, node: Element) -> None:
+        """Go up to an ancestor."""
+        while self.here is not node:
+            self.here, self.depth = self.here.parent, self.depth - 1
 
     def _close(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         node, target = self.here, None
@@ -83,7 +107,7 @@ class _Builder(HTMLParser):
                 target = node
             node = node.parent
         if target is not None:
-            self.here = target.parent
+            self._move(target.parent)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in IMPLIED_END:
@@ -93,7 +117,9 @@ class _Builder(HTMLParser):
         element = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.here)
         self.here.children.append(element)
         if tag not in VOID:
-            self.here = element
+            self.here, self.depth = element, self.depth + 1
+            if self.depth > MAX_DEPTH:
+                raise PageError(f"nested deeper than {MAX_DEPTH} elements")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -103,7 +129,7 @@ class _Builder(HTMLParser):
         while node.parent is not None and node.tag != tag:
             node = node.parent
         if node.parent is not None:
-            self.here = node.parent
+            self._move(node.parent)
 
     def handle_data(self, data: str) -> None:
         self.here.children.append(data)

@@ -2,6 +2,8 @@
 
 One Arrow-batched pass per page kind reads the structure of a page (blocks, tables, images) and nothing else; the
 rules that turn structure into fields are native columns. The html itself never leaves the Python worker again.
+
+A page or block that cannot be read never fails the job: it gives no fields, and ``page_failures`` lists it with the reason.
 """
 
 from __future__ import annotations
@@ -27,25 +29,43 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-BLOCK = _struct(sku=_TEXT, name=_TEXT, category=_TEXT, block_text=_TEXT, cells=_TEXTS)
+BLOCK = _struct(sku=_TEXT, name=_TEXT, category=_TEXT, block_text=_TEXT, cells=_TEXTS, error=_TEXT)
 TABLE = _struct(headers=_TEXTS, rows=T.ArrayType(_struct(cells=_TEXTS, tds=_TEXTS)))
 ABOUT = _struct(title=_TEXT, subtitle=_TEXT, chunks=_TEXTS, items=_TEXTS)
 PICTURE = _struct(src=_TEXT, alt=_TEXT)
 MATCH = _struct(text=_TEXT, value=_TEXT)
+#: Html that is read before its structure is handed on, in characters.
+SLICE_CHARS = 4_000_000
 
 
 def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict]) -> DataFrame:
-    """Apply a structure reader to every page's html. Keys pass through; a page without html yields nulls."""
-    schema = T.StructType([pages.schema[k] for k in keys] + found.fields)
+    """Apply a structure reader to every page's html. Keys pass through; a page without html yields nulls.
+
+    A page that cannot be read yields nulls too, and the reason as ``read_error``. Pages are taken one by one and handed on in slices
+    of bounded size, so a batch of large pages is never held as Python text.
+    """
+    schema = T.StructType([pages.schema[k] for k in keys] + [*found.fields, T.StructField("read_error", _TEXT)])
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in found.fields]
+    names = [*[f.name for f in found.fields], "read_error"]
+
+    def one(html: str | None) -> dict:
+        try:
+            return reader(parse(html)) if html is not None else {}
+        except Exception as e:  # noqa: BLE001
+            return {"read_error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [reader(parse(html)) if html is not None else {} for html in batch.column("html").to_pylist()]
-            made = [pa.array([r.get(n) for r in rows], type=arrow.field(n).type) for n in names]
-            kept = [batch.column(k).cast(arrow.field(k).type) for k in keys]
-            yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
+            rows, start, chars = [], 0, 0
+            for i, html in enumerate(batch.column("html")):
+                text = html.as_py()
+                rows.append(one(text))
+                chars += len(text or "")
+                if chars >= SLICE_CHARS or i + 1 == batch.num_rows:
+                    made = [pa.array([r.get(n) for r in rows], type=arrow.field(n).type) for n in names]
+                    kept = [batch.column(k).slice(start, len(rows)).cast(arrow.field(k).type) for k in keys]
+                    yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
+                    rows, start, chars = [], i + 1, 0
 
     return pages.select(*keys, "html").mapInArrow(run, schema)
 
@@ -62,6 +82,15 @@ def read_listings(pages: DataFrame, keys: list[str], *, join_with_space: bool =
     return read.select(*keys, F.posexplode("blocks").alias("page_pos", "b")).select(*keys, "page_pos", "b.*")
 
 
+def page_failures(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Listing pages, and blocks of them, that cannot be read: keys, page_pos (null for a whole page) and error."""
+    read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(""))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("page_pos"), F.col("read_error").alias("error")))
+    blocks = F.transform(F.coalesce("blocks", F.array().cast(T.ArrayType(BLOCK))), lambda b, i: F.struct(i.cast("int").alias("page_pos"), b["error"].alias("error")))
+    found = read.select(*keys, F.explode(F.concat(whole, blocks)).alias("f"))
+    return found.where("f.error IS NOT NULL").select(*keys, "f.page_pos", "f.error")
+
+
 def _after_dash(heading: Column) -> Column:
     """What follows the first `` - ``; the whole heading when there is none."""
     return F.when(F.contains(heading, F.lit(" - ")), F.substr(heading, F.locate(" - ", heading) + 3)).otherwise(heading)
@@ -199,9 +228,9 @@ def full_description(about: Column) -> Column:
     return F.nullif(F.array_join(parts, "\n"), F.lit(""))
 
 
-def gallery(pictures: Column, *, catalog_only: bool = True) -> Column:
-    """Large product pictures; the first one is primary. ``catalog_only`` also asks for the catalog's folder."""
-    marks = [K.GALLERY_HOST, K.GALLERY_SIZE, *([K.GALLERY_CATALOG] if catalog_only else [])]
+def gallery(pictures: Column, *, host: str = "", catalog_only: bool = True) -> Column:
+    """Large product pictures, of one image host if it is named; the first one is primary. ``catalog_only`` also asks for the catalog's folder."""
+    marks = [*([host] if host else []), K.GALLERY_SIZE, *([K.GALLERY_CATALOG] if catalog_only else [])]
 
     def wanted(p: Column) -> Column:
         test = F.lit(True)
@@ -215,7 +244,7 @@ def gallery(pictures: Column, *, catalog_only: bool = True) -> Column:
     )
 
 
-def extract_details(pages: DataFrame, keys: list[str], *, catalog_only: bool = True) -> DataFrame:
+def extract_details(pages: DataFrame, keys: list[str], *, host: str = "", catalog_only: bool = True) -> DataFrame:
     """One detail record per page: description, specifications, notes, references and gallery."""
     read = read_details(pages, keys).withColumn("specifications", detail_specs(F.col("tables")))
     return read.select(
@@ -224,7 +253,7 @@ def extract_details(pages: DataFrame, keys: list[str], *, catalog_only: bool = T
         "specifications",
         tech_notes(F.col("specifications")).alias("tech_notes"),
         interchange_rows(F.col("tables")).alias("interchange_data"),
-        gallery(F.col("pictures"), catalog_only=catalog_only).alias("additional_images"),
+        gallery(F.col("pictures"), host=host, catalog_only=catalog_only).alias("additional_images"),
     )
 
 

@@ -22,7 +22,14 @@ def listing_reader(glue: str) -> Callable[[Element], dict]:
             "cells": [c.text(glue) for c in cell.all(block)],
         }
 
-    return lambda root: {"blocks": [one(b) for b in blocks.all(root)]}
+    def contained(block: Element) -> dict:
+        """A block that cannot be read is a failure of its own; the page's other blocks stay."""
+        try:
+            return one(block)
+        except Exception as e:  # noqa: BLE001
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    return lambda root: {"blocks": [contained(b) for b in blocks.all(root)]}
 
 
 def _table(table: Element) -> dict:

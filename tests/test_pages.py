@@ -31,7 +31,7 @@ def test_listing_blocks(spark):
 def test_listing_joined_with_space(spark):
     row = pages.extract_application_parts(_pages(spark, LISTING), ["id"], join_with_space=True).where("sku = 'CSF-3951'").first()
     assert row.name == "Radiator"
-    assert row.specifications == {"Size": "5", "Eng. Base": "1.5L L4 1497cc"} or "Eng. Base" in str(row.specifications)
+    assert row.specifications == {"Eng. Base": "1.5L L4 1497cc", "Size": "5"}
 
 
 def test_empty_and_null_pages(spark):
@@ -44,13 +44,14 @@ DETAIL = """
 <tr><td>x</td><td>Hose:</td><th>13/16</th><td>y</td><td>Core (in):</td><th>late</th></tr><tr><td>Tech Note</td><td>OEM style</td></tr></table>
 <table><tr><th>Make</th><th>Model</th></tr><tr><td>Honda</td><td>Civic</td></tr></table>
 <table><tr><th>Reference Number</th><th>Reference Name</th></tr><tr><td>30048</td><td>OEM</td></tr><tr><td></td><td>DPI</td></tr></table>
-<img src="https://illumaware-digital-assets.s3.x/catalog196/large/a.jpg" alt="A"><img src="https://illumaware-digital-assets.s3.x/catalog196/small/b.jpg">
-<img src="https://illumaware-digital-assets.s3.x/catalog196/large/c.jpg">
+<img src="https://images.example.com/catalog196/large/a.jpg" alt="A"><img src="https://images.example.com/catalog196/small/b.jpg">
+<img src="https://images.example.com/catalog196/large/c.jpg">
 """
 
 
 def test_detail_page(spark):
-    row = pages.extract_details(_pages(spark, DETAIL), ["id"]).first()
+    row = pages.extract_details(_pages(spark, DETAIL), ["id"], host="images.example.com").first()
+    assert pages.extract_details(_pages(spark, DETAIL), ["id"], host="elsewhere.example").first().additional_images == []
     assert row.specifications == {"Core (in)": "7/8", "Box": "32 1/4", "Hose": "13/16", "Tech Note": "OEM style"}
     assert row.tech_notes == "OEM style"
     assert [tuple(r) for r in row.interchange_data] == [("30048", "OEM")]
@@ -79,6 +80,36 @@ def test_selector_rejects_what_it_does_not_know():
         Selector("a > b")
 
 
+def test_deep_pages_do_not_fail_the_others(spark):
+    deep, deeper = "<b>" * 1500 + LISTING, "<b>" * 5000 + LISTING
+    frame = _pages(spark, LISTING, deep, deeper, None)
+    got = pages.extract_application_parts(frame, ["id"])
+    assert sorted((r.id, r.sku) for r in got.collect()) == [(0, "CSF-3951"), (0, "CSF-7"), (1, "CSF-3951"), (1, "CSF-7")]
+    failed = pages.page_failures(frame, ["id"]).collect()
+    assert [(r.id, r.page_pos) for r in failed] == [(2, None)] and "nested deeper" in failed[0].error
+
+
+def test_a_bad_block_leaves_the_others(monkeypatch):
+    from partloom.sources import structure
+    from partloom.sources.markup import Element
+
+    whole = Element.ancestor
+
+    def fails(self, tag, css):
+        if "broken" in self.text():
+            raise RuntimeError("no")
+        return whole(self, tag, css)
+
+    monkeypatch.setattr(Element, "ancestor", fails)
+    blocks = structure.listing_reader("")(parse(LISTING))["blocks"]
+    assert [b.get("sku") for b in blocks] == ["3951", None, "CSF-7"] and blocks[1]["error"] == "RuntimeError: no"
+
+
+def test_large_pages_are_handed_on_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SLICE_CHARS", 10)
+    assert pages.select_text(_pages(spark, *["<p>x</p>"] * 7, None), "p", ["id"]).where("text = 'x'").count() == 7
+
+
 def test_entities_comments_and_cells():
     root = parse("<table><tr><td>a &amp; b<td>c<tr><td><!-- x -->d</table>")
     assert [[c.text() for c in r.find("td")] for r in root.find("tr")] == [["a & b", "c"], ["d"]]
