@@ -33,7 +33,8 @@ def format_spans(years: Column) -> Column:
 def year_spans(fitments: DataFrame) -> DataFrame:
     """Runs of consecutive years per part, make and model, one row per run."""
     keys = ("sku", "make", "model")
-    years = fitments.select(*keys, "year").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("year")).alias("y"))
+    # As many values as there are model years, and combined before the shuffle.
+    years = fitments.groupBy(*keys).agg(F.sort_array(F.collect_set("year")).alias("y"))
     runs = years.select(*keys, F.explode(spans(F.col("y"))).alias("s"))
     label = format_spans(F.sequence("s.first", "s.last"))
     return runs.select(*keys, F.col("s.first").alias("first_year"), F.col("s.last").alias("last_year"), label.alias("label"))
@@ -51,9 +52,9 @@ def fitment_cards(fitments: DataFrame) -> DataFrame:
         F.coalesce("engine", blank).alias("engine"),
         F.when(aspiration == "None", blank).otherwise(aspiration).alias("aspiration"),
         F.array_join(F.coalesce("qualifiers", F.array().cast("array<string>")), "|").alias("qualifiers"),
-    ).distinct()
+    )
     per_variant = variant.groupBy("sku", "make", "model", "engine", "aspiration", "qualifiers").agg(
-        F.sort_array(F.collect_list("year")).alias("years")
+        F.sort_array(F.collect_set("year")).alias("years")
     )
     return per_variant.groupBy("sku", "make", "model", "years").agg(
         F.sort_array(F.collect_list(F.struct("engine", "aspiration", "qualifiers"))).alias("variants")

@@ -73,8 +73,8 @@ def _arrive(spark: SparkSession, rows: DataFrame, root: str, handler: jobs.Handl
 @query(
     "ST3_dedup_stream",
     sql(
-        """SELECT 'fitments' AS item, count(*) AS n, CAST(0 AS DOUBLE) AS total FROM fit1 UNION ALL
-        SELECT 'parts', count(*), CAST(sum(price) AS DOUBLE) FROM (SELECT l_partkey, CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0
+        """SELECT 'fitments' AS item, sku, concat_ws('|', make, model, year, engine) AS vehicle, CAST(NULL AS DOUBLE) AS price FROM fit1 UNION ALL
+        SELECT 'parts', 'CSF-' || l_partkey, NULL, CAST(price AS DOUBLE) FROM (SELECT l_partkey, CASE WHEN l_linenumber = 7 AND l_suppkey % 10 = 0
           THEN price + 1 ELSE price END AS price, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey % 3 DESC, l_orderkey DESC,
           l_linenumber DESC, l_suppkey DESC, l_shipdate DESC) AS rn FROM lineitem JOIN cat ON id = l_partkey) WHERE rn = 1""",
         "fit1", "cat",
@@ -87,9 +87,9 @@ def st3(spark: SparkSession, sf: str) -> DataFrame:
     parts = upsert.read_version(spark, f"{root}/parts", rows.select(*PART_COLUMNS).schema)
     key = ["sku", "make", "model", "year", "engine"]
     fits = upsert.read_version(spark, f"{root}/fitments", rows.select(*key).schema)
-    count = F.count(F.lit(1)).alias("n")
-    return parts.agg(count, F.sum(F.col("price")).cast("double").alias("total")).select(F.lit("parts").alias("item"), "n", "total").unionByName(
-        fits.agg(count).select(F.lit("fitments").alias("item"), "n", F.lit(0.0).alias("total"))
+    none = F.lit(None)
+    return parts.select(F.lit("parts").alias("item"), "sku", none.cast("string").alias("vehicle"), F.col("price").cast("double").alias("price")).unionByName(
+        fits.select(F.lit("fitments").alias("item"), "sku", F.concat_ws("|", "make", "model", F.col("year").cast("string"), "engine").alias("vehicle"), none.cast("double").alias("price"))
     )
 
 

@@ -63,6 +63,27 @@ def _read_batches(spark: SparkSession, root: str, ids: list[int]) -> DataFrame |
     return spark.read.option("basePath", root).parquet(*[f"{root}/batch_id={i}" for i in ids])
 
 
+def _older(spark: SparkSession, rows: str, base: str, batch_id: int) -> DataFrame | None:
+    """Rows of all batches older than ``batch_id``, by way of the newest base that is older: it stands for all batches before its own."""
+    bases = _batches(spark, base, batch_id)
+    start = bases[-1] if bases else 0
+    frames = [_read_batches(spark, rows, [i for i in _batches(spark, rows, batch_id) if i >= start])]
+    if bases:
+        frames.append(spark.read.parquet(f"{base}/batch_id={start}").withColumn("batch_id", F.lit(start - 1)))
+    frames = [f.withColumn("batch_id", F.col("batch_id").cast("long")) for f in frames if f is not None]
+    if not frames:
+        return None
+    shared = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
+    return dedup.concat_exports(*[f.select(*shared) for f in frames])
+
+
+def _retire_bases(spark: SparkSession, base: str, batch_id: int) -> None:
+    """Remove bases that no batch from here on reads, nor this one when it is replayed."""
+    fs, _ = upsert._fs(spark, base)
+    for old in _batches(spark, base, batch_id)[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/batch_id={old}"), True)
+
+
 # --- page changes ---------------------------------------------------------------------------------------------------
 
 
@@ -70,20 +91,15 @@ def page_changes(root: str, *, version: str = "page_id", compact_every: int = 20
     """Per url, keep a page only when it is new or its content hash differs from the last one kept.
 
     What was kept is the state: older batches' rows say what each url last looked like. Every ``compact_every`` batches
-    the latest row per url is written as a base, so the state to read does not grow with the number of batches.
+    the latest row per url is written as a base, so the state to read does not grow with the number of batches. A batch reads only
+    what is older than itself, its own base too, so a replay finds what the first run found.
     """
     changes, base = f"{root}/changes", f"{root}/base"
 
     def known(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        bases = _batches(spark, base, batch_id + 1)
-        start = bases[-1] if bases else 0
-        frames = [_read_batches(spark, changes, [i for i in _batches(spark, changes, batch_id) if i >= start])]
-        if bases:
-            frames.append(spark.read.parquet(f"{base}/batch_id={start}").withColumn("batch_id", F.lit(start - 1)))
-        frames = [f.select("url", "hash", F.col("batch_id").cast("long").alias("batch_id")) for f in frames if f is not None]
-        if not frames:
+        seen = _older(spark, changes, base, batch_id)
+        if seen is None:
             return None
-        seen = dedup.concat_exports(*frames)
         return seen.groupBy("url").agg(F.max_by("hash", "batch_id").alias("_stored"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -94,6 +110,7 @@ def page_changes(root: str, *, version: str = "page_id", compact_every: int = 20
         if stored is not None:
             if compact_every and batch_id % compact_every == 0:
                 stored.select("url", F.col("_stored").alias("hash")).write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+                _retire_bases(spark, base, batch_id)
             joined = latest.join(stored, "url", "left")
             latest = joined.where(~F.col("hash").eqNullSafe(F.col("_stored"))).drop("_stored")
         latest.write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
@@ -128,6 +145,7 @@ def import_drops(root: str, *, schema: T.StructType = sc.CATALOG) -> Handler:
         outcome = f"{root}/outcome/batch_id={batch_id}"
         upsert.write_version(merged.drop("status"), table, batch_id + 1)
         aggregates.import_outcome(merged.select("status")).write.mode("overwrite").parquet(outcome)
+        upsert.retire_versions(spark, table)
 
     return handle
 
@@ -175,6 +193,8 @@ def dedup_listings(root: str, order: list[str], *, keep_changes: bool = True) ->
             seen = dedup.first_per_key(known.unionByName(seen), dedup.FITMENT_KEY, ["generation", *order])
         upsert.write_version(fresh, parts, version)
         upsert.write_version(seen, fits, version)
+        for table in (parts, fits):
+            upsert.retire_versions(spark, table)
 
     return handle
 
@@ -196,6 +216,7 @@ def keep_latest(root: str) -> Handler:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         upsert.write_version(batch, root, batch_id + 1)
+        upsert.retire_versions(batch.sparkSession, root)
 
     return handle
 
@@ -203,24 +224,29 @@ def keep_latest(root: str) -> Handler:
 # --- deltas ---------------------------------------------------------------------------------------------------------
 
 
-def publish_deltas(root: str, baseline: Callable[[SparkSession], DataFrame], order: list[str]) -> Handler:
+def publish_deltas(root: str, baseline: Callable[[SparkSession], DataFrame], order: list[str], *, compact_every: int = 20) -> Handler:
     """Write the new and changed parts of each batch to its own folder; a batch without any writes nothing.
 
-    ``baseline`` gives the parts published before the stream began; older batches' deltas replace their rows.
+    ``baseline`` gives the parts published before the stream began; older batches' deltas replace their rows. Every ``compact_every`` batches
+    the latest row per sku of all older deltas is written as a base, so a batch does not read all deltas again.
     """
+    published, base = f"{root}/published", f"{root}/published-base"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = _read_batches(spark, f"{root}/published", _batches(spark, f"{root}/published", batch_id))
+        older = _older(spark, published, base, batch_id)
         before = baseline(spark)
         columns = before.columns
         if older is not None:
             latest = dedup.last_per_key(older.select("sku", *[c for c in columns if c != "sku"], "batch_id"), ("sku",), ["batch_id"])
+            if compact_every and batch_id % compact_every == 0:
+                latest.drop("batch_id").write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+                _retire_bases(spark, base, batch_id)
             before = exports.appended(before, latest.select(*columns))
         changes = dedup.detect_changes(batch.drop(*order), before)
         parts = dedup.dedup_parts(batch, order).select(*columns)
-        joins.delta_rows(parts, changes).write.mode("overwrite").parquet(f"{root}/published/batch_id={batch_id}")
-        written = spark.read.schema(parts.schema).parquet(f"{root}/published/batch_id={batch_id}")
+        joins.delta_rows(parts, changes).write.mode("overwrite").parquet(f"{published}/batch_id={batch_id}")
+        written = spark.read.schema(parts.schema).parquet(f"{published}/batch_id={batch_id}")
         if not written.isEmpty():
             exports.write_parts(written, f"{root}/delta/batch_id={batch_id}")
 

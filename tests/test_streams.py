@@ -42,6 +42,43 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert rows(jobs.read_page_changes(spark, root), "page_id", "url") == once == [(1, "a"), (2, "a"), (3, "b")]
 
 
+def test_replay_of_compaction_batches(spark, tmp_path):
+    """Every batch is replayed at once, with its own base complete, half written, or missing."""
+    root = f"file:{tmp_path}"
+    handler = jobs.page_changes(root, compact_every=2)
+    batches = [
+        [(1, "a", "x"), (2, "b", "x")], [(3, "a", "y")], [(4, "a", "y"), (5, "b", "z")], [(6, "c", "x"), (7, "b", "z")], [(8, "a", "x"), (9, "b", "z")],
+    ]
+    for i, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, "page_id long, url string, html string")
+        handler(frame, i)
+        once = rows(jobs.read_page_changes(spark, root), "page_id", "url")
+        handler(frame, i)
+        assert rows(jobs.read_page_changes(spark, root), "page_id", "url") == once
+        marker = tmp_path / "base" / f"batch_id={i}" / "_SUCCESS"
+        if marker.exists():
+            marker.unlink()
+            handler(frame, i)
+            assert rows(jobs.read_page_changes(spark, root), "page_id", "url") == once
+    assert rows(jobs.read_page_changes(spark, root), "page_id") == [(1,), (2,), (3,), (5,), (6,), (8,)]
+
+
+def test_compacted_deltas_equal_plain_ones(spark, tmp_path):
+    columns = ["sku", "name", "category", "price", "manufacturer", "position", "in_stock", "features", "images", "specifications"]
+    baseline = lambda s: _listing(s, ("a", "n", "M", "o", 2000, None, 0)).select(*columns)
+    steps = [[("a", "n"), ("b", "n")], [("b", "n")], [("b", "m"), ("c", "n")], [("a", "n"), ("c", "n")], [("a", "m"), ("b", "m")], [("b", "n")]]
+    found = []
+    for every in (0, 2):
+        root = f"file:{tmp_path}/{every}"
+        handler = jobs.publish_deltas(root, baseline, ["pos"], compact_every=every)
+        for i, step in enumerate(steps):
+            frame = _listing(spark, *[(s, n, "M", "o", 2000, None, 1) for s, n in step]).select(*columns, "pos")
+            handler(frame, i)
+            handler(frame, i)
+        found.append(rows(spark.read.parquet(f"{root}/published"), "batch_id", "sku", "name"))
+    assert found[0] == found[1] == [(0, "b", "n"), (2, "b", "m"), (2, "c", "n"), (4, "a", "m"), (5, "b", "n")]
+
+
 def test_a_drop_is_imported_once(spark, tmp_path):
     root = f"file:{tmp_path}"
     drop = lambda name, text: (tmp_path / "drops" / name).write_text(text)
