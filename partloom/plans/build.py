@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from partloom import schemas as sc
 from partloom.operators import dedup, joins, quality
-from partloom.session import cut_lineage
+from partloom.session import work_path
 from partloom.sources import exports, pages
 
 ORDER = ["app_pos", "group_pos", "page_pos"]
@@ -25,12 +25,17 @@ class Build:
     failures: DataFrame
 
     def publish(self, path: str) -> None:
-        """Write every export form; the delta only when something is new or changed."""
-        exports.write_parts(self.parts, f"{path}/parts")
-        exports.write_compat(self.fitments, f"{path}/compatibility")
-        exports.write_complete(self.parts, self.fitments, f"{path}/complete")
-        exports.write_hierarchical(self.fitments, self.parts, f"{path}/hierarchical")
-        exports.write_delta(self.parts, self.changes, f"{path}/delta")
+        """Write every export form; the delta only when something is new or changed. Parts and fitments are evaluated once for all forms."""
+        spark = self.parts.sparkSession
+        staged = {name: work_path(spark, name) for name in ("parts", "fitments")}
+        for name, target in staged.items():
+            getattr(self, name).write.parquet(target)
+        parts, fitments = (spark.read.parquet(staged[name]) for name in ("parts", "fitments"))
+        exports.write_parts(parts, f"{path}/parts")
+        exports.write_compat(fitments, f"{path}/compatibility")
+        exports.write_complete(parts, fitments, f"{path}/complete")
+        exports.write_hierarchical(fitments, parts, f"{path}/hierarchical")
+        exports.write_delta(parts, self.changes, f"{path}/delta")
 
 
 def complete_record(parts: DataFrame) -> DataFrame:
@@ -55,7 +60,9 @@ def build_catalog(
     placed = judged.join(applications.withColumn("year", F.col("year").try_cast("int")), "application_id")
     vehicles = quality.normalize_vehicles(quality.check_vehicles(placed.drop("issues"), current_year=current_year))
     # Four outputs hang on these rows; without a stored copy each would parse the html again.
-    listing = cut_lineage(vehicles.withColumn("sound", F.col("valid") & (F.size("issues") == 0)).drop("issues"))
+    staged = work_path(crawled.sparkSession, "listing")
+    vehicles.withColumn("sound", F.col("valid") & (F.size("issues") == 0)).drop("issues").write.parquet(staged)
+    listing = crawled.sparkSession.read.parquet(staged)
 
     bad = listing.where(~F.col("sound"))
     if on_invalid == "fail_page":

@@ -686,6 +686,21 @@ def o1l(spark: SparkSession, sf: str) -> DataFrame:
     return paging.query_catalog(parts, A.fitments(spark, sf), request).select("id", "sku", "name")
 
 
+@query(
+    "O1_query_catalog_after",
+    sql(
+        """SELECT id, sku, name FROM cat WHERE name > (SELECT name FROM cat WHERE id = 100) OR (name = (SELECT name FROM cat WHERE id = 100) AND id > 100)
+        ORDER BY name, id LIMIT 20""",
+        "cat",
+    ),
+)
+def o1a(spark: SparkSession, sf: str) -> DataFrame:
+    """The page after a given row: no row before it is sorted."""
+    parts = A.catalog(spark, sf)
+    last = parts.where("id = 100").select("name", "id").first()
+    return paging.query_catalog(parts, A.fitments(spark, sf), paging.CatalogQuery(after=tuple(last))).select("id", "sku", "name")
+
+
 @query("O1_count", sql(f"""SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages, 20 < count(*) AS has_more
   FROM cat WHERE {_REQUEST_SQL}""", "cat", "fit"))
 def o1c(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,6 +111,10 @@ def test_query_clamps_and_whitelists(spark):
     parts = parts.withColumn("interchange_numbers", F.array().cast("array<struct<reference_number:string,reference_type:string>>"))
     fits = spark.createDataFrame([("s1", "A", "X", 2000), ("s1", "B", "Y", 2001), ("s2", "A", "Y", 2001)], "sku string, make string, model string, year int")
     page = lambda **q: [r.sku for r in paging.query_catalog(parts, fits, paging.CatalogQuery(**q)).collect()]
+    for order in ("asc", "desc"):
+        whole = paging.query_catalog(parts, fits, paging.CatalogQuery(order=order)).select("name", "id", "sku").collect()
+        for k, row in enumerate(whole):
+            assert page(order=order, after=(row.name, row.id)) == [r.sku for r in whole[k + 1 :]]
     assert page() == ["s2", "s3", "s1"] and page(order="desc") == ["s1", "s3", "s2"]
     assert page(makes=["A"], models=["Y"]) == ["s2"], "both tests have to hold on one vehicle"
     assert page(years=["2001"]) == ["s2", "s1"] and page(categories=["D"]) == ["s3"]
