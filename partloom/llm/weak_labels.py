@@ -27,10 +27,10 @@ FITTED = 20_000
 TERMS = 2_000
 SLOTS = 1 << 18
 BEGINNINGS = (4, 5, 6)
-TRAITS = ("marked", "shouted", "stuttered", "barred", "symbols", "exclaimed", "varied", "bars")
+TRAITS = ("marked", "shouted", "stuttered", "barred", "symbols", "exclaimed", "runs", "bars")
 EDGES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 #: (trait, vote against from here on): pairs of labellers for four kinds of junk.
-JUNK = (("marked", 0.2), ("symbols", 0.05), ("shouted", 0.5), ("exclaimed", 0.3), ("stuttered", 0.3), ("varied", 0.7), ("barred", 0.08), ("bars", 0.012))
+JUNK = (("marked", 0.2), ("symbols", 0.05), ("shouted", 0.5), ("exclaimed", 0.3), ("stuttered", 0.3), ("runs", 0.25), ("barred", 0.08), ("bars", 0.012))
 _SIGNS = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -57,13 +57,15 @@ def traits(texts: list[bytes], codes: np.ndarray, counts: np.ndarray, vocabulary
     same = np.zeros(len(codes), bool)
     if len(codes) > 1:
         same[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
-    distinct = pd.unique(owner * (len(vocabulary) + 1) + codes) if len(codes) else np.zeros(0, np.int64)
-    repeated = counts - np.bincount(distinct // (len(vocabulary) + 1), minlength=len(counts))
+    # The third and later words of a run of the same word. Repeated lines are no matter of this operator.
+    third = same.copy()
+    third[1:] &= same[:-1]
     size = np.array([max(1, len(t)) for t in texts])
     symbols = np.array([len(t) - len(t.translate(None, b"#*$%&<>")) for t in texts]) / size
     bars = np.array([t.count(b"|") for t in texts]) / size
-    share = lambda flag: sums(flag[codes], counts) / n
-    return np.stack([share(marked), share(shouted), sums(same, counts) / n, share(bar), symbols, share(exclaimed), repeated / n, bars], 1)
+    share_of = lambda flag: sums(flag, counts) / n
+    share = lambda flag: share_of(flag[codes])
+    return np.stack([share(marked), share(shouted), share_of(same), share(bar), symbols, share(exclaimed), share_of(third), bars], 1)
 
 
 def _lexicon_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
