@@ -20,7 +20,7 @@ SHARD_ROWS = 4096
 QUERY_BLOCK = 512
 DEGREE = 32
 BUILD_BEAM = 48
-SEARCH_BEAM = 72
+SEARCH_BEAM = 128
 ALPHA = 1.2
 _INDEX = "dim int, shard long, ids array<array<long>>, vectors array<double>, neighbours array<int>, entry int"
 
