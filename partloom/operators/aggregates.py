@@ -102,6 +102,17 @@ def dataset_stats(parts: DataFrame) -> DataFrame:
     )
 
 
+def summary_stats(summaries: DataFrame) -> DataFrame:
+    """The same rows for documents that hold a run's summary instead of parts; see ``sources.exports.read_summaries``.
+
+    ``summaries`` has total_parts, unique_skus and deduplication_rate. Each summary gives its own rows; what it does not tell is 0.
+    """
+    return _metrics(
+        summaries, total_parts=F.col("total_parts"), unique_skus=F.col("unique_skus"), duplicate_count=F.lit(0),
+        deduplication_rate=F.col("deduplication_rate"), price_data_available=F.lit(0), total_vehicles=F.lit(0),
+    )
+
+
 def catalog_stats(parts: DataFrame, fitments: DataFrame) -> DataFrame:
     """Size of the catalog and exact counts per category and make, as (metric, key, value) rows."""
     categories = _count(parts, "category")

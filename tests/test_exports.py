@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from partloom import schemas as sc
-from partloom.operators import dedup
+from partloom.operators import aggregates, dedup
 from partloom.sources import exports
 
 PART = {"sku": "csf-1", "name": " n ", "price": "1.50", "category": "oil coolers", "images": [], "scraped_at": "2025"}
@@ -43,6 +43,8 @@ def test_structure_tells_what_was_found(spark, tmp_path):
     assert got == [("broken", 2), ("data", 1), ("metadata", 1), ("none", 1), ("parts", 1), ("record", 1)]
     assert exports.read_parts_export(spark, path).count() == 3
     assert rows(exports.read_summaries(spark, path), "total_parts", "unique_skus", "deduplication_rate") == [(5, 3, 0.0)]
+    stats = dict(rows(aggregates.summary_stats(exports.read_summaries(spark, path)), "metric", "value"))
+    assert (stats["total_parts"], stats["unique_skus"], stats["duplicate_count"]) == (5.0, 3.0, 0.0)
 
 
 def test_import_stops_before_a_version_is_written(spark, tmp_path):
