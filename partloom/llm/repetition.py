@@ -20,8 +20,12 @@ from partloom.llm.words import factorized, flat_words, owners, raw_texts, slices
 
 #: A repeat has at least so many words.
 MIN_WORDS = 8
-MAX_COVERED = 0.5
+#: Words in repeats of ``MIN_WORDS`` words are a part of the words in repeats of three, of which the base rules allow half. The limit is the one
+#: that goes with repeated runs of 8 words in the rules of Gopher (Rae et al. 2021, table A1).
+MAX_COVERED = 0.12
 MAX_REPEAT = 100
+#: A longer repeat may still be so much of its text: with its copy, half of what all repeats may cover.
+REPEAT_SHARE = MAX_COVERED / 4
 LEAST_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 
@@ -135,20 +139,23 @@ def _distinct_per_owner(codes: np.ndarray, counts: np.ndarray, distinct: int) ->
     return np.bincount(pairs // (distinct + 1), minlength=len(counts)).astype(np.int64)
 
 
-def _rules(batches: Iterable[pa.RecordBatch], names: list[str], max_covered: float, max_repeat: int) -> Iterator[pa.RecordBatch]:
+def _rules(batches: Iterable[pa.RecordBatch], names: list[str], max_covered: float, max_repeat: int, repeat_share: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         m = measure(raw_texts(batch.column("text")))
         failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-        kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
+        longest = np.maximum(max_repeat, repeat_share * m["n_words"])
+        kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= longest)
         own = {c: batch.column(c) for c in names}
         yield pa.RecordBatch.from_pydict(own | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed), "kept": pa.array(kept)})
 
 
-def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, keep_columns: bool = False) -> DataFrame:
+def repetition_rules(
+    docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, keep_columns: bool = False, repeat_share: float = REPEAT_SHARE
+) -> DataFrame:
     """Measures of every whole text, whether the base rules fail, and whether the document is kept.
 
     A document is kept if the base rules hold, repeats of at least ``MIN_WORDS`` words cover at most ``max_covered`` of its words, and the longest
-    has at most ``max_repeat``. A null or empty text has no words and fails. Repeated rows give repeated rows, an empty table an empty one.
+    has at most ``max_repeat`` words or ``repeat_share`` of the text's words. A null or empty text has no words and fails. Repeated rows give repeated rows, an empty table an empty one.
     With ``keep_columns`` all columns of ``docs`` come first, but for those named like a measure, which are replaced; else only doc_id.
     A text is judged in one piece; a task holds a few megabytes of text, or one text.
     """
@@ -157,4 +164,4 @@ def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repe
     chosen = docs.select(*names)
     out = names if keep_columns else ["doc_id"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in out] + [MEASURES])
-    return chosen.mapInArrow(lambda b: _rules(b, out, max_covered, max_repeat), schema)
+    return chosen.mapInArrow(lambda b: _rules(b, out, max_covered, max_repeat, repeat_share), schema)

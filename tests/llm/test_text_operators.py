@@ -182,6 +182,19 @@ def test_repetition_rules(docs, empty, spark):
     assert rows[1].kept and not rows[2].kept and not rows[2].base_failed and rows[3].base_failed
 
 
+def test_each_repetition_limit_decides(spark):
+    own = iter(range(100_000))
+    make = lambda n: " ".join(f"u{next(own)}" for _ in range(n))
+    passage, long = make(80), make(101)
+    often = " ".join(f"{passage} {make(84)}" for _ in range(4))
+    quoted = f"{make(10_000)} {long} {make(9_697)} {long}"
+    once = f"{make(900)} {long} {make(900)} {long}"
+    rows = by_id(repetition_rules(frame(spark, [(1, often), (2, quoted), (3, once)])))
+    assert (rows[1].n_words, rows[1].covered_words, rows[1].longest_repeat) == (656, 320, 80) and not rows[1].base_failed and not rows[1].kept
+    assert (rows[2].longest_repeat, rows[2].covered_words) == (101, 202) and rows[2].kept
+    assert rows[3].covered_words <= 0.12 * rows[3].n_words and not rows[3].kept
+
+
 # op3
 
 
