@@ -46,8 +46,8 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _slice_suffixes(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Marks of windows that come earlier in the slice, and the sampled suffixes of all others: doc, place, offsets (as bits), prefix hash."""
+def _slice_suffixes(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Marks of windows that come earlier in the slice, and the sampled suffixes of all others: text, place, offsets (as bits), prefix hash."""
     codes, counts, vocabulary = flat_words(texts)
     total = len(codes)
     symbols = hashes(vocabulary)[codes] if total else np.zeros(0, np.uint64)
@@ -68,8 +68,6 @@ def _slice_suffixes(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, ..
     same = np.ones(len(copy), bool)
     for j in range(WINDOW):
         same &= codes[a + j] == codes[b + j]
-    # A row that is there twice is not its own copy.
-    same &= (doc[owner[a]] != doc[owner[b]]) | (place_in_text[first[copy]] != place_in_text[copy])
     copy = copy[same]
     left = np.ones(len(at), bool)
     left[copy] = False
@@ -77,7 +75,7 @@ def _slice_suffixes(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, ..
     heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
     bits = np.bitwise_or.reduceat(1 << offset, heads) if len(heads) else np.zeros(0, np.int64)
     place = place[heads]
-    return doc[owner[at[copy]]], place_in_text[copy], doc[owner[place]], place - begin[owner[place]], bits, prefix[place]
+    return owner[at[copy]], place_in_text[copy], owner[place], place - begin[owner[place]], bits, prefix[place]
 
 
 def _masks(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,20 +90,28 @@ def _masks(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        doc = batch.column("_doc").to_numpy()
-        order = np.argsort(doc, kind="stable")
-        texts = raw_texts(batch.column("text"))
-        own, start, at_doc, place, bits, prefix = _slice_suffixes([texts[i] for i in order], doc[order])
+        doc, text = batch.column("_doc").to_numpy(), batch.column("_text").to_numpy()
+        order = np.lexsort((text, doc))
+        # A row that is there twice is not its own copy.
+        order = order[np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(text[order]) != 0)]] if len(order) else order
+        doc, text, texts = doc[order], text[order], raw_texts(batch.column("text"))
+        own, start, at, place, bits, prefix = _slice_suffixes([texts[i] for i in order])
         own, base, mask = _masks(own, start)
-        yield pa.RecordBatch.from_pydict({"prefix": pa.nulls(len(own), pa.int64()), "_doc": pa.array(own), "packed": pa.array(base << 32 | mask)})
-        yield pa.RecordBatch.from_pydict({"prefix": pa.array(prefix.view(np.int64)), "_doc": pa.array(at_doc), "packed": pa.array(place << 16 | bits)})
+        for rows, first, packed in ((own, pa.nulls(len(own), pa.int64()), base << 32 | mask), (at, pa.array(prefix.view(np.int64)), place << 16 | bits)):
+            yield pa.RecordBatch.from_pydict({"prefix": first, "_doc": pa.array(doc[rows]), "_text": pa.array(text[rows]), "packed": pa.array(packed)})
 
 
 def _contexts(batches: Iterable[pa.RecordBatch], group_rows: int) -> Iterator[pa.RecordBatch]:
-    """Every counted suffix with the words of its windows: group, doc, first window, offsets, place of the suffix in the words, words."""
+    """Every counted suffix with the words of its windows: group, doc and text, first window, offsets, place of the suffix in the words, words."""
+    seen = set()
     for batch in slices(batches):
-        out: dict[str, list] = {k: [] for k in ("branch", "_doc", "base", "bits", "place", "words")}
-        for doc, text, found in zip(batch.column("_doc").to_pylist(), raw_texts(batch.column("text")), batch.column("suffixes").to_pylist()):
+        out: dict[str, list] = {k: [] for k in _CONTEXTS.names}
+        columns = [batch.column(c).to_pylist() for c in ("_doc", "_text", "suffixes")]
+        for doc, key, found, text in zip(*columns, raw_texts(batch.column("text"))):
+            # Rows that are there twice have the same suffixes.
+            if (doc, key) in seen:
+                continue
+            seen.add((doc, key))
             words = text.split()
             for suffix in found:
                 place, bits, prefix = suffix["packed"] >> 16, suffix["packed"] & 0xFFFF, suffix["prefix"]
@@ -117,13 +123,13 @@ def _contexts(batches: Iterable[pa.RecordBatch], group_rows: int) -> Iterator[pa
                     low, high = (part & -part).bit_length() - 1, part.bit_length() - 1
                     joined = b" ".join(words[place - high : place - low + WINDOW])
                     branch = prefix if suffix["n"] <= group_rows else xxhash.xxh3_64_intdigest(joined, seed=low) - (1 << 63)
-                    for name, value in zip(out, (branch, doc, place - high, part, high, joined)):
+                    for name, value in zip(out, (branch, doc, key, place - high, part, high, joined)):
                         out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema=_CONTEXTS)
 
 
 _CONTEXTS = pa.schema(
-    [("branch", pa.int64()), ("_doc", pa.int64()), ("base", pa.int64()), ("bits", pa.int64()), ("place", pa.int64()), ("words", pa.binary())]
+    [("branch", pa.int64()), ("_doc", pa.int64()), ("_text", pa.int64()), ("base", pa.int64()), ("bits", pa.int64()), ("place", pa.int64()), ("words", pa.binary())]
 )
 
 
@@ -152,15 +158,15 @@ def _repeats(table: dict[str, np.ndarray], words: list[bytes]) -> pa.RecordBatch
         rows = np.flatnonzero(table["bits"] >> offset & 1)
         before, after = left[offset][rows], right[WINDOW - offset][rows]
         node = pd.factorize(before * (int(after.max(initial=0)) + 1) + after)[0]
-        doc, start = table["_doc"][rows], table["base"][rows] + table["place"][rows] - offset
-        order = np.lexsort((start, doc, node))
+        doc, text, start = table["_doc"][rows], table["_text"][rows], table["base"][rows] + table["place"][rows] - offset
+        order = np.lexsort((start, text, doc, node))
         lead = np.r_[True, node[order][1:] != node[order][:-1]] if len(order) else np.zeros(0, bool)
         first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
-        later = (doc[order] != doc[first]) | (start[order] != start[first])
+        later = (doc[order] != doc[first]) | (text[order] != text[first]) | (start[order] != start[first])
         chosen = rows[order[later]]
         gone[chosen] |= 1 << (table["place"][chosen] - offset)
     hit = np.flatnonzero(gone)
-    return pa.RecordBatch.from_pydict({"_doc": pa.array(table["_doc"][hit]), "base": pa.array(table["base"][hit]), "mask": pa.array(gone[hit])})
+    return pa.RecordBatch.from_pydict({"_doc": pa.array(table["_doc"][hit]), "_text": pa.array(table["_text"][hit]), "base": pa.array(table["base"][hit]), "mask": pa.array(gone[hit])})
 
 
 def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table):
-        table = {k: rows[k].to_numpy() for k in ("branch", "_doc", "base", "bits", "place")}
+        table = {k: rows[k].to_numpy() for k in ("branch", "_doc", "_text", "base", "bits", "place")}
         return _repeats(table, rows["words"].to_pylist())
 
     for batch in batches:
@@ -220,26 +226,28 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False, group_rows: int
     """doc_id, n_words, n_removed and kept_sha256; with ``keep_columns`` all columns of ``docs`` and kept_text in place of the digest.
 
     A word goes if it is in a window of ``WINDOW`` words that also starts earlier: in a smaller doc_id, or in the same document before. Windows are
-    judged on the input. A null text has no words, a null doc_id counts as the smallest. A row that is there twice is not
-    its own copy: both rows give what one would give. Columns of ``docs`` named n_words, n_removed, kept_text, _doc, suffixes or marks
+    judged on the input. A null text has no words, a null doc_id counts as the smallest. Different texts under one doc_id, or under none, are
+    documents of their own, the one with the smaller xxhash64 first. A row that is there twice, with the same doc_id or none and the same text, is not
+    its own copy: both rows give what one would give. Columns of ``docs`` named n_words, n_removed, kept_text, _doc, _text, suffixes or marks
     are replaced or left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "suffixes", "marks")] if keep_columns else ["doc_id", "text"]
-    keyed = docs.select(*names).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "_text", "suffixes", "marks")] if keep_columns else ["doc_id", "text"]
+    key = ["_doc", "_text"]
+    keyed = docs.select(*names).withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64("text")})
     path = work_path(spark, "suffixes")
-    keyed.select("_doc", "text").mapInArrow(_sampled, "prefix long, _doc long, packed long").write.parquet(path)
+    keyed.select(*key, "text").mapInArrow(_sampled, "prefix long, _doc long, _text long, packed long").write.parquet(path)
     sampled = spark.read.parquet(path)
-    at_once = sampled.filter("prefix IS NULL").selectExpr("_doc", "shiftright(packed, 32) AS base", f"packed & {(1 << 32) - 1}L AS mask")
+    at_once = sampled.filter("prefix IS NULL").selectExpr(*key, "shiftright(packed, 32) AS base", f"packed & {(1 << 32) - 1}L AS mask")
     counted = sampled.filter("prefix IS NOT NULL").withColumn("n", F.count("*").over(Window.partitionBy("prefix"))).filter("n > 1")
-    by_doc = counted.groupBy("_doc").agg(F.collect_list(F.struct("prefix", "packed", "n")).alias("suffixes"))
+    by_doc = counted.groupBy(*key).agg(F.collect_set(F.struct("prefix", "packed", "n")).alias("suffixes"))
     # Both joins read the same columns of the documents, so that their exchange is made once.
-    contexts = keyed.join(by_doc, "_doc").select("_doc", *names, "suffixes").mapInArrow(
-        lambda b: _contexts(b, group_rows), "branch long, _doc long, base long, bits long, place long, words binary"
+    contexts = keyed.join(by_doc, key).select(*key, *names, "suffixes").mapInArrow(
+        lambda b: _contexts(b, group_rows), "branch long, _doc long, _text long, base long, bits long, place long, words binary"
     )
-    found = contexts.repartition("branch").sortWithinPartitions("branch").mapInArrow(_subtrees, "_doc long, base long, mask long")
-    marks = at_once.unionByName(found).groupBy("_doc").agg(F.collect_list(F.struct("base", "mask")).alias("marks"))
+    found = contexts.repartition("branch").sortWithinPartitions("branch").mapInArrow(_subtrees, "_doc long, _text long, base long, mask long")
+    marks = at_once.unionByName(found).groupBy(*key).agg(F.collect_set(F.struct("base", "mask")).alias("marks"))
     out = [c for c in names if keep_columns] or ["doc_id"]
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in out] + ["n_words long, n_removed long", "kept_text string" if keep_columns else "kept_sha256 string"])
-    return keyed.join(marks, "_doc", "left").drop("_doc").mapInArrow(lambda b: _cut(b, out, keep_columns), schema)
+    return keyed.join(marks, key, "left").drop(*key).mapInArrow(lambda b: _cut(b, out, keep_columns), schema)

@@ -212,6 +212,27 @@ def test_repeats_go(docs, empty, group_rows):
     assert remove_repeats(empty, group_rows=group_rows).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_repeats_of_texts_that_share_an_id_or_have_none(spark, group_rows):
+    rng = random.Random(8)
+    make = lambda n: [f"v{rng.randrange(5_000)}" for _ in range(n)]
+    passage = make(40)
+    pieces = [(None, make(70) + passage + make(9)), (None, make(30)), (None, passage + make(200)), (4, make(25) + passage), (4, make(90)), (4, make(3) + passage + passage), (2, make(60)), (7, passage)]
+    rows = [(i, " ".join(ws)) for i, ws in pieces]
+    rows += [rows[0], rows[5], rows[5], (None, None), (None, ""), (4, None)]
+    df = frame(spark, rows).repartition(4)
+    key = {t: h for t, h in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    # The plain reading takes one text per id: number the documents in their order.
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, key[r[1]]))
+    left = repeats(list(enumerate(text for _, text in order)))
+    wanted = {row: b" ".join(left[n]).decode() for n, row in enumerate(order)}
+    got = remove_repeats(df, keep_columns=True, group_rows=group_rows).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.kept_text == wanted[(r.doc_id, r.text)], (r.doc_id, r.text)
+    assert sum(r.n_removed > 0 for r in got) == 6
+
+
 def test_repeats_keep_other_columns(docs):
     row = by_id(remove_repeats(docs, keep_columns=True))[1]
     assert row.source == "s1" and row.label == "l" and row.kept_text == dict(ROWS)[1]
