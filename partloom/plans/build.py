@@ -53,9 +53,13 @@ def build_catalog(
 
     ``crawled`` has application_id and html, ``applications`` application_id, app_pos, make, model and year. Listing
     rows are compared with ``previous``; details are joined afterwards, so enrichment never looks like a change. Parts
-    that were not seen again stay.
+    that were not seen again stay. A page or block that cannot be read is a failure too; with ``fail_page`` such a block fails its page.
     """
-    read = pages.extract_application_parts(crawled, ["application_id"])
+    raw = work_path(crawled.sparkSession, "blocks")
+    pages.read_listings_or_errors(crawled, ["application_id"]).write.parquet(raw)
+    blocks = crawled.sparkSession.read.parquet(raw)
+    unread = blocks.where(F.col("error").isNotNull()).select("application_id", "page_pos", "error")
+    read = pages.application_parts(blocks.where(F.col("error").isNull()))
     judged = quality.validate_rows(complete_record(read))
     placed = judged.join(applications.withColumn("year", F.col("year").try_cast("int")), "application_id")
     vehicles = quality.normalize_vehicles(quality.check_vehicles(placed.drop("issues"), current_year=current_year))
@@ -66,7 +70,8 @@ def build_catalog(
 
     bad = listing.where(~F.col("sound"))
     if on_invalid == "fail_page":
-        kept = listing.join(bad.select("application_id").distinct(), "application_id", "left_anti")
+        failed = bad.select("application_id").union(unread.select("application_id")).distinct()
+        kept = listing.join(failed, "application_id", "left_anti")
     else:
         kept = listing.where("sound")
     grouped = dedup.with_group_position(kept, page="application_id", position="page_pos")
@@ -83,4 +88,10 @@ def build_catalog(
         F.lit("invalid record").alias("error_type"), F.col("bad_rows").cast("string").alias("error_message"),
         F.lit(True).alias("is_retryable"),
     )
+    # The page's own error first, else that of its first block.
+    first = unread.groupBy("application_id").agg(F.min_by("error", F.coalesce("page_pos", F.lit(-1))).alias("error"))
+    failures = failures.unionByName(first.select(
+        F.lit("application").alias("phase"), F.col("application_id").cast("string").alias("identifier"),
+        F.lit("unreadable page").alias("error_type"), F.col("error").alias("error_message"), F.lit(True).alias("is_retryable"),
+    ))
     return Build(joins.enrich_parts(current, details, "fill"), fitments.drop(*ORDER), changes, failures)

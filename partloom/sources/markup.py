@@ -29,7 +29,7 @@ ENDS_PARAGRAPH = frozenset(
 )
 
 
-#: Pages nested deeper than this are refused; every look at the ancestors of an element is then bounded.
+#: Pages nested deeper than this are refused unless asked for; every look at the ancestors of an element is then bounded.
 MAX_DEPTH = 2000
 
 
@@ -90,8 +90,9 @@ class Element:
 
 
 class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, max_depth: int | None) -> None:
         super().__init__(convert_charrefs=True)
+        self.max_depth = max_depth
         self.root = self.here = Element("#root", {}, None)
         self.depth = 0
 
@@ -118,8 +119,8 @@ class _Builder(HTMLParser):
         self.here.children.append(element)
         if tag not in VOID:
             self.here, self.depth = element, self.depth + 1
-            if self.depth > MAX_DEPTH:
-                raise PageError(f"nested deeper than {MAX_DEPTH} elements")
+            if self.max_depth is not None and self.depth > self.max_depth:
+                raise PageError(f"nested deeper than {self.max_depth} elements")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,8 +140,9 @@ class _Builder(HTMLParser):
 _BARE_AMPERSAND = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*;|#[0-9]|#[xX][0-9A-Fa-f]))")
 
 
-def parse(html: str) -> Element:
-    builder = _Builder()
+def parse(html: str, max_depth: int | None = MAX_DEPTH) -> Element:
+    """The tree of a page; without ``max_depth`` a page is read however deep it is, more slowly the deeper."""
+    builder = _Builder(max_depth)
     builder.feed(_BARE_AMPERSAND.sub("&amp;", html))
     builder.close()
     return builder.root

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from partloom import constants as K
 from partloom.functions import text as tx
 from partloom.functions.engine import with_vehicle_qualifiers
-from partloom.sources.markup import Element, parse
+from partloom.sources.markup import MAX_DEPTH, Element, parse
 from partloom.sources.structure import detail_reader, listing_reader, match_reader
 
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
@@ -38,7 +38,7 @@ MATCH = _struct(text=_TEXT, value=_TEXT)
 SLICE_CHARS = 4_000_000
 
 
-def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict]) -> DataFrame:
+def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict], max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """Apply a structure reader to every page's html. Keys pass through; a page without html yields nulls.
 
     A page that cannot be read yields nulls too, and the reason as ``read_error``. Pages are taken one by one and handed on in slices
@@ -50,7 +50,7 @@ def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callab
 
     def one(html: str | None) -> dict:
         try:
-            return reader(parse(html)) if html is not None else {}
+            return reader(parse(html, max_depth)) if html is not None else {}
         except Exception as e:  # noqa: BLE001
             return {"read_error": f"{type(e).__name__}: {e}"}
 
@@ -82,6 +82,19 @@ def read_listings(pages: DataFrame, keys: list[str], *, join_with_space: bool =
     return read.select(*keys, F.posexplode("blocks").alias("page_pos", "b")).select(*keys, "page_pos", "b.*")
 
 
+def read_listings_or_errors(pages: DataFrame, keys: list[str], *, join_with_space: bool = False) -> DataFrame:
+    """The rows of ``read_listings`` and, from the same reading, one for each page that cannot be read, with its error and no page_pos.
+
+    Pages are read however deep they are nested.
+    """
+    read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(" " if join_with_space else ""), max_depth=None)
+    # A page that is not read has null blocks, which give one row of nulls; so has a page without html, and one without blocks.
+    rows = read.select(*keys, "read_error", F.posexplode_outer("blocks").alias("page_pos", "b"))
+    shown = rows.where(F.col("page_pos").isNotNull() | F.col("read_error").isNotNull())
+    fields = [F.col(f"b.{f}").alias(f) for f in BLOCK.names if f != "error"]
+    return shown.select(*keys, "page_pos", *fields, F.coalesce("read_error", "b.error").alias("error"))
+
+
 def page_failures(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Listing pages, and blocks of them, that cannot be read: keys, page_pos (null for a whole page) and error."""
     read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(""))

@@ -105,6 +105,41 @@ def test_a_bad_block_leaves_the_others(monkeypatch):
     assert [b.get("sku") for b in blocks] == ["3951", None, "CSF-7"] and blocks[1]["error"] == "RuntimeError: no"
 
 
+def _built(spark, frame, on_invalid):
+    from partloom import schemas as sc
+    from partloom.plans.build import build_catalog
+
+    crawled = frame.withColumnRenamed("id", "application_id")
+    applications = crawled.selectExpr("application_id", "application_id AS app_pos", "'Honda' AS make", "'Civic' AS model", "'2020' AS year")
+    details = spark.createDataFrame([], "sku string, full_description string, specifications map<string,string>, tech_notes string, "
+        "interchange_data array<struct<reference_number:string,reference_type:string>>, additional_images array<struct<url:string,alt_text:string,is_primary:boolean>>")
+    previous = spark.createDataFrame([], sc.EXPORT_PART)
+    built = build_catalog(crawled, applications, details, previous, current_year=2026, on_invalid=on_invalid)
+    failed = [(r.identifier, r.error_type, r.error_message) for r in built.failures.orderBy("identifier").collect()]
+    return sorted(r.sku for r in built.parts.collect()), failed
+
+
+def test_build_lists_pages_and_blocks_that_cannot_be_read(spark, monkeypatch):
+    other = LISTING.replace("3951", "41").replace("CSF-7", "CSF-8")
+    deep = "<b>" * 5000 + LISTING.replace("3951", "42").replace("CSF-7", "CSF-9")
+    whole = pages.listing_reader
+
+    def reader(glue):
+        def read(root):
+            if "fail" in root.text():
+                raise RuntimeError("page")
+            found = whole(glue)(root)
+            return {"blocks": [{"error": "RuntimeError: block"} if b.get("sku") == "bad" else b for b in found["blocks"]]}
+
+        return read
+
+    monkeypatch.setattr(pages, "listing_reader", reader)
+    frame = _pages(spark, LISTING, other + '<div class="row app"><h4><a>bad</a></h4></div>', deep, "fail" + LISTING, None)
+    failed = [("1", "unreadable page", "RuntimeError: block"), ("3", "unreadable page", "RuntimeError: page")]
+    assert _built(spark, frame, "fail_page") == (["CSF-3951", "CSF-42", "CSF-7", "CSF-9"], failed)
+    assert _built(spark, frame, "drop_row") == (["CSF-3951", "CSF-41", "CSF-42", "CSF-7", "CSF-8", "CSF-9"], failed)
+
+
 def test_large_pages_are_handed_on_in_slices(spark, monkeypatch):
     monkeypatch.setattr(pages, "SLICE_CHARS", 10)
     assert pages.select_text(_pages(spark, *["<p>x</p>"] * 7, None), "p", ["id"]).where("text = 'x'").count() == 7
