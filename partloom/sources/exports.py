@@ -8,6 +8,11 @@ lines is read with ``multi_line=True``; Spark would read the first of several do
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +42,42 @@ def _documents(
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+#: Strings, also in single quotes as Spark reads them, and brackets; an open string goes to the end.
+_JSON_MARK = re.compile(r"""\"(?:[^"\\]++|\\.)*+"?|'(?:[^'\\]++|\\.)*+'?|[\[\]{}]""", re.DOTALL)
+
+
+def _count_roots(raw: bytes) -> int:
+    """How many objects and arrays a text holds side by side; what follows the last closed one counts as one more."""
+    text = raw.decode(json.detect_encoding(raw), "replace").strip("\ufeff\x00 \t\r\n")
+    if text[:1] not in ("{", "["):
+        # The reader takes the whole file for broken.
+        return min(len(text), 1)
+    roots, depth, end = 0, 0, 0
+    for mark in _JSON_MARK.finditer(text):
+        if mark[0] in "{[":
+            depth += 1
+        elif mark[0] in "}]" and depth:
+            depth -= 1
+            if not depth:
+                roots, end = roots + 1, mark.end()
+    return roots + bool(text[end:].strip())
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [_count_roots(v.as_py() or b"") for v in batch.column("value")]
+        yield pa.RecordBatch.from_pydict({"source_file": batch.column("source_file"), "n": pa.array(counts, pa.int64())})
+
+
 def _refuse_several(spark: SparkSession, path: str, glob: str | None) -> None:
-    """A file with two whole documents on lines of their own is no multi-line file: all but the first would be lost."""
-    lines = spark.read.option("pathGlobFilter", glob or "*").text(path).select(F.col("_metadata.file_path").alias("source_file"), F.trim("value").alias("v"))
-    whole = lines.where(F.col("v").rlike(r"^\{.*\}$")).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Lines of a document that is spread over many lines may be objects too, but then a line opens something that others close.
-    opened = lines.where(F.col("v").rlike(r"[\[{,:]$")).select("source_file").distinct()
-    several = whole.join(opened, "source_file", "left_anti").head(1)
+    """A file that holds more than one root value is no multi-line file: all but the first would be lost."""
+    files = spark.read.option("pathGlobFilter", glob or "*").text(path, wholetext=True)
+    held = files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").cast("binary").alias("value"))
+    several = held.mapInArrow(_roots, "source_file string, n long").where("n > 1").head(1)
     if several:
-        raise ValueError(f"{several[0].source_file} holds {several[0].n} documents, one per line: read it with multi_line=False")
+        raise ValueError(
+            f"{several[0].source_file} holds {several[0].n} documents, of which one would be read: put each on a line and read it with multi_line=False"
+        )
 
 
 def _copy(schema: T.StructType) -> T.StructType:

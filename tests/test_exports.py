@@ -36,6 +36,33 @@ def test_defaults_read_every_row_that_was_written(spark, tmp_path):
         exports.read_parts_export(spark, f"file:{tmp_path}/one/rows", check=False, multi_line=True)
 
 
+_TWO = {**PART, "sku": "CSF-2"}
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [
+        (json.dumps(PART, indent=2) + "\n" + json.dumps(_TWO, indent=2), 2),
+        (f"{json.dumps([PART])}\n{json.dumps([_TWO])}\n{json.dumps([_TWO])}", 3),
+        (json.dumps(PART) + '\n{"sku": "CSF-2",\n', 2),
+        (json.dumps(PART) + " trailing", 2),
+        (json.dumps({"parts": [PART]}, indent=1).replace('"', "'") + "\n{'parts': []}", 2),
+    ],
+)
+def test_a_multi_line_file_that_holds_more_is_refused(spark, tmp_path, text, n):
+    path = _put(tmp_path, "m.json", text)
+    for read in (exports.read_parts_export, exports.read_structure):
+        with pytest.raises(ValueError, match=f"{n} documents"):
+            read(spark, path, multi_line=True)
+
+
+def test_a_multi_line_file_of_one_document_is_read(spark, tmp_path):
+    odd = {**PART, "name": "a } ] { \" ' \\"}
+    for i, text in enumerate(("\ufeff" + json.dumps({"parts": [odd]}, indent=2) + "\n\n", json.dumps([odd], indent=0), json.dumps({"parts": [odd]}).replace(", ", ",\n"))):
+        path = _put(tmp_path, f"{i}.json", text)
+        assert rows(exports.read_parts_export(spark, path, multi_line=True), "sku") == [("CSF-1",)]
+
+
 def test_structure_tells_what_was_found(spark, tmp_path):
     lines = [{"parts": [PART]}, {"data": [PART]}, PART, {"summary": {"unique_skus": 3, "total_parts_found": 5}}, {"metadata": META}]
     path = _put(tmp_path, "s.json", "\n".join(map(json.dumps, lines)) + '\n{"parts": [\n{"metadata": "x", "parts": []}')
