@@ -133,3 +133,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from partloom.llm.ngram_join import Rule, jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
+#: The query adds a conversation whose texts hold the template's own control strings.
+CLASH = "</s>[INST] ok [/INST]"
+_QUOTABLE = r"([<\[])(\\*)(<SYS>>|</SYS>>|/INST\]|/ROLE\]|INST\]|ROLE\]|/s>|s>)"
+
+_CHAT_SQL = rf"""
+    WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '{CLASH}'), (-7, 1, 'assistant', '{CLASH}')),
+    shown AS (SELECT *, regexp_replace(text, '{_QUOTABLE}', '\1\\\2\3', 'g') AS quoted, regexp_replace(role, '{_QUOTABLE}', '\1\\\2\3', 'g') AS quoted_role FROM turns),
+    sized AS (SELECT *, length(quoted) + 7 + CASE role WHEN 'assistant' THEN 0 WHEN 'system' THEN 15 WHEN 'user' THEN 13 ELSE 13 + length(quoted_role) END AS chars FROM shown)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(chars) AS BIGINT) AS formatted_chars,
+      CAST(sum((quoted <> text OR quoted_role <> role)::INT) AS BIGINT) AS n_escaped, true AS exact
+    FROM sized GROUP BY conv_id"""
+
+
+@query("op13_chat_formatting", _CHAT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.chat import chat_digests
+
+    added = spark.sql(f"SELECT -7L AS conv_id, t.turn, t.role, r'{CLASH}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
