@@ -159,3 +159,31 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     added = spark.sql(f"SELECT -7L AS conv_id, t.turn, t.role, r'{CLASH}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     return chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+
+
+_CRC32 = "xor(list_reduce([4294967295] || list_transform(string_split(CAST({} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, o: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+_TRIE_SQL = f"""
+    WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+    rebuilt AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth FROM (
+        SELECT c, 0 AS own, pos, role, text FROM convs JOIN turns ON conv_id = base AND pos <= h
+        UNION ALL SELECT c, 1, pos, role, text FROM convs JOIN turns ON conv_id = c AND pos > h)),
+    rows AS (SELECT c, depth, strlen(text) AS bytes, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth) AS name FROM rebuilt
+        UNION ALL SELECT c, 0, 0, '' FROM convs),
+    nodes AS (SELECT name, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM rows GROUP BY name, depth),
+    linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND p.name = left(n.name, 64 * (n.depth - 1))),
+    children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+    counted AS (SELECT l.*, coalesce(n, 0) AS n_children FROM linked l LEFT JOIN children USING (conv_id, depth)),
+    subtrees AS (SELECT r.name, r.depth, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * k.bytes) AS saved FROM counted k JOIN rows r ON r.c = k.conv_id AND r.depth <= k.depth GROUP BY ALL),
+    ends AS (SELECT name, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(name, depth) AS name FROM rows GROUP BY c) GROUP BY name),
+    told AS (SELECT * FROM counted JOIN subtrees USING (name, depth) LEFT JOIN ends USING (name))
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM told"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("tour_start", "tour_end")
