@@ -107,10 +107,10 @@ def trie_nodes(named: DataFrame) -> DataFrame:
     )
     nodes = _stage(nodes, "nodes")
     parents = nodes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id"))
-    # All conversations that differ in their first turn have the root for a parent: it needs no join.
-    top = nodes.filter("depth = 0").select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("root"))
+    # All conversations that differ in their first turn have the root for a parent: it is one number and needs no join.
+    top = nodes.filter("depth = 0").agg(F.max("conv_id")).scalar()
     deep = nodes.filter("depth > 1").join(parents.filter("depth > 1"), ["q1", "q2", "depth"])
-    low = nodes.filter("depth <= 1").join(F.broadcast(top), "depth", "left").withColumnRenamed("root", "parent_conv_id")
+    low = nodes.filter("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, top))
     keep = ["p1", "p2", "depth", "conv_id", "parent_conv_id", "n_convs", ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved")]
     return deep.select(*keep).unionByName(low.select(*keep))
 
