@@ -1,7 +1,7 @@
 """Upserts of the catalog, the image manifest and the stored tables behind them.
 
-Plain Parquet has no MERGE, so an upsert is a full outer join on the key that writes a new version of the table. A
-version becomes current only when its marker file is written, so a job that dies half way leaves the old one in place.
+Plain Parquet has no MERGE, so an upsert is a full outer join on the key that writes a new version of what it was given; ``buckets`` gives it
+the hash buckets that a batch touches only. A version becomes current only when its marker file is written, so a job that dies half way leaves the old one in place.
 """
 
 from __future__ import annotations
@@ -80,18 +80,18 @@ def upsert_catalog(
     return joined.select(*columns, "status")
 
 
-def assign_ids(merged: DataFrame) -> DataFrame:
+def assign_ids(merged: DataFrame, *, highest: int | None = None) -> DataFrame:
     """Number the created rows after the highest id in use, in sku order, without gaps.
 
-    The merged rows are staged once; only the skus of created rows are sorted, and their numbers are joined back.
+    ``highest`` is that id where ``merged`` is a part of the table only. The merged rows are staged once; only the skus of created rows are sorted, and their numbers are joined back.
     """
     staged = work_path(merged.sparkSession, "merged")
     merged.write.parquet(staged)
     fixed = merged.sparkSession.read.parquet(staged)
     created = fixed.where(F.col("id").isNull())
     numbers = with_position(created.select("sku"), "sku", name="_number")
-    highest = fixed.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    columns = [(highest + F.col("_number") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns]
+    top = F.lit(highest) if highest is not None else fixed.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    columns = [(top + F.col("_number") + 1).alias("id") if c == "id" else F.col(c) for c in merged.columns]
     return fixed.where(F.col("id").isNotNull()).unionByName(created.join(numbers, "sku").select(*columns))
 
 
@@ -214,7 +214,11 @@ def retire_versions(spark: SparkSession, root: str, keep: int = 3, marker: str =
 def read_version(
     spark: SparkSession, root: str, schema: T.StructType, *, before: int | None = None
 ) -> DataFrame | None:
-    """The newest complete version (or the newest older than ``before``), brought to ``schema``."""
+    """The newest complete version (or the newest older than ``before``), brought to ``schema``; of a table in buckets, too."""
+    from partloom.operators import buckets
+
+    if buckets.is_bucketed(spark, root):
+        return buckets.read_buckets(spark, root, schema, before=before)
     usable = [v for v in versions(spark, root) if before is None or v < before]
     if not usable:
         return None

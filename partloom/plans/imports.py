@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from partloom import schemas as sc
 from partloom.functions import values as vx
-from partloom.operators import aggregates, dedup, projections, quality, upsert
+from partloom.operators import aggregates, buckets, dedup, projections, quality
 from partloom.session import work_path
 from partloom.sources import exports
 
 
 def import_exports(spark: SparkSession, path: str, table: str, *, multi_line: bool = False) -> DataFrame:
-    """Upsert the parts of export files into a versioned table and return the outcome counts.
+    """Upsert the parts of export files into a table in buckets and return the outcome counts.
 
     Records without sku are skipped; of several records with one sku the last file's last record counts. A document without parts,
     or one that cannot be read, stops the run before a version is written. A failed run leaves the current version untouched.
@@ -32,10 +32,5 @@ def import_exports(spark: SparkSession, path: str, table: str, *, multi_line: bo
         {"price": vx.price_of(F.col("price")), "in_stock": F.coalesce("in_stock", F.lit(True))}
     )
     latest = dedup.last_per_key(batch, ("sku",), ["source_file", "pos"]).drop("source_file", "pos", "full_description")
-    current = upsert.read_version(spark, table, sc.CATALOG)
-    if current is None:
-        current = spark.createDataFrame([], sc.CATALOG)
-    merged = upsert.assign_ids(upsert.upsert_catalog(current, latest))
-    version = upsert.write_version(merged, table)
-    written = spark.read.parquet(f"{table}/version={version}")
+    _, written = buckets.upsert_buckets(table, latest, sc.CATALOG)
     return aggregates.import_outcome(written.select("status").unionByName(skipped))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom import schemas as sc
 from partloom.functions import values as vx
-from partloom.operators import aggregates, dedup, joins, upsert
+from partloom.operators import aggregates, buckets, dedup, joins, upsert
 from partloom.registry import query
 from partloom.registry.base import sql
 from partloom.session import work_path
@@ -15,6 +15,7 @@ from partloom.sources import adapters as A
 
 ORDER = list(A.ORDER)
 NOW = "2030-01-01 00:00:00"
+LATER = "2030-02-01 00:00:00"
 
 
 def _fits(spark: SparkSession, sf: str) -> DataFrame:
@@ -434,6 +435,30 @@ def m1s(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.upsert_catalog(stored, batch, compare=fields).select("sku", "status")
 
 
+_TWO_IMPORTS = f"""
+    SELECT * FROM (WITH first AS ({_MERGED.format(_STATUS.format("p.price = c.price"))}),
+    later AS (SELECT sku, price + 5 AS price FROM cur WHERE price > (SELECT avg(price) FROM cur)),
+    ids AS (SELECT sku, id FROM prev UNION ALL SELECT sku, (SELECT max(id) FROM prev) + row_number() OVER (ORDER BY sku) FROM cur WHERE sku NOT IN (SELECT sku FROM prev))
+    SELECT f.sku, ids.id, CAST(coalesce(l.price, f.price) AS DOUBLE) AS price, l.sku IS NOT NULL AS updated
+    FROM first f JOIN ids USING (sku) LEFT JOIN later l ON l.sku = f.sku WHERE f.sku NOT IN (SELECT sku FROM cat WHERE id IN (SELECT s_suppkey * 3 FROM supplier)))"""
+
+
+@query("M1_upsert_buckets", sql(_TWO_IMPORTS, "prev", "cur", "cat"))
+def m1b(spark: SparkSession, sf: str) -> DataFrame:
+    """A table in buckets after the first load, the current snapshot, an import of what has become dearer, and a delete."""
+    root = work_path(spark, "bucketed")
+    current = A.snapshot(spark, sf, "current").drop("id")
+    dearer = current.where(F.col("price") > current.agg(F.avg("price")).scalar()).withColumn("price", F.col("price") + 5)
+    first, last = F.lit(NOW).cast("timestamp"), F.lit(LATER).cast("timestamp")
+    buckets.merge_buckets(root, A.snapshot(spark, sf, "previous"), lambda old, new: upsert.evolve_schema(new, sc.CATALOG), sc.CATALOG, n_buckets=16, id_column="id")
+    for batch, now in ((current, first), (dearer, last)):
+        buckets.upsert_buckets(root, batch, sc.CATALOG, now=now)
+    doomed = A.catalog(spark, sf).join(A.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id")), "id")
+    buckets.delete_from_buckets(root, doomed, sc.CATALOG)
+    final = buckets.read_buckets(spark, root, sc.CATALOG)
+    return _double(final).select("sku", "id", "price", F.coalesce(F.col("updated_at") == last, F.lit(False)).alias("updated"))
+
+
 @query(
     "A17_import_outcome",
     sql(

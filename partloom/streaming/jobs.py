@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from partloom import schemas as sc
 from partloom.functions import values as vx
-from partloom.operators import aggregates, dedup, joins, upsert
+from partloom.operators import aggregates, buckets, dedup, joins, upsert
 from partloom.sources import exports
 
 Handler = Callable[[DataFrame, int], None]
@@ -125,8 +125,8 @@ def read_page_changes(spark: SparkSession, root: str) -> DataFrame:
 # --- imports --------------------------------------------------------------------------------------------------------
 
 
-def import_drops(root: str, *, schema: T.StructType = sc.CATALOG) -> Handler:
-    """Upsert each dropped export into the versioned catalog; a batch writes the version of its own number.
+def import_drops(root: str, *, schema: T.StructType = sc.CATALOG, n_buckets: int | None = None) -> Handler:
+    """Upsert each dropped export into the catalog in buckets; a batch writes the version of its own number, and of it only the buckets it touches.
 
     When several dropped files hold a sku, the newest file's record counts. Outcomes are kept per batch.
     """
@@ -138,14 +138,9 @@ def import_drops(root: str, *, schema: T.StructType = sc.CATALOG) -> Handler:
                                vx.price_of(F.col("price")).alias("price"))
         usable = records.where(F.coalesce("sku", F.lit("")) != "")
         latest = dedup.last_per_key(usable, ("sku",), ["file_time", "source_file", "name"]).drop("file_time", "source_file")
-        current = upsert.read_version(spark, table, schema, before=batch_id + 1)
-        if current is None:
-            current = spark.createDataFrame([], schema)
-        merged = upsert.assign_ids(upsert.upsert_catalog(current, latest))
-        outcome = f"{root}/outcome/batch_id={batch_id}"
-        upsert.write_version(merged.drop("status"), table, batch_id + 1)
-        aggregates.import_outcome(merged.select("status")).write.mode("overwrite").parquet(outcome)
-        upsert.retire_versions(spark, table)
+        _, written = buckets.upsert_buckets(table, latest, schema, version=batch_id + 1, n_buckets=n_buckets)
+        aggregates.import_outcome(written.select("status")).write.mode("overwrite").parquet(f"{root}/outcome/batch_id={batch_id}")
+        buckets.retire_buckets(spark, table)
 
     return handle
 
@@ -165,36 +160,32 @@ def read_drops(spark: SparkSession, path: str, *, per_batch: int = 1) -> DataFra
 # --- dedup ----------------------------------------------------------------------------------------------------------
 
 
-def dedup_listings(root: str, order: list[str], *, keep_changes: bool = True) -> Handler:
+def dedup_listings(root: str, order: list[str], *, keep_changes: bool = True, n_buckets: int | None = None) -> Handler:
     """Fold listing rows (part columns, vehicle columns, order columns) into deduplicated parts and fitments.
 
     Later batches win for parts, earlier ones for fitments. New and changed skus are judged against the parts of older
-    batches. Each batch publishes a whole new version of both tables.
+    batches. Both tables are in buckets by sku: a batch reads and writes those of its own skus.
     """
     vehicle = [c for c in dedup.FITMENT_KEY if c != "sku"] + ["aspiration", "qualifiers"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         version = batch_id + 1
         part_columns = [c for c in batch.columns if c not in vehicle]
         fresh = dedup.dedup_parts(batch.select(*part_columns), order).drop(*order)
         seen = dedup.dedup_fitments(batch.select("sku", *vehicle, *order), order).withColumn("generation", F.lit(version))
-        parts, fits = f"{root}/parts", f"{root}/fitments"
-        before = upsert.read_version(spark, parts, fresh.schema, before=version)
-        known = upsert.read_version(spark, fits, seen.schema, before=version)
-        if before is None:
-            before = fresh.limit(0)
-        else:
-            fresh = exports.appended(before, fresh)
-        if keep_changes:
-            changes = dedup.detect_changes(batch.select(*part_columns).drop(*order), before)
-            changes.write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
-        if known is not None:
-            seen = dedup.first_per_key(known.unionByName(seen), dedup.FITMENT_KEY, ["generation", *order])
-        upsert.write_version(fresh, parts, version)
-        upsert.write_version(seen, fits, version)
-        for table in (parts, fits):
-            upsert.retire_versions(spark, table)
+
+        def newer(before: DataFrame, parts: DataFrame) -> DataFrame:
+            if keep_changes:
+                changes = dedup.detect_changes(batch.select(*part_columns).drop(*order), before)
+                changes.write.mode("overwrite").parquet(f"{root}/changes/batch_id={batch_id}")
+            return exports.appended(before, parts)
+
+        def older(known: DataFrame, fitments: DataFrame) -> DataFrame:
+            return dedup.first_per_key(known.unionByName(fitments), dedup.FITMENT_KEY, ["generation", *order])
+
+        for table, rows, merge in ((f"{root}/parts", fresh, newer), (f"{root}/fitments", seen, older)):
+            buckets.merge_buckets(table, rows, merge, rows.schema, version=version, n_buckets=n_buckets)
+            buckets.retire_buckets(batch.sparkSession, table)
 
     return handle
 

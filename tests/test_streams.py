@@ -112,14 +112,14 @@ def test_incremental_dedup_equals_one_pass(spark, tmp_path):
     for batch_id in range(3):
         handler(_listing(spark, *data[batch_id * 20 : (batch_id + 1) * 20]), batch_id)
     whole = _listing(spark, *data)
-    parts = spark.read.parquet(f"{root}/parts/version=3")
-    fits = spark.read.parquet(f"{root}/fitments/version=3")
+    read = lambda table: upsert.read_version(spark, f"{root}/{table}", whole.schema)
+    parts, fits = read("parts"), read("fitments")
     folded = rows(parts, "sku", "name")
     assert folded == rows(dedup.dedup_parts(whole, ["pos"]), "sku", "name")
     key = ("sku", "make", "model", "year", "engine", "pos")
     assert rows(fits, *key) == rows(dedup.dedup_fitments(whole.select(*key), ["pos"]), *key)
     handler(_listing(spark, *data[40:]), 2)
-    assert rows(spark.read.parquet(f"{root}/parts/version=3"), "sku", "name") == folded
+    assert rows(read("parts"), "sku", "name") == folded
 
 
 def test_deltas_hold_only_changes(spark, tmp_path):
