@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partloom.llm.tokens import WordEncoder, WordTable, load_tokenizer
+from partloom.llm.tokens import encode_all, kind_of, worker_table, worker_tokenizer
 from partloom.llm.words import factorized, slices, starts, sums
 
 LIMIT = 1024
@@ -30,24 +30,9 @@ def _pieces(fields: list[str]) -> list[str]:
 
 
 def _count(batches: Iterable[pa.RecordBatch], path: str, batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    table = WordTable(WordEncoder(load_tokenizer(path), lower=False))
     for batch in slices(batches, limit=batch_bytes):
         texts = [x or "" for x in batch.column("text").to_pylist()]
-        codes, counts, vocabulary = factorized([t.split(" ") for t in texts])
-        # Most fields are plain words; only texts that hold another one are cut piece by piece.
-        plain = np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in vocabulary), bool, len(vocabulary))
-        odd = sums(~plain[codes], counts) > 0
-        first = codes[starts(counts)[:-1]]
-        lengths = table.lengths(np.array([" " + w for w in vocabulary], object))
-        n = sums(lengths[codes], counts)
-        heads = np.unique(first)
-        bare = np.zeros(len(vocabulary), np.int64)
-        bare[heads] = table.lengths(vocabulary[heads])
-        n += bare[first] - lengths[first]
-        where = np.flatnonzero(odd)
-        if len(where):
-            codes, counts, vocabulary = factorized([_pieces(texts[i].split(" ")) for i in where])
-            n[where] = sums(table.lengths(vocabulary)[codes], counts)
+        n = _word_counts(texts, path) if kind_of(path) == "bytes" else _whole_counts(texts, path)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -57,11 +42,38 @@ def _count(batches: Iterable[pa.RecordBatch], path: str, batch_bytes: int) -> It
         )
 
 
+def _whole_counts(texts: list[str], path: str) -> np.ndarray:
+    """By batch encoding of whole texts: the file's own rules say nothing on where a text may be cut."""
+    return np.fromiter(map(len, encode_all(worker_tokenizer(path), texts, per_call=100)), np.int64, len(texts))
+
+
+def _word_counts(texts: list[str], path: str) -> np.ndarray:
+    """By words, each encoded once per worker."""
+    table = worker_table(path)
+    codes, counts, vocabulary = factorized([t.split(" ") for t in texts])
+    # Most fields are plain words; only texts that hold another one are cut piece by piece.
+    plain = np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in vocabulary), bool, len(vocabulary))
+    odd = sums(~plain[codes], counts) > 0
+    first = codes[starts(counts)[:-1]]
+    lengths = table.lengths(np.array([" " + w for w in vocabulary], object))
+    n = sums(lengths[codes], counts)
+    heads = np.unique(first)
+    bare = np.zeros(len(vocabulary), np.int64)
+    bare[heads] = table.lengths(vocabulary[heads])
+    n += bare[first] - lengths[first]
+    where = np.flatnonzero(odd)
+    if len(where):
+        codes, counts, vocabulary = factorized([_pieces(texts[i].split(" ")) for i in where])
+        n[where] = sums(table.lengths(vocabulary)[codes], counts)
+    return n
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, batch_bytes: int = 6 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every text, as the byte-level tokenizer file at ``path`` gives them.
+    """doc_id, n_bytes, n_tokens and over_limit of every text, as the tokenizer file at ``path`` gives them.
 
     Special strings in a text are read as the library does by default. Work goes in slices of ``batch_bytes`` of text; a
-    longer text is its own slice, cut into words at boundaries no token crosses. Null and empty texts count 0 tokens.
+    longer text is its own slice. Where the file describes itself as plain byte-level pairs, texts are cut into words at boundaries no
+    token crosses; any other file is given whole texts. Null and empty texts count 0 tokens.
     Repeated rows give repeated rows, an empty table an empty one; other columns are ignored.
     """
     rows = docs.select("doc_id", "text").mapInArrow(

@@ -16,13 +16,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.tokens import WordEncoder, WordTable, load_tokenizer
+from partloom.llm.tokens import encode_all, kind_of, worker_tokenizer, worker_words
 from partloom.llm.words import flat_words, ranges, raw_texts, slices, starts, sums
 
 BLOCK = 1 << 14
 CHUNK = 1 << 18
 LEVEL = 3
-CHUNKS = "file long, chunk long, first long, n_ids long, doc_ids array<long>, lengths array<long>, planes array<binary>"
+CHUNKS = "file long, chunk long, first long, n_ids long, first_doc long, last_doc long, doc_ids array<long>, lengths array<long>, planes array<binary>"
+#: Stands for a null id in the index, where ids are compared: it is the smallest of all.
+NO_ID = -(1 << 63)
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -60,17 +62,21 @@ def unpack(planes: list[bytes], n: int) -> np.ndarray:
 
 def _document_ids(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """doc_ids, number of ids and flat ids of each slice, with the end id after every document."""
-    encoder = WordEncoder(load_tokenizer(path), lower=True)
-    table = WordTable(lambda words: encoder([w.decode() for w in words]))
     for batch in slices(batches):
-        codes, counts, vocabulary = flat_words(raw_texts(batch.column("text")))
-        rows = table.rows(vocabulary)[codes]
-        length = table.length[rows]
-        n = sums(length, counts) + 1
+        texts = raw_texts(batch.column("text"))
+        if kind_of(path) == "words":
+            codes, counts, vocabulary = flat_words(texts)
+            of_word, size = worker_words(path).ids(vocabulary)
+            length = size[codes]
+            n, ids = sums(length, counts) + 1, of_word[ranges(starts(size)[codes], length)]
+        else:
+            found = encode_all(worker_tokenizer(path), [t.decode() for t in texts], per_call=100)
+            n = np.fromiter(map(len, found), np.int64, len(found)) + 1
+            ids = np.fromiter((i for x in found for i in x), np.int64, int(n.sum()) - len(n))
         flat = np.full(int(n.sum()), end_id, np.int64)
         keep = np.ones(len(flat), bool)
         keep[np.cumsum(n) - 1] = False
-        flat[keep] = table.flat[ranges(table.start[rows], length)]
+        flat[keep] = ids
         yield batch.column("doc_id").to_pylist(), n, flat
 
 
@@ -84,9 +90,11 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, end_id: int, bits: bool
     def row():
         nonlocal chunk, first, held
         ids = np.concatenate([k[2] for k in kept]).astype("<u4")
+        docs = [d for k in kept for d in k[0]]
+        ends = [NO_ID if d is None else d for d in (docs[0], docs[-1])]
         out = {
-            "file": [file], "chunk": [chunk], "first": [first], "n_ids": [len(ids)],
-            "doc_ids": [[d for k in kept for d in k[0]]], "lengths": [np.concatenate([k[1] for k in kept]).tolist()], "planes": [pack(ids, bits)],
+            "file": [file], "chunk": [chunk], "first": [first], "n_ids": [len(ids)], "first_doc": [ends[0]], "last_doc": [ends[1]],
+            "doc_ids": [docs], "lengths": [np.concatenate([k[1] for k in kept]).tolist()], "planes": [pack(ids, bits)],
         }
         chunk, first, held = chunk + 1, first + len(ids), 0
         kept.clear()
@@ -109,7 +117,7 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, end_id: int, bits: bool
 
 _ARROW = pa.schema(
     [
-        ("file", pa.int64()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+        ("file", pa.int64()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())),
     ]
 )
@@ -118,11 +126,13 @@ _ARROW = pa.schema(
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, bits: bool = False) -> None:
     """Encode every whole text and write its ids, with ``end_id`` after each, to ``out`` in ascending doc_id order.
 
-    Documents are range-partitioned by doc_id, so file k holds smaller ids than file k+1; nulls in doc_id come first, equal
-    doc_ids stay together in an order by text. A null or empty text is written as its end id. Spark's writer commits the files, so a
-    task that is run again leaves no second copy.
+    Documents are range-partitioned by doc_id, so file k holds smaller ids than file k+1; nulls in doc_id come first. Equal doc_ids, nulls too, are ordered by a hash of
+    their texts and may lie in several files, so that an id with a third of all rows is no single task. A null or empty text is written as its end id; a text longer than
+    a chunk is a chunk of its own; repeated rows are written each time; an empty table gives no chunks. Other columns are not written, whatever their names. Spark's
+    writer commits the files, so a task that is run again leaves no second copy.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("mix"))
+    ordered = keyed.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix", "text").select("doc_id", "text")
     ordered.mapInArrow(lambda b: _write(b, tokenizer, end_id, bits), CHUNKS).write.mode("overwrite").option("compression", "uncompressed").parquet(out)
 
 
@@ -149,11 +159,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rows = chunks.mapInArrow(_read, "file long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(offsets), "file").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    # How to join is left to the optimizer: there is one row per file, and files grow with the input.
+    return rows.join(offsets, "file").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and the ids themselves."""
+def read_ids(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
+    """doc_id and the ids themselves; of one document, only the chunks whose index says that it may be there are read."""
 
     def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,4 +174,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array([flat[a:b] for a, b in zip(at, at[1:])], pa.list_(pa.int64()))}
                 )
 
-    return spark.read.schema(CHUNKS).parquet(path).mapInArrow(ids, "doc_id long, ids array<long>")
+    chunks = spark.read.schema(CHUNKS).parquet(path)
+    if doc_id is None:
+        return chunks.mapInArrow(ids, "doc_id long, ids array<long>")
+    near = chunks.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    return near.mapInArrow(ids, "doc_id long, ids array<long>").filter(F.col("doc_id") == doc_id)

@@ -123,6 +123,44 @@ def test_token_files_hold_the_ids_in_order(docs, spark, tmp_path, bits, monkeypa
     assert {r.doc_id: r.ids for r in token_files.read_ids(spark, str(tmp_path / "t")).collect()}[5] == [2]
 
 
+def test_one_document_is_read_by_the_index(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK", 300)
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs, tokenizer_path("word_bpe_49k.json"), path)
+    whole = {r.doc_id: r.ids for r in token_files.read_ids(spark, path).collect()}
+    assert [r.ids for r in token_files.read_ids(spark, path, 900).collect()] == [whole[900]]
+    assert token_files.read_ids(spark, path, 7).count() == 0
+    plan = token_files.read_ids(spark, path, 900)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first_doc,900)" in plan and "GreaterThanOrEqual(last_doc,900)" in plan
+
+
+def test_rows_without_id_go_to_many_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text")
+    token_files.write_token_files(rows, tokenizer_path("word_bpe_49k.json"), str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n")).select("file").distinct().count() > 1
+    got = sorted((r.start, r.n_tokens) for r in token_files.read_token_files(spark, str(tmp_path / "n")).collect())
+    assert len(got) == 3000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
+def test_files_that_describe_themselves_otherwise(docs, spark, tmp_path):
+    """A tokenizer with other rules is given whole texts, by both operators."""
+    import json
+
+    for name, change in (("byte_bpe_50k.json", ("pre_tokenizer", "add_prefix_space", True)), ("word_bpe_49k.json", ("normalizer", "normalizers", [{"type": "NFC"}]))):
+        with open(tokenizer_path(name), encoding="utf-8") as file:
+            told = json.load(file)
+        told[change[0]][change[1]] = change[2]
+        path = str(tmp_path / name)
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(told, file)
+        library = load_tokenizer(path)
+        texts = dict(ROWS)
+        want = {d: library.encode(t or "", add_special_tokens=False).ids for d, t in texts.items()}
+        assert {r.doc_id: r.n_tokens for r in token_counts(docs, path).collect()} == {d: len(x) for d, x in want.items()}
+        token_files.write_token_files(docs, path, str(tmp_path / f"{name}.files"))
+        assert {r.doc_id: list(r.ids) for r in token_files.read_ids(spark, str(tmp_path / f"{name}.files")).collect()} == {d: [*x, 2] for d, x in want.items()}
+
+
 def test_token_files_of_an_empty_table(empty, spark, tmp_path):
     token_files.write_token_files(empty, tokenizer_path("word_bpe_49k.json"), str(tmp_path / "e"))
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
