@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
+from partloom.llm.carry import carried, restored
 from partloom.llm.words import factorized, flat_words, owners, raw_texts, slices, sums
 
 #: A repeat has at least so many words.
@@ -149,6 +151,11 @@ def _rules(batches: Iterable[pa.RecordBatch], names: list[str], max_covered: flo
         yield pa.RecordBatch.from_pydict(own | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed), "kept": pa.array(kept)})
 
 
+def _judged(chosen: DataFrame, out: list[str], max_covered: float, max_repeat: int, repeat_share: float) -> DataFrame:
+    schema = StructType([f for f in chosen.schema.fields if f.name in out] + StructType.fromDDL(MEASURES).fields)
+    return chosen.mapInArrow(lambda b: _rules(b, out, max_covered, max_repeat, repeat_share), schema)
+
+
 def repetition_rules(
     docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, keep_columns: bool = False, repeat_share: float = REPEAT_SHARE
 ) -> DataFrame:
@@ -159,9 +166,13 @@ def repetition_rules(
     With ``keep_columns`` all columns of ``docs`` come first, but for those named like a measure, which are replaced; else only doc_id.
     A text is judged in one piece; a task holds a few megabytes of text, or one text.
     """
-    measures = [c.split()[0] for c in MEASURES.split(", ")]
-    names = [c for c in docs.columns if c not in measures] if keep_columns else ["doc_id", "text"]
-    chosen = docs.select(*names)
-    out = names if keep_columns else ["doc_id"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in out] + [MEASURES])
-    return chosen.mapInArrow(lambda b: _rules(b, out, max_covered, max_repeat, repeat_share), schema)
+    if not keep_columns:
+        return _judged(docs.select("doc_id", "text"), ["doc_id"], max_covered, max_repeat, repeat_share)
+    chosen = carried(docs)
+    return restored(_judged(chosen, chosen.columns, max_covered, max_repeat, repeat_share), docs, more=StructType.fromDDL(MEASURES).names)
+
+
+def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, repeat_share: float = REPEAT_SHARE) -> DataFrame:
+    """The documents that ``repetition_rules`` keeps, with all their columns as they were, whatever their names and types."""
+    chosen = carried(docs)
+    return restored(_judged(chosen, chosen.columns, max_covered, max_repeat, repeat_share).filter("kept"), docs)

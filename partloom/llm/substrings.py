@@ -23,7 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from partloom.llm.carry import carried, restored
 from partloom.llm.words import flat_words, hashes, owners, raw_texts, slices, starts, window_hashes
 from partloom.session import work_path
 
@@ -222,19 +224,11 @@ def _cut(batches: Iterable[pa.RecordBatch], names: list[str], with_text: bool) -
         yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64())} | last)
 
 
-def remove_repeats(docs: DataFrame, keep_columns: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256; with ``keep_columns`` all columns of ``docs`` and kept_text in place of the digest.
-
-    A word goes if it is in a window of ``WINDOW`` words that also starts earlier: in a smaller doc_id, or in the same document before. Windows are
-    judged on the input. A null text has no words, a null doc_id counts as the smallest. Different texts under one doc_id, or under none, are
-    documents of their own, the one with the smaller xxhash64 first. A row that is there twice, with the same doc_id or none and the same text, is not
-    its own copy: both rows give what one would give. Columns of ``docs`` named n_words, n_removed, kept_text, _doc, _text, suffixes or marks
-    are replaced or left out. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_doc", "_text", "suffixes", "marks")] if keep_columns else ["doc_id", "text"]
+def _without_repeats(chosen: DataFrame, out: list[str], with_text: bool, group_rows: int) -> DataFrame:
+    """The columns ``out`` of rows of doc_id, text and perhaps a struct, n_words, n_removed, and the kept text or its digest."""
+    spark = chosen.sparkSession
     key = ["_doc", "_text"]
-    keyed = docs.select(*names).withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64("text")})
+    keyed = chosen.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64("text")})
     path = work_path(spark, "suffixes")
     keyed.select(*key, "text").mapInArrow(_sampled, "prefix long, _doc long, _text long, packed long").write.parquet(path)
     sampled = spark.read.parquet(path)
@@ -242,12 +236,32 @@ def remove_repeats(docs: DataFrame, keep_columns: bool = False, group_rows: int
     counted = sampled.filter("prefix IS NOT NULL").withColumn("n", F.count("*").over(Window.partitionBy("prefix"))).filter("n > 1")
     by_doc = counted.groupBy(*key).agg(F.collect_set(F.struct("prefix", "packed", "n")).alias("suffixes"))
     # Both joins read the same columns of the documents, so that their exchange is made once.
-    contexts = keyed.join(by_doc, key).select(*key, *names, "suffixes").mapInArrow(
+    contexts = keyed.join(by_doc, key).select(*key, *chosen.columns, "suffixes").mapInArrow(
         lambda b: _contexts(b, group_rows), "branch long, _doc long, _text long, base long, bits long, place long, words binary"
     )
     found = contexts.repartition("branch").sortWithinPartitions("branch").mapInArrow(_subtrees, "_doc long, _text long, base long, mask long")
     marks = at_once.unionByName(found).groupBy(*key).agg(F.collect_set(F.struct("base", "mask")).alias("marks"))
-    out = [c for c in names if keep_columns] or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in out] + ["n_words long, n_removed long", "kept_text string" if keep_columns else "kept_sha256 string"])
-    return keyed.join(marks, key, "left").drop(*key).mapInArrow(lambda b: _cut(b, out, keep_columns), schema)
+    last = "kept_text string" if with_text else "kept_sha256 string"
+    schema = StructType([f for f in chosen.schema.fields if f.name in out] + StructType.fromDDL(f"n_words long, n_removed long, {last}").fields)
+    return keyed.join(marks, key, "left").drop(*key).mapInArrow(lambda b: _cut(b, out, with_text), schema)
+
+
+def remove_repeats(docs: DataFrame, keep_columns: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256; with ``keep_columns`` all columns of ``docs`` and kept_text in place of the digest.
+
+    A word goes if it is in a window of ``WINDOW`` words that also starts earlier: in a smaller doc_id, or in the same document before. Windows are
+    judged on the input. A null text has no words, a null doc_id counts as the smallest. Different texts under one doc_id, or under none, are
+    documents of their own, the one with the smaller xxhash64 first. A row that is there twice, with the same doc_id or none and the same text, is not
+    its own copy: both rows give what one would give. Columns of ``docs`` named n_words, n_removed or kept_text are replaced. An empty table gives no rows.
+    """
+    if not keep_columns:
+        return _without_repeats(docs.select("doc_id", "text"), ["doc_id"], False, group_rows)
+    chosen = carried(docs)
+    return restored(_without_repeats(chosen, chosen.columns, True, group_rows), docs, more=["n_words", "n_removed", "kept_text"])
+
+
+def cut_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The documents with what is left of their texts; n_chars, if there, follows it. All other columns are as they were, whatever their names and types."""
+    chosen = carried(docs)
+    cut = _without_repeats(chosen, chosen.columns, True, group_rows)
+    return restored(cut, docs, {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})

@@ -17,7 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from partloom.llm.carry import carried, restored
 from partloom.llm.words import flat_words, hashes, owners, raw_texts, slices, starts, sums
 from partloom.session import work_path
 
@@ -302,6 +304,14 @@ def _scored(batches: Iterable[pa.RecordBatch], scorer: Scorer, names: list[str])
         yield pa.RecordBatch.from_pydict(columns | {"p_junk": pa.array(p[:, 0]), "p_toxic": pa.array(p[:, 1]), "kept": pa.array((p < 0.5).all(1))})
 
 
+_VERDICT = "p_junk double, p_toxic double, kept boolean"
+
+
+def _judged(chosen: DataFrame, out: list[str], scorer: Scorer) -> DataFrame:
+    schema = StructType([f for f in chosen.schema.fields if f.name in out] + StructType.fromDDL(_VERDICT).fields)
+    return chosen.mapInArrow(lambda b: _scored(b, scorer, out), schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
     """doc_id (or, with ``keep_columns``, all columns of ``docs``), p_junk, p_toxic and kept: whether both are under a half.
 
@@ -309,8 +319,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) ->
     Columns of ``docs`` named p_junk, p_toxic or kept are replaced. Without labelled toxic rows nothing is called toxic.
     """
     scorer = train(docs, labels)
-    names = [c for c in docs.columns if c not in ("p_junk", "p_toxic", "kept")] if keep_columns else ["doc_id", "text"]
-    chosen = docs.select(*names)
-    out = names if keep_columns else ["doc_id"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in out] + ["p_junk double", "p_toxic double", "kept boolean"])
-    return chosen.mapInArrow(lambda b: _scored(b, scorer, out), schema)
+    if not keep_columns:
+        return _judged(docs.select("doc_id", "text"), ["doc_id"], scorer)
+    chosen = carried(docs)
+    return restored(_judged(chosen, chosen.columns, scorer), docs, more=StructType.fromDDL(_VERDICT).names)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that ``classify`` keeps, with all their columns as they were, whatever their names and types."""
+    chosen = carried(docs)
+    return restored(_judged(chosen, chosen.columns, train(docs, labels)).filter("kept"), docs)
