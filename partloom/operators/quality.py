@@ -391,17 +391,19 @@ def check_compat_export(entries: DataFrame, metadata: DataFrame, *, strict: bool
 def check_hierarchical(leaves: DataFrame, metadata: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Judge a year/make/model export given as leaf rows (year text, make, model, leaf_pos, part columns).
 
-    Each issue's key is the leaf's place, ``year.make.model[leaf_pos]``.
+    Each issue's key is the leaf's place, ``year.make.model[leaf_pos]``. With ``source_file`` on both sides every file's years are
+    compared with its own metadata.
     """
     place = F.concat("year", F.lit("."), "make", F.lit("."), "model", F.lit("["), F.col("leaf_pos").cast("string"), F.lit("]"))
     judged = check_parts(leaves.withColumn("location", place), warnings=True)
-    years = leaves.select("year").distinct()
+    by_file = ["source_file"] if "source_file" in leaves.columns and "source_file" in metadata.columns else []
+    years = leaves.select(*by_file, "year").distinct()
     odd = years.where(~F.col("year").rlike(r"^\d+$")).select(
         F.lit("file").alias("key"), F.lit(WARNING).alias("severity"), F.concat(F.lit("data."), "year").alias("field"),
         F.concat(F.lit("Year '"), "year", F.lit("' is not numeric")).alias("message"),
     )
     about_file = metadata_issues(
-        metadata, ("export_date", "structure", "total_years"), "total_years", _counted(years)
+        metadata, ("export_date", "structure", "total_years"), "total_years", _counted(years, metadata)
     ).unionByName(odd)
     return issue_rows(judged, "location").unionByName(about_file), summary(judged, strict=strict, extra=about_file)
 

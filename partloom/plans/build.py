@@ -54,6 +54,7 @@ def build_catalog(
     ``crawled`` has application_id and html, ``applications`` application_id, app_pos, make, model and year. Listing
     rows are compared with ``previous``; details are joined afterwards, so enrichment never looks like a change. Parts
     that were not seen again stay. A page or block that cannot be read is a failure too; with ``fail_page`` such a block fails its page.
+    ``details`` may be those of ``extract_details_or_errors``: pages that could not be read are then failures and add nothing.
     """
     raw = work_path(crawled.sparkSession, "blocks")
     pages.read_listings_or_errors(crawled, ["application_id"]).write.parquet(raw)
@@ -94,4 +95,10 @@ def build_catalog(
         F.lit("application").alias("phase"), F.col("application_id").cast("string").alias("identifier"),
         F.lit("unreadable page").alias("error_type"), F.col("error").alias("error_message"), F.lit(True).alias("is_retryable"),
     ))
+    if "error" in details.columns:
+        failures = failures.unionByName(details.where("error IS NOT NULL").select(
+            F.lit("detail").alias("phase"), F.col("sku").cast("string").alias("identifier"), F.lit("unreadable page").alias("error_type"),
+            F.col("error").alias("error_message"), F.lit(True).alias("is_retryable"),
+        ))
+        details = details.where("error IS NULL").drop("error")
     return Build(joins.enrich_parts(current, details, "fill"), fitments.drop(*ORDER), changes, failures)

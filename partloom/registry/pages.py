@@ -18,6 +18,8 @@ def _key() -> Column:
     return F.col("p_partkey")
 
 
+#: A marked section of no known kind: what follows it cannot be told from it.
+BROKEN = "<![part["
 ENGINE_TEXTS = (
     "2.4L L4 2351CC 143CI",
     "1.7L L4 1679cc 102ci DENSO/TOYO",
@@ -213,6 +215,20 @@ def x5(spark: SparkSession, sf: str) -> DataFrame:
     return _details(spark, sf).select("sku", F.explode("specifications"))
 
 
+@query(
+    "X5_detail_failures",
+    """SELECT 'CSF-' || p_partkey AS sku, p_partkey % 7 = 0 AS failed, p_partkey % 7 <> 0 AS has_specifications FROM part""",
+)
+def x5f(spark: SparkSession, sf: str) -> DataFrame:
+    """A seventh of the detail pages is broken, another nested 3,000 deep. Records and failures come from one reading."""
+    broken, deep = _key() % 7 == 0, _key() % 7 == 1
+    before = F.when(broken, F.lit(BROKEN)).otherwise(F.repeat(F.lit("<i>"), F.when(deep, 3000).otherwise(0)))
+    key = F.regexp_extract("sku", "[0-9]+", 0).cast("long").alias("p_partkey")
+    marked = _detail_pages(spark, sf).select("sku", "html", key).select("sku", F.concat(before, "html").alias("html"))
+    read = pages.extract_details_or_errors(marked, ["sku"], host=IMAGE_HOST)
+    return read.select("sku", F.col("error").isNotNull().alias("failed"), F.coalesce(F.size("specifications") > 0, F.lit(False)).alias("has_specifications"))
+
+
 @query("X6_tech_notes", "SELECT 'CSF-' || p_partkey AS sku, CASE WHEN p_partkey % 2 = 0 THEN 'Style ' || p_brand END AS tech_notes FROM part")
 def x6(spark: SparkSession, sf: str) -> DataFrame:
     return _details(spark, sf).select("sku", "tech_notes")
@@ -325,9 +341,10 @@ def x11a(spark: SparkSession, sf: str) -> DataFrame:
     trim({_UNESCAPE.format("regexp_extract(html, '<h1[^>]*>([^<]*)', 1)")}) END AS text FROM pages""",
 )
 def x11c(spark: SparkSession, sf: str) -> DataFrame:
-    """A fifth of the pages is nested too deep to be read, another fifth merely deep: the first are listed, all others read."""
-    deep = F.repeat(F.lit("<b>"), F.when(F.col("page_id") % 5 == 0, 6000).when(F.col("page_id") % 5 == 1, 1500).otherwise(0))
-    nested = _pages(spark, sf).withColumn("html", F.concat(deep, "html"))
+    """A fifth of the pages is broken, another fifth nested 6,000 deep, some 100,000: the first are listed, all others read."""
+    page = F.col("page_id")
+    before = F.when(page % 5 == 0, F.lit(BROKEN)).otherwise(F.repeat(F.lit("<b>"), F.when(page % 200 == 1, 100_000).when(page % 5 == 1, 6000).otherwise(0)))
+    nested = _pages(spark, sf).withColumn("html", F.concat(before, "html"))
     found = pages.select_text(nested, "h1", ["page_id"]).join(pages.page_failures(nested, ["page_id"]).select("page_id", F.lit(True).alias("failed")), "page_id", "left")
     return found.select("page_id", F.coalesce("failed", F.lit(False)).alias("failed"), "text")
 

@@ -7,8 +7,10 @@ tokenizer with the usual repairs (void elements, implied end tags) and offers th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template"))
@@ -29,37 +31,40 @@ ENDS_PARAGRAPH = frozenset(
 )
 
 
-#: Pages nested deeper than this are refused unless asked for; every look at the ancestors of an element is then bounded.
-MAX_DEPTH = 2000
+class Page:
+    """A page's elements in document order, and by tag. A subtree is a slice of that order, so nothing has to be walked to search it."""
 
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.by_tag: dict[str, list[Element]] = {}
+        self.nearest: dict[tuple[str, str], list[Element | None]] = {}
+        self.hits: dict[tuple, list[Element]] = {}
 
-class PageError(ValueError):
-    """A page that is not read."""
+    @staticmethod
+    def inside(ordered: list[Element], root: Element) -> list[Element]:
+        """Those of some elements in document order that lie below ``root``."""
+        place = lambda e: e.at
+        return ordered[bisect_right(ordered, root.at, key=place) : bisect_left(ordered, root.until, key=place)]
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """``at`` is its place in the page's order, ``until`` the place after its last descendant."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "page", "at", "until")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, page: Page) -> None:
+        self.tag, self.attrs, self.parent, self.children, self.page = tag, attrs, parent, [], page
+        self.at = len(page.elements)
+        self.until = self.at + 1
+        page.elements.append(self)
+        page.by_tag.setdefault(tag, []).append(self)
 
     @property
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def walk(self) -> Iterator[Element]:
-        """Descendants in document order, by a stack: pages nest as deep as they like."""
-        stack = [iter(self.children)]
-        while stack:
-            for child in stack[-1]:
-                if isinstance(child, Element):
-                    yield child
-                    stack.append(iter(child.children))
-                    break
-            else:
-                stack.pop()
-
     def strings(self) -> Iterator[str]:
+        """Text nodes in document order, by a stack: pages nest as deep as they like."""
         stack = [iter(self.children)]
         while stack:
             for child in stack[-1]:
@@ -80,71 +85,87 @@ class Element:
         return "\n".join(self.strings())
 
     def find(self, *tags: str) -> list[Element]:
-        return [e for e in self.walk() if e.tag in tags]
+        """Descendants with one of the tags, in document order."""
+        found = [Page.inside(self.page.by_tag.get(tag, []), self) for tag in tags]
+        return found[0] if len(found) == 1 else sorted(chain.from_iterable(found), key=lambda e: e.at)
 
     def ancestor(self, tag: str, css_class: str) -> Element | None:
-        node = self.parent
-        while node is not None and not (node.tag == tag and css_class in node.classes):
-            node = node.parent
-        return node
+        """The nearest one; found for all elements of the page at once, when first asked for."""
+        known = self.page.nearest.get((tag, css_class))
+        if known is None:
+            known = self.page.nearest[tag, css_class] = []
+            for element in self.page.elements:
+                parent = element.parent
+                fits = parent is not None and parent.tag == tag and css_class in parent.classes
+                known.append(parent if fits or parent is None else known[parent.at])
+        return known[self.at]
 
 
 class _Builder(HTMLParser):
-    def __init__(self, max_depth: int | None) -> None:
+    """Builds the tree. Open elements are a stack with the places of each tag in it, so that an end tag, or an implied end, finds
+    its partner without going up."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.max_depth = max_depth
-        self.root = self.here = Element("#root", {}, None)
-        self.depth = 0
-
-    def _move(self, node: Element) -> None:
-        """Go up to an ancestor."""
-        while self.here is not node:
-            self.here, self.depth = self.here.parent, self.depth - 1
-
-    def _close(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        node, target = self.here, None
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                target = node
-            node = node.parent
-        if target is not None:
-            self._move(target.parent)
+        self.page = Page()
+        self.root = Element("#root", {}, None, self.page)
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _close_from(self, place: int) -> None:
+        """End the open elements from this place of the stack on; each is ended once, so this is linear in all."""
+        end = len(self.page.elements)
+        while len(self.open) > place:
+            element = self.open.pop()
+            element.until = end
+            if element is not self.root:
+                self.places[element.tag].pop()
+
+    def _imply_end(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        """End the outermost open element with one of the tags that is inside the nearest container."""
+        fence = max((at[-1] for at in map(self.places.get, stop) if at), default=0)
+        first = len(self.open)
+        for at in map(self.places.get, tags):
+            if at:
+                i = bisect_right(at, fence)
+                if i < len(at):
+                    first = min(first, at[i])
+        self._close_from(first)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in IMPLIED_END:
-            self._close(*IMPLIED_END[tag])
+            self._imply_end(*IMPLIED_END[tag])
         elif tag in ENDS_PARAGRAPH:
-            self._close(("p",), ("table", "td", "th", "div", "li"))
-        element = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.here)
-        self.here.children.append(element)
+            self._imply_end(("p",), ("table", "td", "th", "div", "li"))
+        parent = self.open[-1]
+        element = Element(tag, {k: v or "" for k, v in reversed(attrs)}, parent, self.page)
+        parent.children.append(element)
         if tag not in VOID:
-            self.here, self.depth = element, self.depth + 1
-            if self.max_depth is not None and self.depth > self.max_depth:
-                raise PageError(f"nested deeper than {self.max_depth} elements")
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(element)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.here
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self._move(node.parent)
+        at = self.places.get(tag)
+        if at:
+            self._close_from(at[-1])
 
     def handle_data(self, data: str) -> None:
-        self.here.children.append(data)
+        self.open[-1].children.append(data)
 
 
 # A named reference only counts with its semicolon; a bare ampersand is text.
 _BARE_AMPERSAND = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*;|#[0-9]|#[xX][0-9A-Fa-f]))")
 
 
-def parse(html: str, max_depth: int | None = MAX_DEPTH) -> Element:
-    """The tree of a page; without ``max_depth`` a page is read however deep it is, more slowly the deeper."""
-    builder = _Builder(max_depth)
+def parse(html: str) -> Element:
+    """The tree of a page, in time that grows with its length, however deep it is nested."""
+    builder = _Builder()
     builder.feed(_BARE_AMPERSAND.sub("&amp;", html))
     builder.close()
+    builder._close_from(0)
     return builder.root
 
 
@@ -163,6 +184,7 @@ class Selector:
             self.steps.append(tests)
         if not self.steps:
             raise ValueError("empty selector")
+        self.key = tuple(css.split())
 
     @staticmethod
     def _fits(element: Element, tests: list[dict]) -> bool:
@@ -177,18 +199,22 @@ class Selector:
                 return False
         return True
 
-    def _matches(self, element: Element) -> bool:
-        if not self._fits(element, self.steps[-1]):
-            return False
-        pending, node = len(self.steps) - 2, element.parent
-        while pending >= 0 and node is not None:
-            if self._fits(node, self.steps[pending]):
-                pending -= 1
-            node = node.parent
-        return pending < 0
+    def _hits(self, page: Page) -> list[Element]:
+        """All matches of a page, from one pass: each element knows how many leading steps its ancestors fit, in order."""
+        hits = page.hits.get(self.key)
+        if hits is None:
+            hits, last = [], len(self.steps) - 1
+            fitted = []
+            for element in page.elements:
+                n = fitted[element.parent.at] if element.parent is not None else 0
+                if n == last and self._fits(element, self.steps[last]):
+                    hits.append(element)
+                fitted.append(n + 1 if n < last and self._fits(element, self.steps[n]) else n)
+            page.hits[self.key] = hits
+        return hits
 
     def all(self, root: Element) -> list[Element]:
-        return [e for e in root.walk() if self._matches(e)]
+        return Page.inside(self._hits(root.page), root)
 
     def first(self, root: Element) -> Element | None:
-        return next((e for e in root.walk() if self._matches(e)), None)
+        return next(iter(self.all(root)), None)

@@ -3,7 +3,8 @@
 One Arrow-batched pass per page kind reads the structure of a page (blocks, tables, images) and nothing else; the
 rules that turn structure into fields are native columns. The html itself never leaves the Python worker again.
 
-A page or block that cannot be read never fails the job: it gives no fields, and ``page_failures`` lists it with the reason.
+A page or block that cannot be read never fails the job: it gives no fields, and ``page_failures`` (listing pages) or
+``detail_failures`` lists it with the reason; the ``…_or_errors`` readers give fields and reasons from one reading.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from partloom import constants as K
 from partloom.functions import text as tx
 from partloom.functions.engine import with_vehicle_qualifiers
-from partloom.sources.markup import MAX_DEPTH, Element, parse
+from partloom.sources.markup import Element, parse
 from partloom.sources.structure import detail_reader, listing_reader, match_reader
 
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
@@ -38,7 +39,7 @@ MATCH = _struct(text=_TEXT, value=_TEXT)
 SLICE_CHARS = 4_000_000
 
 
-def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict], max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callable[[Element], dict]) -> DataFrame:
     """Apply a structure reader to every page's html. Keys pass through; a page without html yields nulls.
 
     A page that cannot be read yields nulls too, and the reason as ``read_error``. Pages are taken one by one and handed on in slices
@@ -50,7 +51,7 @@ def _read(pages: DataFrame, keys: list[str], found: T.StructType, reader: Callab
 
     def one(html: str | None) -> dict:
         try:
-            return reader(parse(html, max_depth)) if html is not None else {}
+            return reader(parse(html)) if html is not None else {}
         except Exception as e:  # noqa: BLE001
             return {"read_error": f"{type(e).__name__}: {e}"}
 
@@ -83,11 +84,8 @@ def read_listings(pages: DataFrame, keys: list[str], *, join_with_space: bool =
 
 
 def read_listings_or_errors(pages: DataFrame, keys: list[str], *, join_with_space: bool = False) -> DataFrame:
-    """The rows of ``read_listings`` and, from the same reading, one for each page that cannot be read, with its error and no page_pos.
-
-    Pages are read however deep they are nested.
-    """
-    read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(" " if join_with_space else ""), max_depth=None)
+    """The rows of ``read_listings`` and, from the same reading, one for each page that cannot be read, with its error and no page_pos."""
+    read = _read(pages, keys, _struct(blocks=T.ArrayType(BLOCK)), listing_reader(" " if join_with_space else ""))
     # A page that is not read has null blocks, which give one row of nulls; so has a page without html, and one without blocks.
     rows = read.select(*keys, "read_error", F.posexplode_outer("blocks").alias("page_pos", "b"))
     shown = rows.where(F.col("page_pos").isNotNull() | F.col("read_error").isNotNull())
@@ -163,7 +161,7 @@ def listing_specs(cells: Column) -> Column:
 
 
 def read_details(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Tables, description box and pictures of detail pages."""
+    """Tables, description box and pictures of detail pages; ``read_error`` says why a page has none of them."""
     found = _struct(tables=T.ArrayType(TABLE), about=ABOUT, pictures=T.ArrayType(PICTURE))
     return _read(pages, keys, found, detail_reader)
 
@@ -259,6 +257,16 @@ def gallery(pictures: Column, *, host: str = "", catalog_only: bool = True) -> C
 
 def extract_details(pages: DataFrame, keys: list[str], *, host: str = "", catalog_only: bool = True) -> DataFrame:
     """One detail record per page: description, specifications, notes, references and gallery."""
+    return extract_details_or_errors(pages, keys, host=host, catalog_only=catalog_only).drop("error")
+
+
+def detail_failures(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Detail pages that cannot be read: keys and error."""
+    return read_details(pages, keys).where(F.col("read_error").isNotNull()).select(*keys, F.col("read_error").alias("error"))
+
+
+def extract_details_or_errors(pages: DataFrame, keys: list[str], *, host: str = "", catalog_only: bool = True) -> DataFrame:
+    """The records of ``extract_details`` and, from the same reading, ``error``: why a page gives an empty record; null if it was read."""
     read = read_details(pages, keys).withColumn("specifications", detail_specs(F.col("tables")))
     return read.select(
         *keys,
@@ -267,6 +275,7 @@ def extract_details(pages: DataFrame, keys: list[str], *, host: str = "", catalo
         tech_notes(F.col("specifications")).alias("tech_notes"),
         interchange_rows(F.col("tables")).alias("interchange_data"),
         gallery(F.col("pictures"), host=host, catalog_only=catalog_only).alias("additional_images"),
+        F.col("read_error").alias("error"),
     )
 
 

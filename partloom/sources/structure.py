@@ -13,7 +13,7 @@ def listing_reader(glue: str) -> Callable[[Element], dict]:
 
     def one(block: Element) -> dict:
         anchor, heading, panel = link.first(block), head.first(block), block.ancestor("div", "panel")
-        category = title.first(panel) if panel else None
+        category = title.first(panel) if panel is not None else None
         return {
             "sku": anchor.text() if anchor else None,
             "name": heading.text(glue) if heading else "",

@@ -81,12 +81,98 @@ def test_selector_rejects_what_it_does_not_know():
 
 
 def test_deep_pages_do_not_fail_the_others(spark):
-    deep, deeper = "<b>" * 1500 + LISTING, "<b>" * 5000 + LISTING
-    frame = _pages(spark, LISTING, deep, deeper, None)
+    deep, broken = "<b>" * 100_000 + LISTING, "<![part[" + LISTING
+    frame = _pages(spark, LISTING, deep, broken, None)
     got = pages.extract_application_parts(frame, ["id"])
     assert sorted((r.id, r.sku) for r in got.collect()) == [(0, "CSF-3951"), (0, "CSF-7"), (1, "CSF-3951"), (1, "CSF-7")]
     failed = pages.page_failures(frame, ["id"]).collect()
-    assert [(r.id, r.page_pos) for r in failed] == [(2, None)] and "nested deeper" in failed[0].error
+    assert [(r.id, r.page_pos) for r in failed] == [(2, None)] and "marked section" in failed[0].error
+
+
+def test_detail_pages_that_cannot_be_read_are_listed(spark):
+    frame = _pages(spark, DETAIL, "<i>" * 100_000 + DETAIL, "<![part[" + DETAIL, None)
+    got = {r.id: r for r in pages.extract_details_or_errors(frame, ["id"]).collect()}
+    assert got[1][1:] == got[0][1:] and got[0].specifications and got[0].error is None
+    assert "marked section" in got[2].error and not got[2].specifications
+    assert got[3].error is None
+    assert [r.id for r in pages.detail_failures(frame, ["id"]).collect()] == [2]
+    assert pages.extract_details(frame, ["id"]).columns == pages.extract_details_or_errors(frame, ["id"]).columns[:-1]
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<b>" * 170_000 + "</i>" * 120_000, "<b><i>" * 80_000 + "</b></u>" * 60_000, "<p><li>" * 150_000, "<tr><td>" * 120_000,
+     "<div>" * 100_000 + "<div class='row app'><h4>x</h4></div>" * 10_000],
+)
+def test_a_page_of_tags_is_read_in_linear_time(html):
+    from time import process_time
+
+    from partloom.sources.structure import listing_reader
+
+    start = process_time()
+    listing_reader("")(parse(html))
+    # About a second on an idle core; a quadratic reader needs minutes.
+    assert process_time() - start < 15
+
+
+def _plain_tree(html):
+    """The same repairs, found by going up from the innermost open element."""
+    from html.parser import HTMLParser
+
+    from partloom.sources.markup import ENDS_PARAGRAPH, IMPLIED_END, VOID
+
+    done, open_ = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            tags, stop = IMPLIED_END.get(tag, (("p",), ("table", "td", "th", "div", "li")) if tag in ENDS_PARAGRAPH else ((), ()))
+            cut = None
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] in stop:
+                    break
+                if open_[i][0] in tags:
+                    cut = i
+            if cut is not None:
+                del open_[cut:]
+            done.append((tag, [k for _, k in open_]))
+            if tag not in VOID:
+                open_.append((tag, len(done)))
+
+        def handle_endtag(self, tag):
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == tag:
+                    del open_[i:]
+                    break
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return done
+
+
+def test_repairs_and_searches_equal_a_plain_reading():
+    import random
+
+    draw = random.Random(5)
+    names = "p li ul ol tr td th table tbody div b i br select option h4".split()
+    for _ in range(300):
+        html = "".join(f"<{draw.choice(['', '', '/'])}{draw.choice(names)}>" for _ in range(60))
+        root, plain = parse(html), _plain_tree(html)
+        made = root.page.elements[1:]
+
+        def above(e):
+            return [] if e.parent is root else [*above(e.parent), e.parent.at]
+
+        assert [(e.tag, above(e)) for e in made] == plain
+        below = {e.at: [d for d in made if e.at in above(d)] for e in made}
+        assert all(e.find("td", "b") == [d for d in below[e.at] if d.tag in ("td", "b")] for e in made)
+        tags = {i + 1: tag for i, (tag, _) in enumerate(plain)}
+
+        def under(e, first, second):
+            chain = [tags[k] for k in above(e)]
+            return second in chain and first in chain[: len(chain) - 1 - chain[::-1].index(second)]
+
+        assert Selector("table tr td").all(root) == [e for e in made if e.tag == "td" and under(e, "table", "tr")]
 
 
 def test_a_bad_block_leaves_the_others(monkeypatch):
@@ -111,8 +197,8 @@ def _built(spark, frame, on_invalid):
 
     crawled = frame.withColumnRenamed("id", "application_id")
     applications = crawled.selectExpr("application_id", "application_id AS app_pos", "'Honda' AS make", "'Civic' AS model", "'2020' AS year")
-    details = spark.createDataFrame([], "sku string, full_description string, specifications map<string,string>, tech_notes string, "
-        "interchange_data array<struct<reference_number:string,reference_type:string>>, additional_images array<struct<url:string,alt_text:string,is_primary:boolean>>")
+    details = spark.createDataFrame([("CSF-3951", None, None, None, None, None, "E: broken")], "sku string, full_description string, specifications map<string,string>, tech_notes string, "
+        "interchange_data array<struct<reference_number:string,reference_type:string>>, additional_images array<struct<url:string,alt_text:string,is_primary:boolean>>, error string")
     previous = spark.createDataFrame([], sc.EXPORT_PART)
     built = build_catalog(crawled, applications, details, previous, current_year=2026, on_invalid=on_invalid)
     failed = [(r.identifier, r.error_type, r.error_message) for r in built.failures.orderBy("identifier").collect()]
@@ -135,7 +221,8 @@ def test_build_lists_pages_and_blocks_that_cannot_be_read(spark, monkeypatch):
 
     monkeypatch.setattr(pages, "listing_reader", reader)
     frame = _pages(spark, LISTING, other + '<div class="row app"><h4><a>bad</a></h4></div>', deep, "fail" + LISTING, None)
-    failed = [("1", "unreadable page", "RuntimeError: block"), ("3", "unreadable page", "RuntimeError: page")]
+    failed = [("1", "unreadable page", "RuntimeError: block"), ("3", "unreadable page", "RuntimeError: page"),
+              ("CSF-3951", "unreadable page", "E: broken")]
     assert _built(spark, frame, "fail_page") == (["CSF-3951", "CSF-42", "CSF-7", "CSF-9"], failed)
     assert _built(spark, frame, "drop_row") == (["CSF-3951", "CSF-41", "CSF-42", "CSF-7", "CSF-8", "CSF-9"], failed)
 
