@@ -18,11 +18,15 @@ from partloom.session import work_path
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 512
+#: Queries that share one copy of a shard; fewer copies of vectors than of queries, and a bound on the work of a task.
+QUERY_LOT = 16_384
 DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 128
 ALPHA = 1.2
-_INDEX = "dim int, shard long, ids array<array<long>>, vectors array<double>, neighbours array<int>, entry int"
+#: Distances within a shard are compared in single precision, so far points are drawn in to this many times the usual distance.
+FAR = 1e15
+_INDEX = "dim int, shard long, node int, ids array<long>, vector array<double>, links array<int>, entry boolean"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -33,15 +37,38 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Graph:
-    """Neighbour lists of one shard: ``links`` is (nodes, degree), padded with -1."""
+    """Neighbour lists of one shard: ``links`` is (nodes, degree), padded with -1; without ``entry``, the most central node is it.
 
-    def __init__(self, points: np.ndarray, links: np.ndarray, entry: int):
-        self.points, self.links, self.entry = points.astype(np.float32), links, entry
+    Vectors are compared in single precision, relative to the shard: its median is subtracted and its median distance is the unit, so
+    neither an offset nor a scale costs digits, and a few far vectors do not either.
+    """
+
+    def __init__(self, points: np.ndarray, links: np.ndarray, entry: int | None = None):
+        self.links = links
+        # A power of two beforehand, exact, so that differences of the largest doubles are finite.
+        self.centre = np.median(points * 0.25, axis=0)
+        away = np.abs(points * 0.25 - self.centre).max(1)
+        usual = away[away > 0]
+        self.unit = max(float(np.median(usual)), np.finfo(float).tiny) if len(usual) else 1.0
+        relative, far = self._relative(points)
+        self.points = (relative * np.minimum(far, FAR)[:, None]).astype(np.float32)
         self.squares = (self.points**2).sum(1)
+        self.entry = int(self.squares.argmin()) if entry is None else entry
+
+    def _relative(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Direction from the centre, with a largest component of at most one, and the factor that it lacks, at least one."""
+        moved = vectors * 0.25 - self.centre
+        with np.errstate(over="ignore"):
+            far = np.minimum(np.maximum(np.abs(moved).max(1) / self.unit, 1.0), np.finfo(float).max)
+        return moved / far[:, None] / self.unit, far
 
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
-        """The nodes that a beam search of each query ends with, nearest first; -1 where there are fewer."""
-        q = queries.astype(np.float32)
+        """The nodes that a beam search of each query ends with, nearest first; -1 where there are fewer.
+
+        A far query is divided by its distance, and so are its distances to all nodes: their order is the same.
+        """
+        relative, far = self._relative(queries)
+        q, near_by = relative.astype(np.float32), (1 / far).astype(np.float32)
         rows, n = len(q), len(self.points)
         beam = min(beam, n)
         ids = np.full((rows, beam), -1, np.int64)
@@ -49,7 +76,7 @@ class Graph:
         done = np.ones((rows, beam), bool)
         seen = np.zeros((rows, n), bool)
         ids[:, 0], done[:, 0] = self.entry, False
-        dist[:, 0] = self.squares[self.entry] - 2 * q @ self.points[self.entry]
+        dist[:, 0] = near_by * self.squares[self.entry] - 2 * q @ self.points[self.entry]
         seen[:, self.entry] = True
         while True:
             open_ = np.where(done, np.inf, dist)
@@ -61,7 +88,7 @@ class Graph:
             near = self.links[ids[active, best[active]]]
             fresh = (near >= 0) & ~seen[active[:, None], near]
             seen[active[:, None], np.where(near >= 0, near, self.entry)] = True
-            d = self.squares[near] - 2 * np.einsum("qd,qrd->qr", q[active], self.points[near])
+            d = near_by[active, None] * self.squares[near] - 2 * np.einsum("qd,qrd->qr", q[active], self.points[near])
             all_d = np.concatenate([dist[active], np.where(fresh, d, np.inf)], 1)
             all_i = np.concatenate([ids[active], np.where(fresh, near, -1)], 1)
             all_f = np.concatenate([done[active], ~fresh], 1)
@@ -101,12 +128,11 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
     """A navigable graph over distinct points; vectors enter in a fixed shuffled order, a batch at a time."""
     n = len(points)
     rng = np.random.default_rng(7)
-    entry = int(((points - points.mean(0)) ** 2).sum(1).argmin())
     links = np.full((n, degree), -1, np.int64)
     if n > 1:
         links[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
         links[links == np.arange(n)[:, None]] = -1
-    graph = Graph(points, links, entry)
+    graph = Graph(points, links)
     for relax in (1.0, alpha):
         order = rng.permutation(n)
         for i in range(0, n, batch):
@@ -148,7 +174,10 @@ def _link_back(graph: Graph, nodes: np.ndarray, degree: int, alpha: float) -> No
 
 
 def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard: its distinct vectors, the ``copies`` smallest ids of each, their links and the entry. ``vectors`` come from ``usable``."""
+    """One row per distinct vector: its shard and place there, its ``copies`` smallest ids, its links, and whether searches of the shard start at it.
+
+    ``vectors`` come from ``usable``.
+    """
     nearest = Window.partitionBy("vector").orderBy("id")
     nodes = vectors.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= copies).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     path = work_path(vectors.sparkSession, "vector-nodes")
@@ -160,11 +189,12 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
     def build(group: pa.Table) -> pa.Table:
         points = _matrix(group["vector"], group["dim"][0].as_py())
         graph = build_graph(points)
+        rows = len(points)
+        links = pa.ListArray.from_arrays(np.arange(0, graph.links.size + 1, graph.links.shape[1], dtype=np.int32), graph.links.astype(np.int32).ravel())
         return pa.table(
             {
-                "dim": group["dim"][:1], "shard": group["shard"][:1], "ids": pa.array([group["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
-                "vectors": pa.array([points.ravel()], pa.list_(pa.float64())), "neighbours": pa.array([graph.links.astype(np.int32).ravel()], pa.list_(pa.int32())),
-                "entry": pa.array([graph.entry], pa.int32()),
+                "dim": group["dim"], "shard": group["shard"], "node": pa.array(np.arange(rows, dtype=np.int32)), "ids": group["ids"],
+                "vector": group["vector"], "links": links, "entry": pa.array(np.arange(rows) == graph.entry),
             }
         )
 
@@ -177,15 +207,32 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _answers(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Answers for rows sorted by shard and lot, nodes before queries: a shard is loaded once, and its lot's queries stream past it."""
+    key, nodes, loaded = None, [], None
     for batch in batches:
-        for i in range(batch.num_rows):
-            dim = batch["dim"][i].as_py()
-            points = batch["vectors"][i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
-            links = batch["neighbours"][i].values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(points), -1)
-            graph = Graph(points, links, batch["entry"][i].as_py())
-            asked = batch["query_ids"][i].values.to_numpy(zero_copy_only=False)
-            vectors = batch["query_vectors"][i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield from _best(graph, points, batch["ids"][i].as_py(), asked, vectors, k)
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[c].cast(pa.int64()).to_numpy() for c in ("dim", "shard", "lot", "asks")])
+        cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part, (*mine, asks) = batch.slice(start, end - start), keys[:, start].tolist()
+            if mine != key:
+                key, nodes, loaded = mine, [], None
+            if not asks:
+                nodes.append(part)
+                continue
+            if loaded is None and nodes:
+                loaded, nodes = _loaded(pa.Table.from_batches(nodes), mine[0]), []
+            for i in range(0, part.num_rows if loaded else 0, QUERY_BLOCK):
+                block = part.slice(i, QUERY_BLOCK)
+                yield from _best(*loaded, block["ids"].flatten().to_numpy(), _matrix(block["vector"], mine[0]), k)
+
+
+def _loaded(nodes: pa.Table, dim: int) -> tuple[Graph, np.ndarray, list[list[int]]]:
+    points = _matrix(nodes["vector"], dim)
+    links = _matrix(nodes["links"], -1 if not len(points) else len(nodes["links"][0])).astype(np.int64)
+    entry = int(nodes["entry"].to_numpy().argmax())
+    return Graph(points, links, entry), points, nodes["ids"].to_pylist()
 
 
 def _best(graph: Graph, points: np.ndarray, ids: list[list[int]], asked: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -205,24 +252,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """query_id, rank, vec_id and score: the ``k`` nearest vectors found for each query, by Euclidean distance, ties to the smaller id.
 
     The query's own id is no candidate. Vectors that are null, zero, or hold null or non-finite components take no part on either side;
-    repeated rows count once, and vectors of another length than the query's are no candidates. Queries go to all shards in blocks;
-    a block and a shard are of bounded size, so memory does not grow with the table. Empty tables give no rows.
+    repeated rows count once, and vectors of another length than the query's are no candidates. Queries go to all shards, in lots; a shard
+    is of bounded size and the queries of a lot stream past it, so memory does not grow with the table. Other columns are not looked at. Offsets, scales and a few huge
+    finite components cost no recall, as the search is relative to each shard. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     path = work_path(spark, "vector-index")
     build_index(usable(vectors, id_col, vector_col), k + 1, shard_rows).write.parquet(path)
     index = spark.read.parquet(path)
     asked = usable(queries, id_col, vector_col)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = (
-        asked.withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("id", "vector"), F.lit(blocks))}).groupBy("dim", "block")
-        .agg(F.collect_list("id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
-    )
-    shards = index.select("dim", "shard", "ids", "vectors", "neighbours", "entry")
-    last = max(0, (shards.agg(F.max("shard")).first()[0] or 0))
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(shards, ["dim", "shard"])
-    found = pairs.select("dim", "ids", "vectors", "neighbours", "entry", "query_ids", "query_vectors").mapInArrow(
-        lambda b: _answers(b, k), "query_id long, vec_id long, score double"
+    lots = max(1, -(-asked.count() // QUERY_LOT))
+    last = max(0, (index.agg(F.max("shard")).first()[0] or 0))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    nodes = index.withColumns({"lot": every(lots - 1), "asks": F.lit(False)})
+    asking = asked.select(
+        F.size("vector").alias("dim"), every(last).alias("shard"), F.lit(None).cast("int").alias("node"), F.array("id").alias("ids"), "vector",
+        F.lit(None).cast("array<int>").alias("links"), F.lit(None).cast("boolean").alias("entry"),
+        F.pmod(F.xxhash64("id", "vector"), F.lit(lots)).alias("lot"), F.lit(True).alias("asks"),
     )
+    keys = ("dim", "shard", "lot")
+    met = nodes.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "asks", "node")
+    found = met.mapInArrow(lambda b: _answers(b, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,21 @@ def test_neighbours_of_the_table(spark):
     assert np.mean([len(got[q] & {i for _, i in best}) / len(best) for q, best in want.items()]) >= 0.95
 
 
+@pytest.mark.parametrize(("offset", "scale", "outliers"), [(1e4, 1.0, []), (0.0, 1e20, []), (1e9, 1.0, []), (0.0, 1e-30, []), (0.0, 1.0, [1e20, -3e60, 1e150])])
+def test_neighbours_whatever_the_offset_and_scale(spark, offset, scale, outliers):
+    rng = np.random.default_rng(9)
+    points = dict(enumerate((rng.normal(size=(1200, 24)) * scale + offset).tolist()))
+    points |= {5000 + i: (rng.normal(size=24) * far).tolist() for i, far in enumerate(outliers)}
+    df = spark.createDataFrame([(i, v, i, "x", 0.5) for i, v in points.items()], "vec_id long, embedding array<double>, id long, shard string, score double")
+    queries = [i for i in points if i % 40 == 0]
+    got: dict = {}
+    for r in neighbours.nearest(df, df.filter("vec_id % 40 = 0"), k=10, shard_rows=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(queries) and all(len(found) == 10 for found in got.values())
+    want = _exact(points, queries, 10)
+    assert np.mean([len(got[q] & {i for _, i in best}) / len(best) for q, best in want.items()]) >= 0.95
+
+
 # op9
 
 
