@@ -130,5 +130,5 @@ def test_hierarchical_files_are_judged_each_by_its_own_years(spark):
     leaf = "sku string, name string, category string, price string, year string, make string, model string, leaf_pos int, source_file string"
     rows = [("CSF-1", "n", "c", "1.00", y, "M", "X", 0, f) for f, y in (("a", "2001"), ("b", "2002"), ("b", "2003"), ("b", "2003"))]
     meta = spark.createDataFrame([("a", "d", "s", 1), ("b", "d", "s", 1), ("c", "d", "s", 0)], "source_file string, export_date string, structure string, total_years long")
-    issues = quality.check_hierarchical(spark.createDataFrame(rows, leaf), meta)[0].where("key = 'file'").collect()
+    issues = quality.check_hierarchical(complete_record(spark.createDataFrame(rows, leaf)), meta)[0].where("key = 'file'").collect()
     assert [r.message for r in issues] == ["Metadata declares 1 but found 2"]
