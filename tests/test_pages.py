@@ -259,3 +259,34 @@ def test_split_renderable(spark):
     assert (ready.count(), waiting.count()) == (1, 2)
     ready, _ = pages.split_renderable(_pages(spark, "<i class=selling-part>"), detail=True)
     assert ready.count() == 1
+
+
+def _tree(root):
+    return [(e.tag, e.attrs, e.until, e.parent and e.parent.at, [c if isinstance(c, str) else c.at for c in e.children]) for e in root.page.elements]
+
+
+def test_plain_pages_are_read_without_the_tokenizer(monkeypatch):
+    """Pages that are plain throughout pass it by; what both read is the same tree, and any other page is left to it."""
+    from partloom.sources import markup
+
+    plain = [
+        '<!DOCTYPE html><html><!-- a > b --><P class="x y" CLASS=\'z\' hidden>a &amp; b<br/>c<table><tr><td>1<td>2<tr><th id="q&lt;">3</table></p>d',
+        '<script type="t">if (a < b) "</p>"</SCRIPT >x<style>p{}</style><ul><li>a<li>b</ul></b>',
+        "no markup", "<i>" * 50 + "deep", "a<b>x</b>&copy; y & z",
+    ]
+    other = ["a < b", "<a href=u>x", "<p", "<a b = 'c'>d", "<script>open", "</ b>x", "<?pi?><b>", '<a b="1"c="2">x', "<!-- open", "<a b/c>"]
+    def standard(html):
+        builder = markup._Builder()
+        builder.feed(markup._BARE_AMPERSAND.sub("&amp;", html))
+        builder.close()
+        builder._close_from(0)
+        return _tree(builder.root)
+
+    for html in plain + other:
+        assert _tree(markup.parse(html)) == standard(html), html
+    fed = []
+    feed = markup._Builder.feed
+    monkeypatch.setattr(markup._Builder, "feed", lambda self, data: (fed.append(data), feed(self, data)))
+    for html in plain + other:
+        markup.parse(html)
+    assert fed == other
