@@ -195,8 +195,9 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 )
 def s11c(spark: SparkSession, sf: str) -> DataFrame:
     """A batch replaces a sku's whole vehicle list."""
-    path = work_path(spark, "append-compat")
-    fits = _fits(spark, sf)
+    path, staged = work_path(spark, "append-compat"), work_path(spark, "append-fits")
+    _fits(spark, sf).write.parquet(staged)
+    fits = spark.read.parquet(staged)
     exports.write_compat(fits, path)
     batch = exports.compat_rows(fits.where((F.col("o3") % 2 == 0) & (F.col("year") >= 1998)))
     merged = exports.append_export(batch, path, sc.EXPORT_COMPAT, key="part_sku")

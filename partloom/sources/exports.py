@@ -368,6 +368,10 @@ def append_export(batch: DataFrame, path: str, schema: T.StructType, key: str =
     target = f"{path}/version={version}"
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(target), True)
     existing = spark.read.schema(schema).json(f"{source}/rows")
-    _write(appended(existing, batch, key, order), target, "total_parts" if key == "sku" else "total_mappings")
+    # The batch is asked for its keys and for its rows; without a stored copy it would be made twice. Columns without a type hold nothing.
+    staged, typed = work_path(spark, "append-batch"), [f.name for f in batch.schema.fields if f.dataType != T.NullType()]
+    fresh = batch.select(*[c for c in typed if c in existing.columns or c in (order or [])])
+    fresh.write.parquet(staged)
+    _write(appended(existing, spark.read.schema(fresh.schema).parquet(staged), key, order), target, "total_parts" if key == "sku" else "total_mappings")
     retire_versions(spark, path, keep=2, marker="metadata/_SUCCESS")
     return target

@@ -197,3 +197,17 @@ def test_complete_and_hierarchical_rows(spark):
     assert rows(exports.complete_rows(parts, fits).selectExpr("sku", "size(compatibility) n")) == [("a", 1), ("b", 0)]
     assert rows(exports.hierarchical_rows(fits, parts), "year", "make", "model", "sku") == [(2000, "m", "o", "a")]
     assert dedup.concat_exports(parts, parts.select("sku")).count() == 4
+
+
+def test_append_makes_its_batch_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    path, schema = f"file:{tmp_path}/e", "sku string, name string"
+    exports._write(spark.createDataFrame([("a", "old"), ("b", "old")], schema), path, "total_parts")
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda sku: (made.add(1), sku)[1], "string").asNondeterministic()
+    batch = spark.createDataFrame([("b", "new"), ("c", "new"), (None, "new")], schema).withColumn("sku", seen("sku")).withColumn("note", F.lit(None))
+    merged = exports.append_export(batch, path, T.StructType.fromDDL(f"{schema}, note string"))
+    assert rows(spark.read.schema(schema).json(f"{merged}/rows")) == [("a", "old"), ("b", "new"), ("c", "new"), (None, "new")]
+    assert made.value == 3

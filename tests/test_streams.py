@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -135,3 +137,27 @@ def test_deltas_hold_only_changes(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "delta").iterdir()) == ["batch_id=0", "batch_id=2"]
     read = lambda i: rows(spark.read.schema("sku string, name string").json(f"{root}/delta/batch_id={i}/rows"))
     assert read(0) == [("b", "n")] and read(2) == [("a", "n2")]
+
+
+def test_listings_meet_the_wide_part_last(spark, tmp_path):
+    """The same rows as of occurrences joined with fitments, repeated and null keys too; only the join by part carries the part's columns."""
+    from partloom.registry import streams
+    from partloom.sources import adapters
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_returnflag string, l_linestatus string, l_tax double"
+    day = datetime.date(2000, 1, 2)
+    lines = [(1, 7, 1, 10, day, 9.0, "A", "F", 0.0), (1, 7, 1, 10, day, 1.0, "A", "F", 0.08), (2, 1, 2, 3, day, 9.0, "N", "O", 0.0), (None, 1, 2, 3, day, 9.0, "N", "O", 0.0), (3, 1, None, 3, day, 9.0, "N", "O", 0.0)]
+    tables = {
+        "lineitem": (lines, line), "supplier": ([(10, 1), (3, 1), (3, 1)], "s_suppkey long, s_nationkey long"), "nation": ([(1, "X")], "n_nationkey long, n_name string"),
+        "part": ([(1, "p", "t", "b", 3, 5.0), (1, "q", "t", "b", 4, 6.0), (2, "r", "t", "b", 5, 7.0)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double"),
+    }
+    for name, (records, schema) in tables.items():
+        spark.createDataFrame(records, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    order, vehicle = list(adapters.ORDER), ["make", "model", "year", "engine", "aspiration", "qualifiers"]
+    parts = adapters.occurrences(spark, str(tmp_path)).select(*streams.PART_COLUMNS, *order)
+    plain = parts.join(adapters.fitments(spark, str(tmp_path)).select(*vehicle, *order), order)
+    found = streams._listings(spark, str(tmp_path))
+    assert found.columns == plain.columns
+    assert rows(found) == rows(plain) and found.count() == 10
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "o3#" in joins[0] and "o1#" not in joins[0]
