@@ -8,8 +8,9 @@ only, weighted, and a phrase that starts in the overlap is left to the next chun
 A phrase of three words can only be found ten times if both of its pairs are. So:
 
 1. ``parse_chunks``: distinct chunks with their frequencies, dealt to slices by hash.
-2. ``frequent_pairs``: 64-bit hashes of the pairs of each slice, with counts; after one exchange by hash those with ``least`` or more in all go back to their slices.
-   Equal hashes of unlike pairs can only let a pair through, which the exact counts then drop.
+2. ``frequent_pairs``: 40-bit hashes of the pairs of each slice, with counts; after one exchange by hash those with ``least`` or more in all go back to their slices.
+   Equal hashes of unlike pairs can only let a pair through, which the exact counts then drop. Both ways a slice's hashes travel sorted, as differences in
+   compressed byte planes (3 bytes a pair instead of 12), and its chunks go to the last step in one compressed block.
 3. ``phrase_counts``: each slice meets its frequent pairs and gives the words, the pairs left and the phrases whose pairs are all left, spelled out, with counts.
    Spark sums them by language and phrase.
 4. ``collocations``: cuts, scores, parts of longer phrases, ranks; in SQL functions.
@@ -37,6 +38,8 @@ OVERLAP = 2
 MOST_WORDS = 3
 #: Text of distinct chunks in a slice.
 SLICE_BYTES = 8 << 20
+#: Of a pair's hash: what sorted differences cost, and how rarely unlike pairs meet.
+PAIR_BITS = 40
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Stands between pieces; no text in UTF-8 has this byte.
 MARK = b"\xff"
@@ -46,7 +49,7 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 def _stage(df: DataFrame, purpose: str) -> DataFrame:
     spark, path = df.sparkSession, work_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -124,12 +127,13 @@ class Slice:
         self.hashed = hashes(self.vocabulary)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of the pair from each position on, and whether there is one."""
+        """The hash (``PAIR_BITS``) of the pair from each position on, and whether there is one."""
         n = len(self.codes)
-        out, there = np.zeros(n, np.uint64), np.zeros(n, bool)
+        out, there = np.zeros(n, np.int64), np.zeros(n, bool)
         if n > 1:
             salt = hashes([x.encode() for x in self.langs])[self.lang[:-1]]
-            out[:-1] = mixed((self.hashed[self.codes[:-1]] * _ROLL + self.hashed[self.codes[1:]]) * _ROLL + salt)
+            whole = mixed((self.hashed[self.codes[:-1]] * _ROLL + self.hashed[self.codes[1:]]) * _ROLL + salt)
+            out[:-1] = (whole >> np.uint64(64 - PAIR_BITS)).view(np.int64)
             there[:-1] = self.word[:-1] & self.word[1:] & (self.left[:-1] > 1)
         return out, there
 
@@ -144,24 +148,10 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(weights[order], first), order[first]
 
 
-_PAIRS = pa.schema([("pair", pa.int64()), ("slice", pa.int64()), ("n", pa.int64())])
-_ROWS = 1 << 16
-
-
-def _slice_pairs(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Hashed pairs of each run of rows of one slice, with counts."""
+def _runs(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows in the order of slices, as one batch per slice; one with over ``limit`` bytes of chunks is cut."""
     held: list[pa.RecordBatch] = []
     key, size = None, 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        part = Slice(pa.Table.from_batches(held).combine_chunks())
-        pair, there = part.pairs()
-        # Pairs of the overlap are counted by the next chunk, but asked for here too: longer phrases reach into it.
-        found, n, _ = _sums(pair[there].view(np.int64), np.where(part.own, part.weight, 0)[there])
-        for i in range(0, len(found), _ROWS):
-            m = len(found[i : i + _ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + _ROWS]), pa.array(np.full(m, key)), pa.array(n[i : i + _ROWS])], schema=_PAIRS)
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -169,13 +159,51 @@ def _slice_pairs(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
         border = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
         for a, b in zip(border, border[1:]):
             if held and (key != of[a] or size > limit):
-                yield from flush()
+                yield key, pa.concat_batches(held)
                 held, size = [], 0
-            key = of[a]
+            key = int(of[a])
             held.append(batch.slice(a, b - a))
             size += held[-1].column("chunk").nbytes
     if held:
-        yield from flush()
+        yield key, pa.concat_batches(held)
+
+
+_ZSTD = pa.Codec("zstd")
+
+
+def _planes(values: np.ndarray) -> list[bytes]:
+    """Numbers from 0 on as compressed byte planes, lowest first, up to the highest byte that is in use."""
+    used = (int(values.max()).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:used])
+    return [_ZSTD.compress(p.tobytes(), asbytes=True) for p in planes]
+
+
+def _numbers(planes: list[bytes], n: int) -> np.ndarray:
+    out = np.zeros((8, n), np.uint8)
+    for k, plane in enumerate(planes):
+        out[k] = np.frombuffer(_ZSTD.decompress(plane, n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(out.T).view("<u8")[:, 0].astype(np.int64)
+
+
+_PAIRS = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("m", pa.int64()), ("pairs", pa.list_(pa.binary())), ("ns", pa.list_(pa.binary()))])
+
+
+def _slice_pairs(batches: Iterable[pa.RecordBatch], n_parts: int, least: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Hashed pairs of each run of rows of one slice, with counts up to ``least``: a row for each of ``n_parts`` ranges of hashes."""
+    edges = np.array([(k << PAIR_BITS) // n_parts for k in range(1, n_parts)], np.int64)
+    for key, rows in _runs(batches, limit):
+        part = Slice(rows)
+        pair, there = part.pairs()
+        # Pairs of the overlap are counted by the next chunk, but asked for here too: longer phrases reach into it.
+        found, n, _ = _sums(pair[there], np.where(part.own, part.weight, 0)[there])
+        n = np.minimum(n, least)
+        border = np.r_[0, np.searchsorted(found, edges), len(found)]
+        filled = np.flatnonzero(np.diff(border))
+        for few in np.array_split(filled, len(filled) // 256 + 1):
+            cut = [slice(border[k], border[k + 1]) for k in few]
+            out = [pa.array(few), pa.array(np.full(len(few), key)), pa.array([c.stop - c.start for c in cut], pa.int64())]
+            out += [pa.array([_planes(np.diff(found[c], prepend=0)) for c in cut], _PAIRS.field("pairs").type), pa.array([_planes(n[c]) for c in cut], _PAIRS.field("ns").type)]
+            yield pa.RecordBatch.from_arrays(out, schema=_PAIRS)
 
 
 _KEPT = pa.schema([("slice", pa.int64()), ("pair", pa.int64())])
@@ -210,10 +238,44 @@ def _frequent(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield judged(np.concatenate(kept))
 
 
+_ASKED = pa.schema([("pair", pa.int64()), ("slice", pa.int64()), ("n", pa.int64())])
+_FREQUENT = pa.schema([("slice", pa.int64()), ("m", pa.int64()), ("pairs", pa.list_(pa.binary()))])
+
+
+def _part_frequent(rows: pa.Table, least: int) -> pa.Table:
+    """For each slice the pairs of one range of hashes that all slices together have ``least`` times."""
+    m = rows.column("m").to_numpy()
+    pair = np.concatenate([np.cumsum(_numbers(p, k)) for p, k in zip(rows.column("pairs").to_pylist(), m.tolist())])
+    n = np.concatenate([_numbers(p, k) for p, k in zip(rows.column("ns").to_pylist(), m.tolist())])
+    order = np.argsort(pair, kind="stable")
+    asked = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (pair, np.repeat(rows.column("slice").to_numpy(), m), n)], schema=_ASKED)
+    kept = pa.Table.from_batches(_frequent([asked], least), schema=_KEPT)
+    of, pair = kept.column("slice").to_numpy(), kept.column("pair").to_numpy()
+    order = np.argsort(of, kind="stable")
+    of, pair = of[order], pair[order]
+    border = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, np.int64)
+    packed = [_planes(np.diff(pair[a:b], prepend=0)) for a, b in zip(border, border[1:])]
+    return pa.Table.from_arrays([pa.array(of[border[:-1]]), pa.array(np.diff(border)), pa.array(packed, _FREQUENT.field("pairs").type)], schema=_FREQUENT)
+
+
 def frequent_pairs(chunks: DataFrame, least: int) -> DataFrame:
-    """slice and pair (hash) of the pairs of each slice that the whole corpus has ``least`` times."""
-    rows = chunks.select("slice", "lang", "over", "chunk", "n").mapInArrow(_slice_pairs, "pair long, slice long, n long")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda b: _frequent(b, least), "slice long, pair long")
+    """slice, m and pairs (the differences of m sorted hashes, in planes) of the pairs of each slice that the whole corpus has ``least`` times; several rows a slice."""
+    # As many ranges of hashes as there are slices: a range holds about as many pairs as a slice.
+    n_parts = (chunks.agg(F.max("slice").alias("n")).first()["n"] or 0) + 1
+    rows = chunks.select("slice", "lang", "over", "chunk", "n").mapInArrow(lambda b: _slice_pairs(b, n_parts, least), "part long, slice long, m long, pairs array<binary>, ns array<binary>")
+    return rows.groupBy("part").applyInArrow(lambda t: _part_frequent(t, least), "slice long, m long, pairs array<binary>")
+
+
+_BLOCKS = pa.schema([("slice", pa.int64()), ("block", pa.binary())])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The chunks of each run of rows of one slice as one compressed block."""
+    for key, rows in _runs(batches, limit):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_BLOCKS)
 
 
 _COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -230,18 +292,19 @@ def _spelled(part: Slice, size: int, key: np.ndarray, at: np.ndarray) -> pa.Tabl
     return pa.Table.from_arrays([lang, pa.array(np.full(len(place), size, np.int32)), phrase.cast(pa.string()), pa.array(n)], schema=_COUNTED)
 
 
-def _slice_phrases(chunks: pa.Table, frequent: pa.Table, most: int) -> pa.Table:
-    if not chunks.num_rows:
+def _slice_phrases(blocks: pa.Table, frequent: pa.Table, most: int) -> pa.Table:
+    if not blocks.num_rows:
         return _COUNTED.empty_table()
-    part = Slice(chunks)
+    part = Slice(pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks.column("block").to_pylist()]))
     width = len(part.vocabulary)
     key = part.lang * width + part.codes
     out = [_spelled(part, 1, key[part.own], np.flatnonzero(part.own))]
     pair, there = part.pairs()
-    known = np.unique(frequent.column("pair").to_numpy())
+    lots = [np.cumsum(_numbers(p, m)) for p, m in zip(frequent.column("pairs").to_pylist(), frequent.column("m").to_pylist())]
+    known = np.unique(np.concatenate(lots)) if lots else np.zeros(0, np.int64)
     if len(known):
-        spot = np.minimum(np.searchsorted(known, pair.view(np.int64)), len(known) - 1)
-        there &= known[spot] == pair.view(np.int64)
+        spot = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        there &= known[spot] == pair
     else:
         there[:] = False
     fits = there.copy()
@@ -262,7 +325,8 @@ def phrase_counts(chunks: DataFrame, least: int, most: int = MOST_WORDS) -> Data
     if most - 1 > OVERLAP:
         raise ValueError("a phrase has to fit a chunk's own words and the overlap")
     frequent = frequent_pairs(chunks, least)
-    rows = chunks.groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(lambda a, b: _slice_phrases(a, b, most), "lang string, size int, phrase string, n long")
+    blocks = chunks.select("slice", "lang", "over", "chunk", "n").mapInArrow(_blocks, "slice long, block binary")
+    rows = blocks.groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(lambda a, b: _slice_phrases(a, b, most), "lang string, size int, phrase string, n long")
     counted = rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return _stage(counted.filter((F.col("size") == 1) | (F.col("n") >= least)), "phrases")
 

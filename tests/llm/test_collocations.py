@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from partloom.llm import collocations as op
@@ -97,3 +98,32 @@ def test_pairs_over_batches():
         batches = [pa.RecordBatch.from_pylist([dict(zip(("pair", "slice", "n"), r)) for r in rows[i : i + step]]) for i in range(0, len(rows), step)]
         got = [(r["slice"], r["pair"]) for b in _frequent(batches, 10) for r in b.to_pylist()]
         assert got == [(1, 1), (2, 1), (1, 3), (1, 3), (4, 3), (1, 9)]
+
+
+def test_pairs_and_chunks_travel_small():
+    """A pair costs a slice under four bytes on its way (12 as a row of its own), and what arrives is what was sent; chunks go as one compressed block."""
+    rng = random.Random(8)
+    chunks = [" ".join(f"w{min(int(rng.paretovariate(0.5)), 50_000)}" for _ in range(40)).encode() for _ in range(6_000)]
+    schema = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("over", pa.int32()), ("chunk", pa.binary()), ("n", pa.int64())])
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 3_000 + [9] * 3_000), pa.array(["en"] * 6_000), pa.array([2] * 6_000, pa.int32()), pa.array(chunks, pa.binary()), pa.array([1] * 6_000)], schema=schema)
+    sent = pa.Table.from_batches(op._slice_pairs([rows.slice(i, 500) for i in range(0, 6_000, 500)], 5, 10))
+    total = sum(sent.column("m").to_pylist())
+    assert set(zip(sent.column("part").to_pylist(), sent.column("slice").to_pylist())) == {(p, s) for p in range(5) for s in (7, 9)}
+    assert sum(len(x) for c in ("pairs", "ns") for row in sent.column(c).to_pylist() for x in row) < 4 * total
+    counts: Counter = Counter()
+    for key, part in op._runs([rows], 1 << 30):
+        pair, there = op.Slice(part).pairs()
+        for h, n in zip(pair[there].tolist(), op.Slice(part).own[there].tolist()):
+            counts[key, h] += n
+    assert total == len(counts)
+    both: Counter = Counter()
+    for (_, h), n in counts.items():
+        both[h] += min(n, 10)
+    got = set()
+    for part in range(5):
+        kept = op._part_frequent(sent.filter(pc.equal(sent.column("part"), part)), 10)
+        got |= {(r["slice"], h) for r in kept.to_pylist() for h in op._numbers(r["pairs"], r["m"]).cumsum().tolist()}
+    assert got == {(s, h) for s, h in counts if both[h] >= 10} and got
+    blocks = [b for batch in op._blocks([rows]) for b in batch.to_pylist()]
+    assert [b["slice"] for b in blocks] == [7, 9] and sum(len(b["block"]) for b in blocks) < 0.6 * sum(map(len, chunks))
+    assert pa.concat_tables([pa.ipc.open_stream(b["block"]).read_all() for b in blocks]).column("chunk").to_pylist() == chunks
