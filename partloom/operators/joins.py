@@ -28,8 +28,10 @@ def group_fitments(fitments: DataFrame, order: list[str] | None = None) -> DataF
     """
     fields = [f for f in VEHICLE_FIELDS if f in fitments.columns]
     sort = order or [f for f in ("make", "model", "year", "engine") if f in fields]
-    entry = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(sort)], F.struct(*fields).alias("v"))
-    listed = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
+    # A field that sorts is carried once; what is left decides ties in the order of the fields, as the whole vehicle would.
+    entry = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(sort)], *[F.col(c) for c in fields if c not in sort])
+    vehicle = lambda e: F.struct(*[(e[f"_k{sort.index(c)}"] if c in sort else e[c]).alias(c) for c in fields])
+    listed = F.transform(F.sort_array(F.collect_list(entry)), vehicle)
     return fitments.groupBy("sku").agg(listed.alias("vehicles"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from partloom.operators import fitment, projections
+from partloom.operators import fitment, joins, projections
 from partloom.operators.filters import ExportFilter, relativize_images, resolve_images
 
 
@@ -85,3 +85,22 @@ def test_export_filter_is_checked():
     for bad in ({"years": [1949]}, {"min_price": -1.0}, {"min_price": 5.0, "max_price": 4.0}):
         with pytest.raises(ValueError):
             ExportFilter(**bad)
+
+
+def test_grouped_vehicles_carry_each_field_once(spark):
+    """Sort columns that are fields travel once, and the vehicles come in the order of the whole record all the same."""
+    rows = [
+        ("A", "Kia", "Rio", 2001, None, "Turbo", ["b"]), ("A", "Kia", "Rio", 2001, None, "Turbo", ["a"]), ("A", "Kia", "Rio", 2001, None, None, ["z"]), ("A", "Audi", None, None, "x", "", []),
+        ("A", None, "Q", 1999, "y", None, None), ("B", "Kia", "Rio", 2000, "y", None, []), ("B", "Kia", "Rio", 2000, "y", None, []), (None, "Kia", "Rio", 2000, "y", None, []),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "sku string, make string, model string, year int, engine string, aspiration string, qualifiers array<string>, seen int")
+    for order in (None, ["year", "seen"], ["model"]):
+        names = [f for f in joins.VEHICLE_FIELDS if f in df.columns]
+        sort = order or ["make", "model", "year", "engine"]
+        whole = F.sort_array(F.collect_list(F.struct(F.struct(*sort).alias("k"), F.struct(*names).alias("v"))))
+        want = df.groupBy("sku").agg(F.transform(whole, lambda e: e["v"]).alias("vehicles"))
+        got = joins.group_fitments(df, order)
+        assert {r.sku: r.vehicles for r in got.collect()} == {r.sku: r.vehicles for r in want.collect()}
+        assert got.schema["vehicles"].dataType.elementType.names == names
+        listed = got._jdf.queryExecution().optimizedPlan().toString().split("collect_list(", 1)[1].split("AS vehicles", 1)[0].split("lambdafunction", 1)[0]
+        assert listed.count("model#") == 1
