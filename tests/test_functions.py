@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from partloom import constants as K
 from partloom.functions import engine, values
 from partloom.functions import text as tx
 
@@ -127,3 +130,36 @@ def test_content_hash_ignores_notes_and_map_order(spark):
     maps = F.when(F.col("k") == "a", F.create_map(*[F.lit(x) for x in "1a2b"])).otherwise(F.create_map(*[F.lit(x) for x in "2b1a"]))
     frame = frame.withColumns({"specifications": maps, "images": F.array(), "features": F.array(), "in_stock": F.lit(True)})
     assert frame.select(values.part_hash().alias("h")).distinct().count() == 1
+
+
+def test_guarded_chains_equal_plain_ones(spark):
+    """Chains are skipped only where they change nothing: odd case, blanks, letters that only a folding regex knows, texts with and without each word."""
+    bits = [
+        "2.4L L4", "2354cc", "144CI", "2.0CCTurbo", "ENGINE: V6", "Eng.  Version: 3", " / DENSO/AB", ", nisſens", "TURBOCHARGED", "supercharged", "EcoBooſt", "MULTİ-FIT Model", "Multi-fit  Model",
+        "pacKage Pkg", "W/ Tow Package", "w/o Ambulance", "w/Off-Road", "W/  SUB COOL x", "OE 26mm thing", "OE  style plate", "Mini, w/", "w/o", " w/ 4 Plate", "Fuel Type: GAS", "Heavy Duty", "includes all", "N/A", "Ünïcode",
+    ]
+    rng = random.Random(4)
+    mixes = [rng.choice(["", " ", "\xa0"]).join(rng.choice(bits) for _ in range(rng.randrange(0, 5))) for _ in range(400)]
+    rows = [(i, f"x\nEng. Base: {a}\nAspiration: {b}\nTransmission Control Type: {c}\nend {d}") for i, (a, b, c, d) in enumerate(zip(mixes, mixes[7:], mixes[19:], mixes[31:]))]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, "no fields w/o  Towing")], "i long, text string")
+    field = lambda p: engine._field(F.col("text"), p)
+    plain = df.withColumn("e", engine.clean_engine(field(K.ENGINE_FIELD))).withColumns({"a": engine.clean_engine(field(K.ASPIRATION_FIELD)), "s": engine.clean_engine(field(K.TRANSMISSION_FIELD))})
+    plain = plain.select("i", F.when(F.col("e") != "", engine.engine_spec(F.col("e"))).alias("engine"), engine.engine_spec(F.col("a")).alias("a"), "s", F.contains(F.lower("a"), F.lit("ecoboost")).alias("eco"), *[
+        F.regexp_extract_all(t, F.lit(engine.ANY_CASE + p), F.lit(1)).alias(f"{n}{k}") for n, t in (("t", F.col("text")), ("f", field(K.ENGINE_FIELD))) for k, p in enumerate(K.QUALIFIER_PATTERNS)
+    ])
+    got = engine.with_vehicle_qualifiers(df)
+    want = {r.i: r for r in plain.collect()}
+    changed = 0
+    for r in got.collect():
+        w = want[r.i]
+        assert r.engine == w.engine
+        asp = w.a if w.a and w.a.lower() not in K.NOT_APPLICABLE and len(w.a) <= K.ASPIRATION_MAX else None
+        assert r.aspiration == asp
+        shift = [w.s] if w.s and w.s.lower() not in K.NOT_APPLICABLE and len(w.s) < K.TRANSMISSION_BELOW else []
+        found = [x for n in "tf" for k in range(len(K.QUALIFIER_PATTERNS)) for x in w[f"{n}{k}"] or []]
+        assert r.qualifiers == list(dict.fromkeys([K.ECOBOOST] * bool(w.eco) + shift + found))
+        changed += bool(found)
+    assert changed > 50 and len(want) == df.count()
+    assert all(p.startswith(r"(w\/") for p in K.QUALIFIER_PATTERNS)
+    # Three texts and their labels and cut-offs, two texts and their wording: one search each decides.
+    assert got._jdf.queryExecution().analyzed().toString().upper().count("RLIKE") >= 8
