@@ -124,8 +124,9 @@ def merge_buckets(
     old = _rows(spark, root, manifest, schema, touched) if manifest else spark.createDataFrame([], schema)
     merged = merge(old, fresh.drop("bucket"))
     target = f"{root}/rows/version={version}"
-    # A bucket is one task's file; it is as large as the number of buckets lets it be, whatever the keys are.
-    keyed = merged.withColumn("bucket", bucket_of(F.col(key), n)).repartition("bucket").sortWithinPartitions("bucket")
+    # With fewer buckets than partitions several tasks write one, each its own file; small ones meet in one task again (AQE).
+    share = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
+    keyed = merged.withColumn("bucket", bucket_of(F.col(key), n)).repartition("bucket", F.pmod(F.hash(key), F.lit(share))).sortWithinPartitions("bucket")
     keyed.write.mode("overwrite").partitionBy("bucket").parquet(target)
     fields = [*merged.schema.fields, T.StructField("bucket", T.LongType())]
     written = spark.read.schema(T.StructType(fields)).parquet(target)
