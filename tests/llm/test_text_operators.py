@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,6 +316,46 @@ def test_frequent_tokens_and_small_blocks(spark, monkeypatch):
     assert 2 < len(set(want.values())) < 60
 
 
+def test_lots_hold_sets_of_like_size(spark, monkeypatch):
+    """A passage that texts of all lengths share does not bring them to one lot."""
+    lots, blocks = [], ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda found, rule: lots.append(found) or blocks(found, rule))
+    rng = random.Random(10)
+    shared = [f"s{i}" for i in range(60)]
+    make = lambda n: " ".join(shared + [f"o{rng.randrange(10**6)}" for _ in range(n)])
+    rows = [(i, make(n)) for i, n in enumerate(range(10, 330, 4))]
+    rows += [(100 + i, text + " tail") for i, text in rows[::8]]
+    want = _checked(frame(spark, rows).repartition(4), Rule(3, 90, 100), rows)
+    assert len(set(want.values())) == 80
+    spans = lots[0].groupBy("lot").agg({"size": "min", "set_id": "count"}).join(lots[0].groupBy("lot").agg({"size": "max"}), "lot").collect()
+    assert max(r["count(set_id)"] for r in spans) > 2
+    assert all(90 * 90 * r["max(size)"] <= 100 * 100 * (r["min(size)"] + 1) for r in spans)
+
+
+def test_a_set_in_many_blocks_is_sent_in_small_batches():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    tasks = [[{"task": k, "side": k % 3} for k in range(200)], [], [{"task": -1, "side": 2}]]
+    batch = pa.RecordBatch.from_pydict(
+        {"text": [text, "a b c", "a b c d"], "set_id": pa.array([5, 6, 7], pa.int64()), "tasks": pa.array(tasks, pa.list_(pa.struct([("task", pa.int64()), ("side", pa.int32())])))}
+    )
+    sent = list(ngram_join._block_sets([batch], Rule()))
+    assert max(b.nbytes for b in sent) < 4 << 20
+    got = [(r["task"], r["side"], r["set_id"], len(r["tokens"])) for b in sent for r in b.to_pylist()]
+    assert got == [(k, k % 3, 5, 19_998 * 8) for k in range(200)] + [(-1, 2, 7, 16)]
+
+
+def test_full_blocks_are_compared_in_little_memory():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(1_000, 300, replace=False)).astype(np.uint64) for _ in range(1_500)]
+    sets[7] = np.unique(np.r_[sets[3][:-2], np.uint64(5_000)])
+    tracemalloc.start()
+    out = ngram_join.linked(sets, Rule())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(*np.nonzero(out))) == [(3, 7), (7, 3)]
+    assert peak < 70 << 20
+
+
 def test_one_of_each_group_stays(docs, empty):
     rule = Rule(5, 80, 100, 0.1)
     want = near(ROWS, 5, 80, 100)
