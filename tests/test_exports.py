@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import os
 
@@ -211,3 +212,20 @@ def test_append_makes_its_batch_once(spark, tmp_path):
     merged = exports.append_export(batch, path, T.StructType.fromDDL(f"{schema}, note string"))
     assert rows(spark.read.schema(schema).json(f"{merged}/rows")) == [("a", "old"), ("b", "new"), ("c", "new"), (None, "new")]
     assert made.value == 3
+
+
+def test_fitments_dealt_by_sku_are_listed_where_they_are(spark, tmp_path):
+    """The same rows as of the other deal, and one exchange from the sightings to a sku's vehicles."""
+    from partloom.sources import adapters
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_returnflag string, l_linestatus string, l_tax double"
+    day = datetime.date(2000, 1, 2)
+    lines = [(i // 3, i % 7, i % 5 if i % 11 else None, 10 + i % 2, day, float(i % 9), "A", "F", i % 3 / 25) for i in range(60)] + [(None, 1, 2, 10, None, None, None, "O", None)] * 2
+    tables = {"lineitem": (lines, line), "supplier": ([(10, 1), (11, 2), (11, 2)], "s_suppkey long, s_nationkey long"), "nation": ([(1, "X"), (2, "Y")], "n_nationkey long, n_name string")}
+    for name, (records, schema) in tables.items():
+        spark.createDataFrame(records, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    dealt, plain = (adapters.fitments(spark, str(tmp_path), by_sku=b) for b in (True, False))
+    assert dealt.columns == plain.columns and rows(dealt) == rows(plain) and dealt.count() > 60
+    listed = exports.compat_rows(dedup.dedup_fitments(dealt, list(adapters.ORDER)))
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "Broadcast" not in x]) == 1
