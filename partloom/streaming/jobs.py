@@ -8,6 +8,8 @@ kept in Parquet tables in the shared folder: any executor may be lost at any tim
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,7 +183,10 @@ def dedup_listings(root: str, order: list[str], *, keep_changes: bool = True, n_
             return exports.appended(before, parts)
 
         def older(known: DataFrame, fitments: DataFrame) -> DataFrame:
-            return dedup.first_per_key(known.unionByName(fitments), dedup.FITMENT_KEY, ["generation", *order])
+            # Both are deduplicated and what is known is older: it stays as it is, and only its keys meet the new rows.
+            keys = known.select(*[F.col(c).alias(f"_{c}") for c in dedup.FITMENT_KEY])
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in dedup.FITMENT_KEY])
+            return known.unionByName(fitments.join(keys, same, "left_anti"))
 
         for table, rows, merge in ((f"{root}/parts", fresh, newer), (f"{root}/fitments", seen, older)):
             buckets.merge_buckets(table, rows, merge, rows.schema, version=version, n_buckets=n_buckets)

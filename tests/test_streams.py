@@ -161,3 +161,28 @@ def test_listings_meet_the_wide_part_last(spark, tmp_path):
     assert rows(found) == rows(plain) and found.count() == 10
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert "o3#" in joins[0] and "o1#" not in joins[0]
+
+
+def test_listings_read_the_sightings_once(spark, tmp_path):
+    """No join of the sightings with themselves, and what a part's join deals are plain columns, not the vehicle made from them."""
+    from partloom.registry import streams
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_returnflag string, l_linestatus string, l_tax double"
+    part = "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double"
+    for name, schema in {"lineitem": line, "supplier": "s_suppkey long, s_nationkey long", "nation": "n_nationkey long, n_name string", "part": part}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = streams._listings(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joined = [x for x in plan.splitlines() if " Join " in x or "- Join " in x]
+    assert len(joined) == 3 and plan.count("l_returnflag#") and "Model " not in plan.split(joined[0], 1)[1]
+
+
+def test_known_fitments_send_only_their_keys(spark, tmp_path):
+    """The first sighting stays with all its columns, a missing engine or sku is met again, and replays give the same."""
+    root = f"file:{tmp_path}"
+    handler = jobs.dedup_listings(root, ["pos"])
+    first = [("a", "n", "M", "o", 2000, None, 5), (None, "n", "M", "o", 2000, "e", 6), ("b", "n", "M", None, None, "e", 7)]
+    second = [("a", "n", "M", "o", 2000, None, 1), (None, "n", "M", "o", 2000, "e", 2), ("b", "n", "M", None, None, "e", 3), ("b", "n", "M", None, 2001, "e", 4)]
+    for batch_id, data in ((0, first), (1, second), (1, second)):
+        handler(_listing(spark, *data), batch_id)
+    read = upsert.read_version(spark, f"{root}/fitments", _listing(spark, *first).select("sku", "year", "engine", "pos").schema)
+    assert rows(read) == [("a", 2000, None, 5), ("b", 2001, "e", 4), ("b", None, "e", 7), (None, 2000, "e", 6)]
