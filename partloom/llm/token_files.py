@@ -132,7 +132,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2
     writer commits the files, so a task that is run again leaves no second copy.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("mix"))
-    ordered = keyed.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix", "text").select("doc_id", "text")
+    # A number of files that is asked for stays, however small they are.
+    n_files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartitionByRange(n_files, "doc_id", "mix").sortWithinPartitions("doc_id", "mix", "text").select("doc_id", "text")
     ordered.mapInArrow(lambda b: _write(b, tokenizer, end_id, bits), CHUNKS).write.mode("overwrite").option("compression", "uncompressed").parquet(out)
 
 

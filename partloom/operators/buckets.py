@@ -59,11 +59,15 @@ def read_manifest(spark: SparkSession, root: str, *, before: int | None = None)
     usable = [v for v in upsert.versions(spark, root) if before is None or v < before]
     if not usable:
         return None
-    rows = spark.read.schema(MANIFEST).parquet(f"{root}/version={usable[-1]}").collect()
-    return Manifest(
-        usable[-1], rows[0].n_buckets if rows else 0, {r.bucket: r.version for r in rows if r.n_rows},
-        {r.bucket: r.n_rows for r in rows if r.n_rows}, {r.bucket: r.max_id for r in rows if r.n_rows},
-    )
+    rows = _bounded(spark.read.schema(MANIFEST).parquet(f"{root}/version={usable[-1]}"))
+    held = [r for r in rows if r["n_rows"]]
+    wrote, n_rows, max_id = ({r["bucket"]: r[c] for r in held} for c in ("version", "n_rows", "max_id"))
+    return Manifest(usable[-1], rows[0]["n_buckets"] if rows else 0, wrote, n_rows, max_id)
+
+
+def _bounded(rows: DataFrame) -> list[dict]:
+    """A row per bucket at most, ``MOST_BUCKETS`` in all: the only rows that the driver sees."""
+    return rows.toArrow().to_pylist()
 
 
 def bucket_of(key: Column, n_buckets: int) -> Column:
@@ -83,7 +87,7 @@ def lookup_buckets(spark: SparkSession, root: str, schema: T.StructType, keys: l
     if manifest is None:
         return None
     wanted = spark.createDataFrame([(k,) for k in keys], f"{key} string")
-    at = {r.b for r in wanted.select(bucket_of(F.col(key), manifest.n_buckets or 1).alias("b")).distinct().collect()}
+    at = {r["b"] for r in _bounded(wanted.select(bucket_of(F.col(key), manifest.n_buckets or 1).alias("b")).distinct())}
     return _rows(spark, root, manifest, schema, at).where(F.col(key).isin(keys))
 
 
@@ -120,7 +124,7 @@ def merge_buckets(
     staged = work_path(spark, "bucket-batch")
     batch.withColumn("bucket", bucket_of(F.col(key), n)).write.parquet(staged)
     fresh = spark.read.parquet(staged)
-    touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}
+    touched = {r["bucket"] for r in _bounded(fresh.select("bucket").distinct())}
     old = _rows(spark, root, manifest, schema, touched) if manifest else spark.createDataFrame([], schema)
     merged = merge(old, fresh.drop("bucket"))
     target = f"{root}/rows/version={version}"
@@ -131,8 +135,8 @@ def merge_buckets(
     fields = [*merged.schema.fields, T.StructField("bucket", T.LongType())]
     written = spark.read.schema(T.StructType(fields)).parquet(target)
     highest = F.max(id_column) if id_column else F.lit(None)
-    counts = {r.bucket: r for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), highest.cast("long").alias("top")).collect()}
-    rows = [(b, version, counts[b].n, counts[b].top, n) for b in sorted(counts)]
+    counts = {r["bucket"]: r for r in _bounded(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), highest.cast("long").alias("top")))}
+    rows = [(b, version, counts[b]["n"], counts[b]["top"], n) for b in sorted(counts)]
     if manifest:
         rows += [(b, v, manifest.n_rows[b], manifest.max_id[b], n) for b, v in manifest.wrote.items() if b not in touched]
     # A table that is emptied still says how many buckets it has.
